@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Separates words: space and U+0009 to U+000D, and nothing else.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -46,3 +48,33 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def row_hash(*cols: str) -> Column:
     """64 bits of a row's content, to tell rows of one id apart."""
     return F.xxhash64(*cols)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fresh(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns of these names (in any case), which an operator is about to add."""
+    taken = {n.lower() for n in names}
+    return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
+def map_rows(df: DataFrame, inputs: list[str], out: str, fn: Callable[..., dict[str, list]], rows: int = SLICE_ROWS) -> DataFrame:
+    """df with the columns that out (a DDL string) names, as fn makes them from lists of the inputs' values.
+
+    Existing columns of those names are replaced unless they are inputs as well. Arrow batches in
+    and out of tasks; fn sees at most so many rows at a time.
+    """
+    added = T._parse_datatype_string(out).fields
+    kept = fresh(df, *[f.name for f in added if f.name not in inputs])
+    passed = [f for f in kept.schema.fields if f.name not in {a.name for a in added}]
+    schema = T.StructType([*passed, *added])
+    types = {f.name: to_arrow_type(f.dataType) for f in added}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, rows):
+            made = fn(*[b[c].to_pylist() for c in inputs])
+            yield pa.RecordBatch.from_arrays([*(b[f.name] for f in passed), *(pa.array(made[f.name], types[f.name]) for f in added)], names=schema.names)
+
+    return kept.mapInArrow(run, schema)
