@@ -35,7 +35,7 @@ for _name, _chars in (
 _MIX = np.random.default_rng(11).integers(1, 1 << 40, 256, dtype=np.int64)
 #: Features of one line, and of a line with its neighbours and a constant.
 N_OWN = 11
-N_FEATURES = 3 * N_OWN + 3
+N_FEATURES = 3 * N_OWN + 4
 
 
 def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,8 +59,10 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     counts = np.bincount((np.repeat(np.arange(len(starts)), ends - starts + 1) * 8 + kind), minlength=8 * len(starts)).reshape(-1, 8).astype(float)
     chars = counts[:, 1:].sum(axis=1)
     keep = chars > 0
+    mixed_bytes = np.where(spaces, 0, _MIX[data])
+    line_mix = np.add.reduceat(mixed_bytes, starts)[keep]
     if len(word_at):
-        mixed = np.add.reduceat(np.where(spaces, 0, _MIX[data]), word_at)
+        mixed = np.add.reduceat(mixed_bytes, word_at)
         again = np.zeros(len(word_at))
         again[1:] = (mixed[1:] == mixed[:-1]) & (line_of_word[1:] == line_of_word[:-1])
         repeats = np.bincount(line_of_word, weights=again, minlength=len(starts))
@@ -78,10 +80,14 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     same = of[1:] == of[:-1]
     before[1:][same] = own[:-1][same]
     after[:-1][same] = own[1:][same]
+    twin = np.zeros(len(of))
+    equal = same & (line_mix[1:] == line_mix[:-1])
+    twin[1:][equal] = 1
+    twin[:-1][equal] = 1
     opens, closes = np.ones(len(of)), np.ones(len(of))
     opens[1:][same] = 0
     closes[:-1][same] = 0
-    return np.column_stack((own, before, after, np.ones(len(of)), opens, closes)), n, n_lines
+    return np.column_stack((own, before, after, np.ones(len(of)), opens, closes, twin)), n, n_lines
 
 
 @dataclass(frozen=True)
