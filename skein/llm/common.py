@@ -78,3 +78,10 @@ def map_rows(df: DataFrame, inputs: list[str], out: str, fn: Callable[..., dict[
             yield pa.RecordBatch.from_arrays([*(b[f.name] for f in passed), *(pa.array(made[f.name], types[f.name]) for f in added)], names=schema.names)
 
     return kept.mapInArrow(run, schema)
+
+
+def broadcast_if_small(df: DataFrame, size: Column, most: int) -> DataFrame:
+    """df, written to the checkpoint folder, with a broadcast hint if the sum of size over its rows is at most most; else without, and joins shuffle."""
+    kept = checkpointed(df)
+    total = kept.agg(F.sum(size).alias("n")).first()["n"] or 0
+    return F.broadcast(kept) if total <= most else kept

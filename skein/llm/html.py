@@ -15,12 +15,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import checkpointed, fresh, map_rows, table
+from skein.llm.common import broadcast_if_small, checkpointed, fresh, map_rows, table
 from skein.llm.hosts import host
 
 #: A subtree is a template if it is on more than this share of a host's pages, and on so many at least.
 SHARE = 0.5
 MIN_PAGES = 5
+#: Templates are broadcast if they have at most so many hashes (8 bytes each) in all.
+BROADCAST_HASHES = 1_000_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?:^|[\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -180,7 +182,8 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out:
     """
     placed = fresh(pages, out, "__host", "template").withColumn("__host", host(F.col(url_col)))
     of_host = templates(placed.select(F.col("__host").alias("host"), F.col(html_col).alias("html")), share, min_pages).withColumnRenamed("host", "__host")
-    met = placed.join(of_host, "__host", "left")
+    # Pages stay where they are while all hosts' templates are few; else they are shuffled by host, and Spark splits a large host.
+    met = placed.join(broadcast_if_small(of_host, F.size("template") + 8, BROADCAST_HASHES), "__host", "left")
     made = map_rows(met, [html_col, "template"], f"{out} string", lambda h, t: {out: [_joined(parse(x or "")[1], frozenset(y or ())) for x, y in zip(h, t)]})
     return made.select(*[c for c in pages.columns if c.lower() != out.lower()], out)
 
