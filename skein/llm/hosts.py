@@ -12,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import checkpointed, fresh, table
+from skein.llm.common import broadcast_if_small, checkpointed, fresh, table
 
 #: host, path, verdict; a rule fits its host and all subdomains, and paths that start with its path.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Rule tables of at most so many rows are broadcast.
 BROADCAST_RULES = 10_000
+#: Hosts with their rules are broadcast if there are at most so many of both.
+BROADCAST_HOSTS = 200_000
 #: A host whose share of good pages is, by its posterior, under this is blocked.
 LEAST_GOOD = 0.5
 #: Standard deviations from the posterior's mean to its lower bound.
@@ -84,22 +86,19 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     return hosts.select("host", "n", "good", "mean", (F.col("mean") - Z * sd).alias("bound"))
 
 
-def matched(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """pages (host, path and any others) with rule and rule_verdict: the longest rule that fits, else null.
+def fitting(hosts: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """column host (distinct) to host, rules: array<struct<n, rule, rule_path, verdict>> of those that fit the host, longest first.
 
-    Each distinct host is looked up under all of its suffixes; paths are compared only with the
-    rules of its suffixes. Of two rules of one length the greater string wins.
+    A host is looked up under all of its suffixes. Of two rules of one length the greater string
+    goes first. Hosts without rules are left out.
     """
-    spark = pages.sparkSession
-    own = spark.createDataFrame([(h, p, v) for h, p, v in rules], "rule_host string, rule_path string, verdict string")
+    own = hosts.sparkSession.createDataFrame(list(rules), "rule_host string, rule_path string, verdict string")
     own = F.broadcast(own) if len(rules) <= BROADCAST_RULES else own
     labels = F.split("host", r"\.", -1)
     tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    fits = pages.select("host").distinct().select("host", F.explode(tails).alias("rule_host")).join(own, "rule_host")
+    fits = hosts.select("host", F.explode(tails).alias("rule_host")).join(own, "rule_host")
     name = F.concat("rule_host", "rule_path")
-    of_host = fits.groupBy("host").agg(F.sort_array(F.collect_list(F.struct(F.length(name).alias("n"), name.alias("rule"), "rule_path", "verdict")), asc=False).alias("rules"))
-    best = F.get(F.filter("rules", lambda r: F.col("path").startswith(r["rule_path"])), 0)
-    return pages.join(of_host, "host", "left").withColumns({"rule": best["rule"], "rule_verdict": best["verdict"]}).drop("rules")
+    return fits.groupBy("host").agg(F.sort_array(F.collect_list(F.struct(F.length(name).alias("n"), name.alias("rule"), "rule_path", "verdict")), asc=False).alias("rules"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url", least_good: float = LEAST_GOOD) -> DataFrame:
@@ -109,12 +108,16 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str
     else a page is allowed if the lower bound of its host's share of good pages is least_good or
     more. Hosts that outcomes lacks are shrunk all the way. Columns of these names are replaced.
     """
-    kept = fresh(pages, "host", "path", "rule", "verdict", "bound", "rule_verdict", "rules")
+    kept = fresh(pages, "host", "path", "rule", "verdict", "bound", "rules")
     placed = kept.withColumns({"host": host(F.col(url_col)), "path": path(F.col(url_col))})
-    known = outcomes.select("host", "good").unionByName(placed.select("host").distinct().withColumn("good", F.lit(None).cast("int")))
-    ruled = matched(placed, rules).join(reputations(known).select("host", "bound"), "host", "left")
+    hosts = placed.select("host").distinct()
+    known = reputations(outcomes.select("host", "good").unionByName(hosts.withColumn("good", F.lit(None).cast("int"))))
+    # One row for each host, and one join: Spark splits a host with many pages, or broadcasts the hosts if they are few.
+    of_host = known.select("host", "bound").join(fitting(hosts, rules), "host", "left")
+    best = F.get(F.filter("rules", lambda r: F.col("path").startswith(r["rule_path"])), 0)
     own = F.when(F.col("bound") >= least_good, F.lit("allow")).otherwise(F.lit("block"))
-    return ruled.withColumn("verdict", F.coalesce("rule_verdict", own)).drop("rule_verdict")
+    met = placed.join(broadcast_if_small(of_host, F.coalesce(F.size("rules"), F.lit(0)) + 1, BROADCAST_HOSTS), "host", "left")
+    return met.withColumns({"rule": best["rule"], "verdict": F.coalesce(best["verdict"], own)}).drop("rules")
 
 
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,11 +180,11 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out:
     empty text. Pages of a null url or one without :// share one host, the empty one. A column
     named out is replaced.
     """
-    placed = fresh(pages, out, "__host", "template").withColumn("__host", host(F.col(url_col)))
-    of_host = templates(placed.select(F.col("__host").alias("host"), F.col(html_col).alias("html")), share, min_pages).withColumnRenamed("host", "__host")
+    placed = fresh(pages, out, "__host", "__template").withColumn("__host", host(F.col(url_col)))
+    of_host = templates(placed.select(F.col("__host").alias("host"), F.col(html_col).alias("html")), share, min_pages).select(F.col("host").alias("__host"), F.col("template").alias("__template"))
     # Pages stay where they are while all hosts' templates are few; else they are shuffled by host, and Spark splits a large host.
-    met = placed.join(broadcast_if_small(of_host, F.size("template") + 8, BROADCAST_HASHES), "__host", "left")
-    made = map_rows(met, [html_col, "template"], f"{out} string", lambda h, t: {out: [_joined(parse(x or "")[1], frozenset(y or ())) for x, y in zip(h, t)]})
+    met = placed.join(broadcast_if_small(of_host, F.size("__template") + 8, BROADCAST_HASHES), "__host", "left")
+    made = map_rows(met, [html_col, "__template"], f"{out} string", lambda h, t: {out: [_joined(parse(x or "")[1], frozenset(y or ())) for x, y in zip(h, t)]})
     return made.select(*[c for c in pages.columns if c.lower() != out.lower()], out)
 
 
