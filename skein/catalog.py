@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.operators import traverse
+from skein.operators import graph, traverse
 
-MODULES = (traverse,)
+MODULES = (traverse, graph)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
-FLAGSHIP = "g01_callers"
+FLAGSHIP = "a07_degree_hubs"
