@@ -105,10 +105,11 @@ def redacted(c: Column) -> Column:
 
 
 def url_path(c: Column) -> Column:
-    """An address without scheme, host, query, fragment and trailing slash; / if nothing is left."""
-    rest = F.regexp_replace(F.coalesce(c, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
-    rest = F.regexp_replace(F.regexp_replace(rest, r"[?#].*$", ""), r"/+$", "")
-    return F.when(rest == "", F.lit("/")).otherwise(rest)
+    """An address without scheme, host, query, fragment and trailing slash, beginning with a slash; null and blank are empty."""
+    raw = F.trim(F.coalesce(c, F.lit("")))
+    rest = F.regexp_replace(F.regexp_replace(raw, r"^[^/?#]*://[^/]*", ""), r"[?#].*$", "")
+    rest = F.regexp_replace(F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest)), r"/+$", "")
+    return F.when(raw == "", F.lit("")).when(rest == "", F.lit("/")).otherwise(rest)
 
 
 def word_estimate(c: Column) -> Column:

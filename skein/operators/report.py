@@ -193,5 +193,5 @@ ORACLE_SQL = {
     "s14_page": "select o_orderkey, o_orderdate::date as day from orders order by 2 desc, 1 desc limit 21",
     "f18_json_path": "select event_id, (props->>'k')::bigint as k from events",
     "f17_redacted": r"select doc_id, sha256(regexp_replace(text, '(?i)((?:api[_-]?key|token|password|secret)\s*[:=]\s*)([^\s,;]+)', '\1[REDACTED]', 'g')) as digest from documents where regexp_matches(text, '(?i)((?:api[_-]?key|token|password|secret)\s*[:=]\s*)([^\s,;]+)')",
-    "j07_url_paths": r"select page_id, case when p = '' then '/' else p end as path from (select page_id, regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '/+$', '') as p from pages)",
+    "j07_url_paths": r"select page_id, case when p = '/' then p else rtrim(p, '/') end as path from (select page_id, regexp_replace(regexp_replace(url, '^[^/?#]*://[^/]*', ''), '[?#].*$', '') as p from pages)",
 }
