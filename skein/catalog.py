@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.operators import docs, graph, memory, report, search, traverse
+from skein.operators import docs, graph, memory, report, rules, search, traverse
 
-MODULES = (traverse, graph, search, report, docs, memory)
+MODULES = (traverse, graph, search, report, docs, memory, rules)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
 FLAGSHIP = "a07_degree_hubs"

@@ -70,18 +70,25 @@ def scored(items: DataFrame, query: str, as_of: Column, profile: Profile = Profi
     return rows.withColumn("score", F.round(score, digits)).withColumn("reason", reason).drop("boost")
 
 
-def packed(rows: DataFrame, group: list[str], order: list[Column], cost_col: str, budget: int, id_col: str = "id") -> DataFrame:
+def packed(rows: DataFrame, group: list[str], order: list[Column], cost_col: str, budget: int) -> DataFrame:
     """rows of each group that fit its budget: in order, a row that would go over is skipped and the next is tried.
 
-    No prefix sum can say this, so each group is folded in order. A group's fold holds ids and costs
-    only. Rows of negative cost are left out.
+    No prefix sum can say this, so each group is folded in order; costs count in whole numbers. The
+    fold is small whatever the group's size: once a row of some cost is skipped, all later ones of
+    that cost are, as the sum only grows, so of each cost c only the first budget / c rows can be
+    taken. Rows of cost 0 always fit; those of negative or null cost never do.
     """
-    numbered = rows.filter(F.col(cost_col) >= 0).withColumn("__at", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    folded = numbered.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("__at", F.col(cost_col).cast("long").alias("c")))).alias("all"))
+    cost = F.col(cost_col).cast("long")
+    free = rows.filter(cost == 0)
+    of_cost = Window.partitionBy(*group, "__cost").orderBy(*order)
+    first = rows.withColumn("__cost", cost).filter((F.col("__cost") > 0) & (F.col("__cost") <= budget)).withColumn("__n", F.row_number().over(of_cost))
+    first = first.filter(F.col("__n") <= budget).filter(F.col("__n") * F.col("__cost") <= budget).drop("__n")
+    numbered = first.withColumn("__at", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    folded = numbered.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("__at", F.col("__cost").alias("c")))).alias("all"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("taken"))
     step = lambda s, x: F.when(s["used"] + x["c"] <= budget, F.struct((s["used"] + x["c"]).alias("used"), F.concat(s["taken"], F.array(x["__at"])).alias("taken"))).otherwise(s)
     taken = folded.select(*group, F.explode(F.aggregate("all", start, step)["taken"]).alias("__at"))
-    return numbered.join(taken, [*group, "__at"]).drop("__at")
+    return numbered.join(taken, [*group, "__at"]).select(*rows.columns).unionByName(free)
 
 
 def layered(rows: DataFrame, key_col: str = "key") -> DataFrame:
