@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import text
+from skein.functions.extract import compressed
+from skein.sources.files import sync_plan
 from skein.sources.tables import table
 
 # Tags that make drift severe, base scores of findings, and the tiers' bounds.
@@ -195,6 +197,13 @@ QUERIES = {
     "t01_standards": lambda spark, d: standards(table(spark, d, "documents"), "doc_id", "text", 5, 20),
     "t04_stale_score": lambda spark, d: stale_score(_findings(spark, d)).select("doc_id", "score", "tier", "safe_to_update", "safe_to_unlink", "safe_to_delete"),
     "t18_outcome": lambda spark, d: outcome(stale_score(_findings(spark, d))).groupBy("outcome").agg(F.count(F.lit(1)).alias("n")),
+    "e12_sync_plan": lambda spark, d: sync_plan(
+        table(spark, d, "documents").filter("doc_id % 7 > 0").select(F.col("doc_id").alias("file_path"), F.md5("text").alias("content_hash")),
+        table(spark, d, "documents").filter("doc_id % 5 > 0").select(F.col("doc_id").alias("file_path"), F.md5(F.when(F.col("doc_id") % 3 == 0, "x").otherwise(F.col("text"))).alias("content_hash")),
+    ),
+    "t02_evidence_links": lambda spark, d: evidence_links(table(spark, d, "part").select("p_partkey", F.concat(F.lit("see `"), F.replace("p_type", F.lit(" "), F.lit("/")), F.lit("` and `"), F.lower("p_brand"), F.lit("` or `part.name`")).alias("t")), "p_partkey", "t"),
+    "t08_rationale": lambda spark, d: rationale(table(spark, d, "part").select("p_partkey", F.concat(F.lit("x\nWhy: "), F.col("p_name"), F.lit("\nnote : "), F.col("p_brand"), F.lit("\n")).alias("t")), "p_partkey", "t"),
+    "t09_compressed": lambda spark, d: table(spark, d, "documents").select("doc_id", F.sha2(compressed(F.col("text")), 256).alias("digest")),
     "f01_catalogue": lambda spark, d: catalogue(_entries(spark, d), 30, query="brand 1", lane="BRAND#13").select("path", "title"),
 }
 
@@ -219,5 +228,9 @@ ORACLE_SQL = {
     "t01_standards": r"with c as (select doc_id, regexp_matches(text, '(?m)^# ') as h, regexp_matches(text, '(?mi)^#+ *purpose') as p, len(string_split(text, chr(10))) as n, trim(text, ' ') = '' as e from documents), i as (select doc_id, array_to_string(list_sort(list_filter([case when not h then 'missing_h1' end, case when not p then 'missing_purpose' end, case when n > 20 then 'over_hard_size' when n > 5 then 'over_size' end, case when e then 'empty' end], lambda x: x is not null)), ',') as issues from c) select * from i where issues <> ''",
     "t04_stale_score": f"with {_T} select * from u",
     "t18_outcome": f"with {_T} select case when score >= 0.75 then 'draft' when score >= 0.4 then 'task' else 'gap' end as outcome, count(*) as n from u group by 1",
+    "e12_sync_plan": "select doc_id as file_path, case when doc_id % 7 = 0 then 'add' when doc_id % 5 = 0 then 'remove' else 'update' end as action from documents where (doc_id % 7 = 0 and doc_id % 5 > 0) or (doc_id % 5 = 0 and doc_id % 7 > 0) or (doc_id % 7 > 0 and doc_id % 5 > 0 and doc_id % 3 = 0)",
+    "t02_evidence_links": "select p_partkey, replace(p_type, ' ', '/') as link from part union all select p_partkey, 'part.name' from part",
+    "t08_rationale": "select p_partkey, 2 as line, 'why' as tag, p_name as note from part union all select p_partkey, 3, 'note', p_brand from part",
+    "t09_compressed": "with d as (select doc_id, text as t, length(text) as n, greatest(400, length(text) // 10) as e from documents) select doc_id, sha256(case when n < 2000 then t else substr(t, 1, e) || chr(10) || '[compressed] ' || (n - 2 * e) || ' characters' || chr(10) || substr(t, n - e + 1, e) end) as digest from d",
     "f01_catalogue": "select p_brand || '/' || p_partkey as path, p_name as title from part where lower(p_brand) = 'brand#13' and contains(lower(p_brand || '/' || p_partkey || ' ' || p_name || ' ' || p_type), '1') order by 1 limit 30",
 }
