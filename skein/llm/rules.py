@@ -148,25 +148,25 @@ def ordered(rules: tuple[Rule, ...], figures: list[tuple[str, float, float]]) ->
     return sorted(rules, key=lambda r: -rate.get(r.name, 0.0))
 
 
-def cascade(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, base: bool = False) -> DataFrame:
-    """df with kept boolean and rejected_by string (the rule that ended the cascade; null if kept).
+def cascade(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, base: bool = False, kept: str = "kept", by: str = "rejected_by") -> DataFrame:
+    """df with the columns kept, boolean, and by, string (the rule that ended the cascade; null if kept).
 
     With base, also n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and
     base_failed boolean. A null text counts as empty. Every row gets its verdict, repeated rows
     too; columns of these names in df are replaced. More than one rule may reject a text:
-    rejected_by is the first in this run's order.
+    by is the first in this run's order.
     """
     order = ordered(rules, estimated(df, text_col, rules, sample_rows))
     base_rules = [r for r in RULES if r.name in BASE]
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def judge(values: list[str | None]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in (*names, "base_failed", "kept", "rejected_by")}
+        out: dict[str, list] = {k: [] for k in (*names, "base_failed", kept, by)}
         for v in values:
             t = Text(v)
-            by = next((r.name for r in order if r.rejects(t)), None)
-            out["kept"].append(by is None)
-            out["rejected_by"].append(by)
+            ended = next((r.name for r in order if r.rejects(t)), None)
+            out[kept].append(ended is None)
+            out[by].append(ended)
             if base:
                 for k in names:
                     out[k].append(getattr(t, k))
@@ -174,7 +174,7 @@ def cascade(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RUL
         return out
 
     figures = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, " if base else ""
-    return map_rows(df, [text_col], figures + "kept boolean, rejected_by string", judge)
+    return map_rows(df, [text_col], figures + f"{kept} boolean, {by} string", judge)
 
 
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

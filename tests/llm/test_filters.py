@@ -220,3 +220,18 @@ def test_pipeline_against_plain_stages(spark, sf_dir):
     whole = corpus_pipeline.run(spark, sf_dir)
     key = ["doc_id", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, whole.select(*key).collect())) == sorted(map(tuple, out.select(*key).collect()))
+
+
+def test_stages_on_odd_rows(spark, odd, none, sf_dir):
+    import corpus_pipeline
+
+    for docs in (odd, none):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf_dir)
+            rows = out.collect()
+            if name == "packing":
+                assert sum(r["start"] == 0 for r in rows) == n
+            else:
+                assert out.columns == docs.columns and len(rows) <= n
+                assert {r["kept"] for r in rows} <= {"clash"} and {r["score"] for r in rows} <= {r["score"] for r in docs.collect()}
