@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import documents, slices
+from skein.llm.common import arrays, documents, lists, slices
 from skein.llm.tokens import encoder, pieces
 
 CHUNK_CHARS = 16_384
@@ -32,9 +32,9 @@ def _encode_whole(df: DataFrame, path: str) -> DataFrame:
     schema = T.StructType([df.schema["id"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, encode = pa.list_(pa.int32()), encoder(path).encode
+        encode = encoder(path).encode
         for b in slices(batches):
-            found = pa.array([encode(t or "").view("int32") for t in b["text"].to_pylist()], kind)
+            found = lists([encode(t or "") for t in b["text"].to_pylist()])
             yield pa.RecordBatch.from_arrays([b["id"], found], names=["id", "ids"])
 
     return df.select("id", "text").mapInArrow(run, schema)
@@ -80,13 +80,13 @@ def _encode_parts(df: DataFrame, path: str, chunk: int) -> DataFrame:
     schema = T.StructType([df.schema["row"], df.schema["id"], *T._parse_datatype_string("k int, ids array<int>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, own = pa.list_(pa.int32()), encoder(path)
+        own = encoder(path)
         for b in slices(batches, 32):
             ids = []
             for k, text, first, last in zip(*(b[c].to_pylist() for c in ("k", "text", "first", "last"))):
                 at = k * chunk
-                ids.append(own.encode_pieces(pieces(text[first - at : None if last is None else last - at])).view("int32"))
-            yield pa.RecordBatch.from_arrays([b["row"], b["id"], b["k"], pa.array(ids, kind)], names=["row", "id", "k", "ids"])
+                ids.append(own.encode_pieces(pieces(text[first - at : None if last is None else last - at])))
+            yield pa.RecordBatch.from_arrays([b["row"], b["id"], b["k"], lists(ids)], names=["row", "id", "k", "ids"])
 
     return df.select("row", "id", "k", "text", "first", "last").mapInArrow(run, schema)
 
@@ -125,7 +125,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for b in slices(batches):
-            found = pa.array([own.decode(ids or []) for ids in b[ids_col].to_pylist()], pa.binary())
+            found = pa.array([own.decode(ids) for ids in arrays(b[ids_col])], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, found], names=[*b.schema.names, out])
 
     return df.mapInArrow(run, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +38,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield b.slice(at, rows)
 
 
-def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+def lists(arrays: list[np.ndarray], dtype: str = "int32") -> pa.ListArray:
+    """Arrays as one Arrow list column, without going through Python objects."""
+    offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays], dtype=np.int64))).astype(np.int32)
+    flat = np.concatenate(arrays).view(dtype) if arrays else np.zeros(0, dtype)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
+def arrays(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """An Arrow list column as arrays; null is empty."""
+    offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    for k, valid in enumerate(column.is_valid().to_pylist()):
+        yield flat[offsets[k] : offsets[k + 1]] if valid else flat[:0]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

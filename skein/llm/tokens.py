@@ -40,7 +40,7 @@ class Encoder:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self._of_rank = [b""] * (max(ranks.values()) + 1)
+        self._of_rank = np.full(max(ranks.values()) + 1, b"", dtype=object)
         for b, i in ranks.items():
             self._of_rank[i] = b
 
@@ -66,9 +66,9 @@ class Encoder:
     def encode_pieces(self, of: list[str]) -> np.ndarray:
         return np.frombuffer(b"".join(map(self._whole.__getitem__, of)), dtype=np.uint32)
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: np.ndarray) -> bytes:
         """The raw bytes of the ids, one after the other; they need not be valid UTF-8 in part."""
-        return b"".join(map(self._of_rank.__getitem__, ids))
+        return b"".join(self._of_rank[ids])
 
 
 @lru_cache(maxsize=4)
