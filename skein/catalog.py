@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.operators import docs, graph, memory, report, resolve, rules, search, traverse
+from skein.operators import code, docs, graph, memory, report, resolve, rules, search, states, traverse
+from skein.plans import overview
 from skein.streaming import relay
 
-MODULES = (traverse, graph, search, report, docs, memory, rules, resolve, relay)
+MODULES = (traverse, graph, search, report, docs, memory, rules, resolve, code, states, overview, relay)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
 FLAGSHIP = "a07_degree_hubs"

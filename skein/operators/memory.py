@@ -84,10 +84,10 @@ def packed(rows: DataFrame, group: list[str], order: list[Column], cost_col: str
     first = rows.withColumn("__cost", cost).filter((F.col("__cost") > 0) & (F.col("__cost") <= budget)).withColumn("__n", F.row_number().over(of_cost))
     first = first.filter(F.col("__n") <= budget).filter(F.col("__n") * F.col("__cost") <= budget).drop("__n")
     numbered = first.withColumn("__at", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    folded = numbered.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("__at", F.col("__cost").alias("c")))).alias("all"))
+    folded = numbered.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("__at", F.col("__cost").alias("c")))).alias("__rows"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("taken"))
     step = lambda s, x: F.when(s["used"] + x["c"] <= budget, F.struct((s["used"] + x["c"]).alias("used"), F.concat(s["taken"], F.array(x["__at"])).alias("taken"))).otherwise(s)
-    taken = folded.select(*group, F.explode(F.aggregate("all", start, step)["taken"]).alias("__at"))
+    taken = folded.select(*group, F.explode(F.aggregate("__rows", start, step)["taken"]).alias("__at"))
     return numbered.join(taken, [*group, "__at"]).select(*rows.columns).unionByName(free)
 
 
