@@ -36,8 +36,10 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Words of a class, id or role that tell of something other than the article.
 NOTICE = frozenset(
     "ad ads adv advert advertisement advertising adsbygoogle banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar cookie cookies consent gdpr notice "
-    "popup modal overlay newsletter subscribe subscription signup login comment comments disqus respond reply replies share sharing social related recommended footer widget toolbar pagination pager".split()
+    "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended footer widget toolbar pagination pager contentinfo complementary search masthead alert notification disclaimer".split()
 )
+#: The same for what readers wrote.
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
 #: An element that begins where one of these is open ends it.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _BLOCK_ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -46,9 +48,11 @@ _WHOLE = frozenset(("html", "body", "article", "main"))
 
 
 class _Node:
+    """dropped: 0, 1 (by a word of a class, which may name a layout around the article), or 2 (for good)."""
+
     __slots__ = ("tag", "dropped", "parts", "subtree", "main")
 
-    def __init__(self, tag: str, dropped: bool, main: bool) -> None:
+    def __init__(self, tag: str, dropped: int, main: bool) -> None:
         self.tag, self.dropped, self.main, self.parts, self.subtree = tag, dropped, main, [], [0]
 
 
@@ -62,7 +66,7 @@ def parse(page: str) -> tuple[list[int], list[tuple[str, list[int], bool]]]:
     Elements whose content is never main text are hashed but give no blocks. Markup may be
     unfinished: what is open at the end closes there, and an end tag closes what is open inside it.
     """
-    root = _Node("", False, False)
+    root = _Node("", 0, False)
     stack, hashes = [root], []
     blocks: list[tuple[list[str], list[list[int]], bool]] = []
     current: list[str] = []
@@ -130,9 +134,17 @@ def parse(page: str) -> tuple[list[int], list[tuple[str, list[int], bool]]]:
             flush()
         attributes = m[3]
         inside = stack[-1].main
-        named = {w for x in _NAMED.findall(attributes) for w in _WORD.findall(" ".join(x).lower())} if "=" in attributes else ()
-        out = tag in DROPPED or (tag == "header" and not inside) or (bool(named) and tag not in _WHOLE and not NOTICE.isdisjoint(named)) or " hidden" in f"{attributes.lower()} "
-        stack.append(_Node(tag, stack[-1].dropped or out, inside or tag in _MAIN))
+        named = {w for x in _NAMED.findall(attributes) for w in _WORD.findall(" ".join(x).lower())} if "=" in attributes else frozenset()
+        above = stack[-1].dropped
+        if tag in DROPPED or (tag == "header" and not inside) or not COMMENTS.isdisjoint(named) or " hidden" in f"{attributes.lower()} " or "display:none" in attributes.replace(" ", ""):
+            out = 2
+        elif tag not in ("html", "body") and not NOTICE.isdisjoint(named):
+            out = 1
+        else:
+            out = 0
+        if tag in _MAIN and not inside and above < 2:
+            above = 0
+        stack.append(_Node(tag, max(above, out), inside or (tag in _MAIN and not out)))
         if tag in RAW:
             end = re.compile(rf"</{tag}\b", re.I).search(page, at)
             stop = end.start() if end else len(page)

@@ -144,6 +144,9 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 def test_main_text():
     _, blocks = html.parse(PAGE % "")
     assert html._joined(blocks, frozenset()) == "Title & more First bold text, next line <i> Second"
+    layout = '<div class="layout has-sidebar"><div class="sidebar">side</div><article class="post"><p>Own</p><article class="comment"><p>theirs</p></article><p class="share-buttons">x</p></article></div><section id="comments"><article><p>more</p></article></section>'
+    assert html._joined(html.parse(layout)[1], frozenset()) == "Own"
+    assert html._joined(html.parse('<body class="ad"><div hidden>h</div><p style="display: none">n</p><p>kept <span class="ad">buy</span>text</p></body>')[1], frozenset()) == "kept text"
     for broken in ("", "<", "<p", "a<b", "</p></div>", "<article><p>x<b>y", "<script>never ends", "<!-- open", "a &am", "<p>x</p><p>y"):
         html.parse(broken)
     assert html._joined(html.parse("<article><p>x<b>y &am")[1], frozenset()) == "xy &am"
