@@ -204,7 +204,8 @@ def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m: in
     label = checkpointed(components(links(nodes.select("fp"), m, group_rows=group_rows)).withColumnRenamed("node", "fp"))
     joined = nodes.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     of_label = nodes.join(label, "fp").groupBy("label").agg(F.min("least").alias("best"))
-    placed = joined.join(of_label, "label", "left").select("fp", F.col("label").alias("component"), F.coalesce("best", "least").alias("component_id"))
+    # Written, so that both sides of the next join are plain shuffles and Spark can split a fingerprint that very many rows have.
+    placed = checkpointed(joined.join(of_label, "label", "left").select("fp", F.col("label").alias("component"), F.coalesce("best", "least").alias("component_id")))
     return base.join(placed, "fp").select(F.col("id").alias(id_col), "fp", "h", "component", "component_id")
 
 
