@@ -209,13 +209,13 @@ def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m: in
     return base.join(placed, "fp").select(F.col("id").alias(id_col), "fp", "h", "component", "component_id")
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m: int | None = None) -> DataFrame:
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m: int | None = None, found: DataFrame | None = None) -> DataFrame:
     """The rows of df without near-duplicates: of each group the row with the smallest id stays (of equal ids one).
 
-    All columns stay as they are. Texts are read again rather than shuffled; only rows that occur
+    found (id_col, h, component) has the groups; without it they are grouped()'s. All columns stay as they are. Texts are read again rather than shuffled; only rows that occur
     more than once, id and text alike, are shuffled to keep one of them.
     """
-    found = grouped(df, id_col, text_col, m)
+    found = grouped(df, id_col, text_col, m) if found is None else found
     first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("h").alias("h"))
     counted = found.groupBy("component", first.alias("row")).agg(F.count(F.lit(1)).alias("n"))
     stays = checkpointed(counted.groupBy("component").agg(F.min(F.struct("row", "n")).alias("s")).select(F.col("s.row.h").alias("__h"), F.col("s.row.id").alias("__id"), F.col("s.n").alias("__n")))
