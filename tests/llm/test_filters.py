@@ -113,6 +113,19 @@ def test_lines_of_templates(spark, odd, none):
     assert lines.deduplicated(none).count() == 0
 
 
+def test_leaves_hold_several_templates(spark):
+    name = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    a = [f"Read this first {name(k)} then go on to the very next page of our long guide" for k in range(4)]
+    b = [f"Read this first and tell all your old friends about the fine {name(k)} shop we run" for k in range(4)]
+    assert len({lines.parse(x.encode())[1] for x in a + b}) == 1
+    others = ["Read this first " + " ".join(f"{name(k)}{w}" for w in "qrstuvwxyzabc") for k in range(12)]
+    assert {len(x.split()) for x in others} == {len(x.split()) for x in a + b}
+    docs = list(enumerate([*a, *b, *others]))
+    left = {r["doc_id"]: r for r in lines.deduplicated(spark.createDataFrame(docs, "doc_id long, text string"), dropped_col="gone").collect()}
+    assert {k for k, r in left.items() if r["gone"]} == {1, 2, 3, 5, 6, 7}
+    assert all(r["gone"] == (0 if r["text"] else 1) for r in left.values())
+
+
 def test_urls(spark):
     rows = [(1, "https://A.Example.ORG/es/1"), (2, "http://x.example.com/fr/2?a"), (3, "http://com/de/"), (4, None), (5, "no scheme"), (6, "a://b://c/d#e"), (7, "http://notexample.org"), (8, "http://example.org/en/12"), (8, "http://example.org/en/12"), (9, "http://h.net#x/y")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("Host", F.lit("clash"))
