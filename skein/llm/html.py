@@ -25,7 +25,8 @@ MIN_PAGES = 5
 BROADCAST_HASHES = 1_000_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
-_NAMED = re.compile(r"(?:^|[\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
@@ -40,6 +41,9 @@ NOTICE = frozenset(
 )
 #: The same for what readers wrote.
 COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+#: Words that name a subject as well, when an article's heading or section has them.
+AMBIGUOUS = frozenset("ad ads alert banner comment comments consent cookie cookies disclaimer discussion login menu navigation newsletter notice notification popup privacy promotion reply replies related response search share sharing sidebar social sponsor sponsored subscription".split())
+_TITLED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
 #: An element that begins where one of these is open ends it.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _BLOCK_ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -47,6 +51,14 @@ _MAIN = ("article", "main")
 _WHOLE = frozenset(("html", "body", "article", "main"))
 
 
+def _attributes(raw: str) -> dict[str, str]:
+    """Values by lower-case name; of equal names the first counts."""
+    found: dict[str, str] = {}
+    for name, *value in _ATTRIBUTE.findall(raw):
+        found.setdefault(name.lower(), unescape("".join(value)))
+    return found
+
+
 class _Node:
     """dropped: 0, 1 (by a word of a class, which may name a layout around the article), or 2 (for good)."""
 
@@ -132,11 +144,14 @@ def parse(page: str) -> tuple[list[int], list[tuple[str, list[int], bool]]]:
             close()
         if tag not in INLINE:
             flush()
-        attributes = m[3]
+        attributes = _attributes(m[3]) if m[3] else {}
         inside = stack[-1].main
-        named = {w for x in _NAMED.findall(attributes) for w in _WORD.findall(" ".join(x).lower())} if "=" in attributes else frozenset()
+        judged = ("class", "role") if inside else ("class", "id", "role")
+        named = {w for x in judged if x in attributes for w in _WORD.findall(attributes[x].lower())}
+        if inside and tag in _TITLED:
+            named -= AMBIGUOUS
         above = stack[-1].dropped
-        if tag in DROPPED or (tag == "header" and not inside) or not COMMENTS.isdisjoint(named) or " hidden" in f"{attributes.lower()} " or "display:none" in attributes.replace(" ", ""):
+        if tag in DROPPED or (tag == "header" and not inside) or not COMMENTS.isdisjoint(named) or "hidden" in attributes or _UNSEEN.search(attributes.get("style", "")):
             out = 2
         elif tag not in ("html", "body") and not NOTICE.isdisjoint(named):
             out = 1

@@ -165,6 +165,16 @@ def test_main_text():
     assert html._joined(html.parse("<article><p>x<b>y &am")[1], frozenset()) == "xy &am"
 
 
+def test_attributes_are_told_from_their_values():
+    text = lambda page: html._joined(html.parse(page)[1], frozenset())
+    assert text('<div style="overflow: hidden"><article class="x" style="color:red; overflow: hidden"><p class="x hidden-print">One</p> <a title="The hidden cost" href="/display:none">two</a></article></div>') == "One two"
+    inside = '<h2 id="related-work">Related</h2><section id="discussion"><p>said</p></section><p id="notice">this</p><section class="discussion"><h3 class="search">Search</h3></section>'
+    assert text(f"<article>{inside}</article>") == "Related said this Search"
+    for gone in ("<p hidden>x</p>", "<p HIDDEN=''>x</p>", "<p class=a hidden/>x</p>", "<p style='color:red;display : NONE'>x</p>", '<div class="related">x</div>', '<div role="search">x</div>', '<div class="comments">x</div>'):
+        assert text(f"<article><p>kept</p>{gone}</article>") == "kept", gone
+    assert text('<p>kept</p><div id="comments">x</div><div id="sidebar">x</div>') == "kept"
+
+
 def test_templates_go(spark):
     same = "<div><p>Follow us on all our channels</p></div>"
     pages = [(k, f"http://a.org/{k}", f"<body><article><p>own {prose(k, 10)}</p>{same}</article></body>") for k in range(10)]
