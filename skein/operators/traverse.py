@@ -17,6 +17,8 @@ from skein.sources.tables import GRAPH_SQL, edges, symbols
 CALLER_TYPES = ("CALLS", "HTTP_CALLS", "ASYNC_CALLS")
 IMPACT_TYPES = ("CALLS", "HTTP_CALLS", "ASYNC_CALLS", "ROUTES_TO")
 MAX_ROUNDS = 100
+#: So many levels are united before they are written as one.
+LEVELS = 20
 
 
 def directed(edge_rows: DataFrame, direction: str) -> DataFrame:
@@ -145,6 +147,19 @@ def entry_points(symbol_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     return symbol_rows.filter(is_entry_name(F.col("name"))).join(inbound, "symbol_id", "left").select("symbol_id", F.coalesce("inbound", F.lit(0)).cast("long").alias("inbound"))
 
 
+def reached(steps: DataFrame, seeds: DataFrame) -> DataFrame:
+    """node of all that seeds reach along steps (from_id, to_id), seeds included, however many hops away."""
+    known = frontier = checkpointed(seeds.select("node").distinct())
+    hop = 0
+    while frontier.limit(1).count():
+        found = steps.join(frontier.withColumnRenamed("node", "from_id"), "from_id").select(F.col("to_id").alias("node")).distinct()
+        frontier = checkpointed(found.join(known, "node", "left_anti"))
+        known, hop = known.union(frontier), hop + 1
+        if hop % LEVELS == 0:
+            known = checkpointed(known)
+    return known
+
+
 def live(symbol_rows: DataFrame, edge_rows: DataFrame, pool: DataFrame) -> DataFrame:
     """symbol_id of the pool's symbols that production code reaches.
 
@@ -162,8 +177,8 @@ def live(symbol_rows: DataFrame, edge_rows: DataFrame, pool: DataFrame) -> DataF
     entries = production.filter(is_entry_name(F.col("name"))).select("symbol_id")
     roots = checkpointed(used.union(entries).distinct())
     steps = carried.select(F.col("source_id").alias("from_id"), F.col("target_id").alias("to_id"))
-    reached = search(steps, roots.withColumnRenamed("symbol_id", "node"), MAX_ROUNDS, {}).select(F.col("node").alias("symbol_id"))
-    return roots.union(reached).distinct().join(mine, "symbol_id", "left_semi")
+    found = reached(steps, roots.withColumnRenamed("symbol_id", "node")).select(F.col("node").alias("symbol_id"))
+    return found.join(mine, "symbol_id", "left_semi")
 
 
 def dead_subgraph(edge_rows: DataFrame, dead: DataFrame) -> DataFrame:
@@ -196,6 +211,8 @@ def components(edge_rows: DataFrame, members: DataFrame | None = None) -> DataFr
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError("components did not settle")
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select("b", "b").distinct())
 
 

@@ -48,6 +48,17 @@ def test_life_and_death(edge, symbol):
     assert {r[0] for r in traverse.dead_subgraph(e, dead).collect()} == {"x", "y"}
 
 
+def test_life_goes_on_however_long_the_chain(edge, symbol, monkeypatch):
+    monkeypatch.setattr(traverse, "MAX_ROUNDS", 2)
+    monkeypatch.setattr(traverse, "LEVELS", 3, raising=False)
+    names = ["main", *[f"s{i}" for i in range(8)]]
+    s, e = symbol(*[(n, "src/m.py") for n in names]), edge(*zip(names, names[1:]))
+    assert sorted(r[0] for r in traverse.live(s, e, s).collect()) == sorted(names)
+    assert graph.unused_candidates(s, e, s).count() == 0
+    with pytest.raises(RuntimeError):
+        traverse.components(edge(*[(f"n{i}", f"n{i + 1}") for i in range(20)]))
+
+
 def test_two_triangles_are_two_communities(edge):
     e = edge(("a1", "a2"), ("a2", "a3"), ("a3", "a1"), ("b1", "b2"), ("b2", "b3"), ("b3", "b1"), ("a1", "b1", "DOCUMENTED_BY"))
     c = {r["node"]: r["community"] for r in graph.communities(e).collect()}
