@@ -15,6 +15,9 @@ import tiktoken
 #: Pieces whose ids a worker remembers; the commonest come early and so stay.
 REMEMBERED = 250_000
 
+#: A token that the tokenizer's file adds to the ranks; its string is cut out before anything else.
+END_OF_TEXT, END_OF_TEXT_ID = "<|endoftext|>", 50256
+
 _PRE_TOKEN = regex.compile(public_tokenizers.PATTERN)
 _ADJACENT_SPACE = re.compile(r"\s\s")
 
@@ -63,6 +66,14 @@ class Encoder:
         first, *rest = text.replace("\n", " \n").split(" ")
         return np.frombuffer(self._whole[first] + b"".join(map(self._spaced.__getitem__, rest)), dtype=np.uint32)
 
+    def encode_added(self, text: str) -> np.ndarray:
+        """uint32 ids of the whole text as the tokenizers library gives them: END_OF_TEXT is one id, what is between is encoded by itself."""
+        if END_OF_TEXT not in text:
+            return self.encode(text)
+        first, *rest = map(self.encode, text.split(END_OF_TEXT))
+        end = np.array([END_OF_TEXT_ID], dtype=np.uint32)
+        return np.concatenate([first, *[x for part in rest for x in (end, part)]])
+
     def encode_pieces(self, of: list[str]) -> np.ndarray:
         return np.frombuffer(b"".join(map(self._whole.__getitem__, of)), dtype=np.uint32)
 

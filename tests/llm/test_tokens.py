@@ -43,6 +43,17 @@ def test_rank_file_gives_the_ids_of_the_tokenizer():
         assert tokens.encoder(RANKS).encode(t).tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_the_added_token_is_one_id(spark):
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [*ODD_TEXTS, prose(3, 40), f"a {end} b", end * 2, f"{end}  x", f"one  {end}\n\n{end} it's", f"a{end[:-1]}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in packing.pack(df, RANKS).orderBy("doc_id", "start").collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], []) + np.frombuffer(r["ids"], dtype="<u4").tolist()
+    assert got == {k: [*whole.encode(t, add_special_tokens=False).ids, packing.END_ID] for k, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize("chunk,overlap", [(64, 32), (300, 300), (16_384, 512)])
 def test_chunks_are_stitched(spark, chunk, overlap):
     rng = random.Random(chunk)
