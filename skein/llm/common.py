@@ -17,25 +17,43 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 
 #: Rows that a Python step turns into objects at a time.
 SLICE_ROWS = 256
+#: And bytes, if there is more than one.
+SLICE_BYTES = 8 << 20
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, so that later steps read it and lost executors don't matter.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir; only where a session names none (as in a
-    local test) a temporary one is set.
+    Only where a local session names none (as in a test) is it a new temporary one; on a cluster
+    that is an error, as a machine's own folder is lost with the machine.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skein-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder, so that later steps read it and lost executors don't matter."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most so many rows, which bounds a task's Python objects."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows and bytes (or one row), which bounds a task's Python objects."""
+    waiting = (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+    for b in waiting:
+        parts = [b]
+        while parts:
+            x = parts.pop()
+            if x.num_rows > 1 and x.nbytes > most:
+                half = x.num_rows // 2
+                parts += [x.slice(half), x.slice(0, half)]
+            else:
+                yield x
 
 
 def lists(arrays: list[np.ndarray], dtype: str = "int32") -> pa.ListArray:
@@ -53,15 +71,12 @@ def arrays(column: pa.ListArray) -> Iterator[np.ndarray]:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def row_hash(*cols: str) -> Column:
-    """64 bits of a row's content, to tell rows of one id apart."""
-    return F.xxhash64(*cols)
+    """The whole table of documents."""
+    return table(spark, sf_dir, "documents")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A whole table of sf_dir."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

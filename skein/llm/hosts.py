@@ -16,9 +16,15 @@ from skein.llm.common import broadcast_if_small, checkpointed, fresh, table
 
 #: host, path, verdict; a rule fits its host and all subdomains, and paths that start with its path.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+#: Suffixes of two labels under which names are registered; a parameter, as the public list changes. Every other last label is a suffix.
+SUFFIXES = (
+    "ac.jp", "ac.nz", "ac.uk", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.eg", "com.hk",
+    "com.mx", "com.my", "com.ng", "com.pe", "com.ph", "com.pk", "com.sa", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.cn", "gov.au", "gov.br", "gov.cn", "gov.in", "gov.uk",
+    "ne.jp", "net.au", "net.br", "net.cn", "net.nz", "or.jp", "or.kr", "org.au", "org.br", "org.cn", "org.nz", "org.uk",
+)
 #: Rule tables of at most so many rows are broadcast.
 BROADCAST_RULES = 10_000
-#: Hosts with their rules are broadcast if there are at most so many of both.
+#: Hosts with their rules are broadcast if there are at most so many of both (64 characters of a host count as one more).
 BROADCAST_HOSTS = 200_000
 #: A host whose share of good pages is, by its posterior, under this is blocked.
 LEAST_GOOD = 0.5
@@ -34,17 +40,20 @@ def host(url: Column) -> Column:
 
 
 def path(url: Column) -> Column:
+    """After the host up to ? # or the end; empty for null or where there is no ://."""
     return F.regexp_extract(F.coalesce(url, F.lit("")), _URL, 2)
 
 
-def suffix(h: Column) -> Column:
-    """The last label."""
-    return F.substring_index(h, ".", -1)
+def suffix(h: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The last two labels if they are one of suffixes, else the last label."""
+    two = F.substring_index(h, ".", -2)
+    return F.when(two.isin(*suffixes), two).otherwise(F.substring_index(h, ".", -1)) if suffixes else F.substring_index(h, ".", -1)
 
 
-def domain(h: Column) -> Column:
-    """The last two labels."""
-    return F.substring_index(h, ".", -2)
+def domain(h: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The registered domain: the suffix and the label before it (the whole host where there is none)."""
+    two = F.substring_index(h, ".", -2)
+    return F.when(two.isin(*suffixes), F.substring_index(h, ".", -3)).otherwise(two) if suffixes else two
 
 
 def strength(counts: DataFrame) -> tuple[float, float]:
@@ -89,13 +98,14 @@ def reputations(outcomes: DataFrame) -> DataFrame:
 def fitting(hosts: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """column host (distinct) to host, rules: array<struct<n, rule, rule_path, verdict>> of those that fit the host, longest first.
 
-    A host is looked up under all of its suffixes. Of two rules of one length the greater string
+    A host is looked up under its last labels, as many as the rule with most labels has: a host of
+    very many labels costs no more than others. Of two rules of one length the greater string
     goes first. Hosts without rules are left out.
     """
     own = hosts.sparkSession.createDataFrame(list(rules), "rule_host string, rule_path string, verdict string")
     own = F.broadcast(own) if len(rules) <= BROADCAST_RULES else own
-    labels = F.split("host", r"\.", -1)
-    tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    most = max((h.count(".") + 1 for h, _, _ in rules), default=1)
+    tails = F.array_distinct(F.array(*[F.substring_index("host", ".", -i) for i in range(1, most + 1)]))
     fits = hosts.select("host", F.explode(tails).alias("rule_host")).join(own, "rule_host")
     name = F.concat("rule_host", "rule_path")
     return fits.groupBy("host").agg(F.sort_array(F.collect_list(F.struct(F.length(name).alias("n"), name.alias("rule"), "rule_path", "verdict")), asc=False).alias("rules"))
@@ -116,7 +126,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str
     of_host = known.select("host", "bound").join(fitting(hosts, rules), "host", "left")
     best = F.get(F.filter("rules", lambda r: F.col("path").startswith(r["rule_path"])), 0)
     own = F.when(F.col("bound") >= least_good, F.lit("allow")).otherwise(F.lit("block"))
-    met = placed.join(broadcast_if_small(of_host, F.coalesce(F.size("rules"), F.lit(0)) + 1, BROADCAST_HOSTS), "host", "left")
+    met = placed.join(broadcast_if_small(of_host, F.coalesce(F.size("rules"), F.lit(0)) + 1 + F.length("host") / 64, BROADCAST_HOSTS), "host", "left")
     return met.withColumns({"rule": best["rule"], "verdict": F.coalesce(best["verdict"], own)}).drop("rules")
 
 
@@ -141,11 +151,12 @@ def _strength_sql(level: str) -> str:
     return f"(select {p} as mean, 1 / case when count(*) > 1 and {possible} > 0 then least(0.5, greatest(0.001, {between} / {possible})) else 0.5 end - 1 as strength from {level} where n > 0)"
 
 
+_TWO_SQL = f"array_to_string(string_split(host, '.')[-2:], '.') in {SUFFIXES}"
 OP3_SQL = rf"""
 with u as (select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}') as host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path from pages),
 l as (select doc_id, min(quality) as good from labels where quality in (0, 1) group by doc_id),
 o as (select host, good from u left join l on doc_id = try_cast(nullif(regexp_extract(path, '/([0-9]{{1,18}})', 1), '') as bigint)),
-h as (select host, count(good) as n, coalesce(sum(good), 0) as good, array_to_string(string_split(host, '.')[-2:], '.') as domain, string_split(host, '.')[-1] as suffix from o group by host),
+h as (select host, count(good) as n, coalesce(sum(good), 0) as good, array_to_string(string_split(host, '.')[case when {_TWO_SQL} then -3 else -2 end:], '.') as domain, case when {_TWO_SQL} then array_to_string(string_split(host, '.')[-2:], '.') else string_split(host, '.')[-1] end as suffix from o group by host),
 d as (select domain, any_value(suffix) as suffix, sum(n) as n, sum(good) as good from h group by domain),
 s as (select suffix, sum(n) as n, sum(good) as good from d group by suffix),
 s2 as (select suffix, (good + strength * mean) / (n + strength) as m from s, {_strength_sql('s')}),

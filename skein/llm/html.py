@@ -1,30 +1,37 @@
 """Main text of web pages, without what a site repeats.
 
-A page's elements are hashed from their names and content, like a Merkle tree. Spark counts, host
-by host, on how many pages a subtree occurs; subtrees that recur on most pages of a host are its
-template, and their text goes. What is left outside the article, and menus, notices, forms and the
-like inside it, goes by the elements' names and classes.
+A page's elements are hashed from their names and content, like a Merkle tree, together with their
+slot: the host and the names and classes of the elements around them. Spark counts on how many
+pages of its host a subtree occurs. Subtrees that recur in a slot whose content mostly recurs (a
+menu in several versions, say), or on most of the host's pages, are the site's template, and all
+their text goes, whatever they are called and wherever they are, in the article too. A paragraph
+that several articles share stays: what else is in its slot does not recur. What templates can't
+tell, as on hosts with few pages, goes by the elements' names and classes; and where articles hold
+most of what is left, the rest of the page goes.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Container
+from dataclasses import dataclass
 from html import unescape
 
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import broadcast_if_small, checkpointed, fresh, map_rows, table
+from skein.llm.common import checkpointed, fresh, map_rows, table
 from skein.llm.hosts import host
 
-#: A subtree is a template if it is on more than this share of a host's pages, and on so many at least.
+#: A subtree recurs if so many of a host's pages have it; it is a template if more than this share of its slot's subtrees recur, or of the host's pages have it.
 SHARE = 0.5
 MIN_PAGES = 5
-#: Templates are broadcast if they have at most so many hashes (8 bytes each) in all.
-BROADCAST_HASHES = 1_000_000
+#: Templates go to all tasks if they have at most so many keys (8 bytes each) in all.
+BROADCAST_KEYS = 200_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _WORD = re.compile(r"[a-z]+|[0-9]+")
@@ -49,6 +56,9 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 _BLOCK_ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _MAIN = ("article", "main")
 _WHOLE = frozenset(("html", "body", "article", "main"))
+#: Short parts of an article, which recur by chance; what holds them is counted.
+_PARTS = frozenset("h1 h2 h3 h4 h5 h6 li dt dd tr td th caption".split())
+_NUMBER = re.compile(r"[0-9]+")
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -60,75 +70,97 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 class _Node:
-    """dropped: 0, 1 (by a word of a class, which may name a layout around the article), or 2 (for good)."""
+    """dropped: 0, 1 (by a word of a class, which may name a layout around the article), or 2 (for good). key: 0 if it isn't counted."""
 
-    __slots__ = ("tag", "dropped", "parts", "subtree", "main")
+    __slots__ = ("tag", "parent", "dropped", "main", "slot", "parts", "key")
 
-    def __init__(self, tag: str, dropped: int, main: bool) -> None:
-        self.tag, self.dropped, self.main, self.parts, self.subtree = tag, dropped, main, [], [0]
+    def __init__(self, tag: str, parent: _Node | None, dropped: int, main: bool, slot: int) -> None:
+        self.tag, self.parent, self.dropped, self.main, self.slot, self.parts, self.key = tag, parent, dropped, main, slot, [], 0
+
+
+@dataclass(frozen=True)
+class Block:
+    """A run of text inside element; dropped if an element's name or class tells that it isn't main text; main in an article."""
+
+    text: str
+    element: _Node
+    dropped: bool
+    main: bool
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def parse(page: str) -> tuple[list[int], list[tuple[str, list[int], bool]]]:
-    """(hashes of all subtrees with content; blocks of text: text, hashes of the elements around it, whether an article or main is around it).
+def parse(page: str, host_name: str = "") -> tuple[list[_Node], list[Block]]:
+    """(elements whose subtrees are counted, each with key and slot; blocks of text in the page's order).
 
-    Elements whose content is never main text are hashed but give no blocks. Markup may be
-    unfinished: what is open at the end closes there, and an end tag closes what is open inside it.
+    Scripts, styles and the like give neither. Markup may be unfinished: what is open at the end
+    closes there, and an end tag closes what is open inside it. Every step looks at the top of the
+    stack only, so that deep nesting costs no more than its length.
     """
-    root = _Node("", 0, False)
-    stack, hashes = [root], []
-    blocks: list[tuple[list[str], list[list[int]], bool]] = []
-    current: list[str] = []
-    owners: list[_Node] = []
+    digest = xxhash.xxh64_intdigest
+    root = _Node("", None, 0, False, digest(host_name.encode("utf-8", "surrogatepass")))
+    stack, counted = [root], []
+    opened: Counter[str] = Counter()
+    blocks: list[Block] = []
+    runs: tuple[list[str], list[str]] = ([], [])  # of main text, and of dropped text
+    owner: list[_Node] = [root, root]
 
     def flush() -> None:
-        nonlocal current, owners
-        if current:
-            text = " ".join("".join(current).split())
-            if text:
-                blocks.append((text, [n.subtree for n in owners], any(n.main for n in owners)))
-            current = []
+        for gone in (0, 1):
+            if runs[gone]:
+                text = " ".join("".join(runs[gone]).split())
+                if text:
+                    blocks.append(Block(text, owner[gone], bool(gone), owner[gone].main))
+                runs[gone].clear()
 
     def text(raw: str) -> None:
-        nonlocal owners
         top = stack[-1]
         value = unescape(raw) if "&" in raw else raw
         top.parts.append(value)
-        if not top.dropped:
-            if not current:
-                owners = [n for n in stack[1:] if n.tag not in INLINE]
-            current.append(value)
+        gone = 1 if top.dropped else 0
+        if not runs[gone]:
+            owner[gone] = top if top.tag not in INLINE else next(n for n in reversed(stack) if n.tag not in INLINE)
+        runs[gone].append(value)
 
     def close() -> None:
         node = stack.pop()
-        if node.tag not in INLINE:
-            flush()
+        opened[node.tag] -= 1
         content = " ".join("".join(node.parts).split())
+        node.parts.clear()
+        if node.tag in INLINE:
+            stack[-1].parts.append(content)
+            return
+        flush()
         if content:
-            h = _signed(xxhash.xxh64_intdigest(f"{node.tag}\0{content}"))
-            node.subtree[0] = h
-            if node.tag not in _WHOLE:
-                hashes.append(h)
-            stack[-1].parts.append(f" {h} " if node.tag not in INLINE else content)
+            h = digest(content.encode("utf-8", "surrogatepass"), node.slot)
+            stack[-1].parts.append(f" {h} ")
+            if node.tag not in _WHOLE and not (node.main and node.tag in _PARTS):
+                node.key = _signed(h)
+                counted.append(node)
+
+    def close_through(tag: str) -> None:
+        while stack[-1].tag != tag:
+            close()
+        close()
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
+    while (start := page.find("<", at)) >= 0:
+        m = _TOKEN.match(page, start)
+        if m is None:  # not a tag
+            text(page[at : start + 1])
+            at = start + 1
             continue
-        if m.start() > at:
-            text(page[at : m.start()])
+        if start > at:
+            text(page[at:start])
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
         if m[1]:
-            if any(n.tag == tag for n in stack[1:]):
-                while stack[-1].tag != tag:
-                    close()
-                close()
+            if opened[tag] > 0:
+                close_through(tag)
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
@@ -136,21 +168,24 @@ def parse(page: str) -> tuple[list[int], list[tuple[str, list[int], bool]]]:
                 if tag == "hr":
                     flush()
             continue
-        if tag in _BLOCK_ENDS_P and any(n.tag == "p" for n in stack[1:]):
-            while stack[-1].tag != "p":
-                close()
-            close()
+        if tag in RAW:
+            end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+            at = end.end() if end else len(page)
+            continue
+        if tag in _BLOCK_ENDS_P and opened["p"] > 0:
+            close_through("p")
         if tag in _CLOSES and stack[-1].tag in _CLOSES[tag]:
             close()
         if tag not in INLINE:
             flush()
         attributes = _attributes(m[3]) if m[3] else {}
-        inside = stack[-1].main
+        top = stack[-1]
+        inside = top.main
         judged = ("class", "role") if inside else ("class", "id", "role")
         named = {w for x in judged if x in attributes for w in _WORD.findall(attributes[x].lower())}
         if inside and tag in _TITLED:
             named -= AMBIGUOUS
-        above = stack[-1].dropped
+        above = top.dropped
         if tag in DROPPED or (tag == "header" and not inside) or not COMMENTS.isdisjoint(named) or "hidden" in attributes or _UNSEEN.search(attributes.get("style", "")):
             out = 2
         elif tag not in ("html", "body") and not NOTICE.isdisjoint(named):
@@ -159,63 +194,112 @@ def parse(page: str) -> tuple[list[int], list[tuple[str, list[int], bool]]]:
             out = 0
         if tag in _MAIN and not inside and above < 2:
             above = 0
-        stack.append(_Node(tag, max(above, out), inside or (tag in _MAIN and not out)))
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\b", re.I).search(page, at)
-            stop = end.start() if end else len(page)
-            stack[-1].parts.append(page[at:stop])
-            at = stop
+        name = tag if tag in _WHOLE else f"{tag}.{_NUMBER.sub('#', attributes.get('class', '').lower())}"
+        slot = top.slot if tag in INLINE else digest(name.encode("utf-8", "surrogatepass"), top.slot)
+        stack.append(_Node(tag, top, max(above, out), inside or (tag in _MAIN and not out), slot))
+        opened[tag] += 1
     if at < len(page):
         text(page[at:])
     while len(stack) > 1:
         close()
     flush()
-    return hashes, [(t, sorted({h[0] for h in own}), main) for t, own, main in blocks]
+    return counted, blocks
 
 
-def templates(pages: DataFrame, share: float = SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
-    """columns host, html to host, template array<long>: hashes of the subtrees that recur on the host.
+def chosen(blocks: list[Block], gone: Container[int] = frozenset()) -> tuple[list[str], int]:
+    """(texts of the main blocks, number of blocks inside elements whose keys are in gone).
 
-    Pages of one host that have one main text count as one. A host has few templates (at most
-    1 / share times its pages' mean number of subtrees), so the array is bounded by a page's size.
+    First all blocks of templates go, then those that names and classes drop. If what is left in
+    articles is at least half of all that is left, it is the main text; else all of it is.
+    """
+    inside_template: dict[_Node, bool] = {}
+
+    def removed(node: _Node) -> bool:
+        path = []
+        while node is not None and node not in inside_template:
+            path.append(node)
+            if node.key and node.key in gone:
+                break
+            node = node.parent
+        found = node is not None and (inside_template[node] if node in inside_template else True)
+        for n in path:
+            inside_template[n] = found
+        return found
+
+    left = [b for b in blocks if not (gone and removed(b.element))]
+    n_removed = len(blocks) - len(left)
+    left = [b for b in left if not b.dropped]
+    within = sum(len(b.text) for b in left if b.main)
+    if 2 * within >= sum(len(b.text) for b in left):
+        left = [b for b in left if b.main] or left
+    return [b.text for b in left], n_removed
+
+
+def templates(pages: DataFrame, share: float = SHARE, min_pages: int = MIN_PAGES) -> tuple[DataFrame, DataFrame]:
+    """columns h, host, html to (key: subtrees that are templates; h, keys array<long>: the pages' subtrees).
+
+    A subtree recurs if it is on min_pages pages of its host at least. It is a template if more
+    than share of its slot's different subtrees recur, or if it is on more than share of the host's
+    pages. Pages of one host whose longest blocks of main text are equal (copies, that is) count as
+    one. Counts are summed before they are shuffled.
     """
 
-    def hashed(values: list[str | None]) -> dict[str, list]:
-        made = [parse(v or "") for v in values]
-        return {"subtrees": [list(dict.fromkeys(h)) for h, _ in made], "main": [_signed(xxhash.xxh64_intdigest(_joined(b, frozenset()))) for _, b in made], "html": [None] * len(values)}
-
-    seen = map_rows(pages.select("host", "html"), ["html"], "subtrees array<long>, main long, html string", hashed).drop("html")
-    seen = checkpointed(seen)
-    n_pages = seen.groupBy("host", "main").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("one").alias("pages")).filter(F.col("pages") >= min_pages)
-    once = seen.select("host", "main", F.explode("subtrees").alias("subtree")).distinct()
-    counts = once.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    found = counts.join(n_pages, "host").filter(F.col("n") > share * F.col("pages"))
-    return found.groupBy("host").agg(F.collect_list("subtree").alias("template"))
-
-
-def _joined(blocks: list[tuple[str, list[int], bool]], gone: frozenset) -> str:
-    """The blocks of articles, or of the page where there is no article, but for those inside a template."""
-    main = [b for b in blocks if b[2]] or blocks
-    return " ".join(t for t, own, _ in main if gone.isdisjoint(own))
-
-
-def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out: str = "text", share: float = SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
+    def hashed(hosts: list[str], values: list[str | None]) -> dict[str, list]:
+        out: dict[str, list] = {"of_host": [], "main": [], "subtrees": [], "html": [None] * len(values)}
+        for name, value in zip(hosts, values):
+            counted, blocks = parse(value or "", name)
+            out["of_host"].append(_signed(xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass"))))
+            longest = max(chosen(blocks)[0], key=lambda t: (len(t), t), default="")
+            out["main"].append(_signed(xxhash.xxh64_intdigest(longest.encode("utf-8", "surrogatepass"))))
+            out["subtrees"].append([{"slot": _signed(s), "key": k} for k, s in {n.key: n.slot for n in counted}.items()])
+        return out
+
+    seen = map_rows(pages.select("h", "host", "html"), ["host", "html"], "of_host long, main long, subtrees array<struct<slot long, key long>>, html string", hashed)
+    seen = checkpointed(seen.select("h", "of_host", "main", "subtrees"))
+    n_pages = seen.select("of_host", "main").distinct().groupBy("of_host").agg(F.count(F.lit(1)).alias("pages"))
+    once = seen.select("of_host", "main", F.inline("subtrees")).distinct()
+    counts = checkpointed(once.groupBy("of_host", "slot", "key").agg(F.count(F.lit(1)).alias("n")))
+    recurs = F.col("n") >= min_pages
+    of_slot = counts.groupBy("of_host", "slot").agg(F.count(F.lit(1)).alias("distinct"), F.count_if(recurs).alias("recurring")).filter("recurring > 0")
+    met = counts.filter(recurs).join(of_slot, ["of_host", "slot"]).join(n_pages, "of_host")
+    found = met.filter((F.col("recurring") > share * F.col("distinct")) | (F.col("n") > share * F.col("pages"))).select("key").distinct()
+    return found, seen.select("h", F.col("subtrees.key").alias("keys"))
+
+
+def extract(
+    pages: DataFrame, url_col: str = "url", html_col: str = "html", out: str = "text", share: float = SHARE, min_pages: int = MIN_PAGES, removed_col: str | None = None, broadcast_keys: int = BROADCAST_KEYS
+) -> DataFrame:
     """pages with out, the main text of html_col; every row and column stays.
 
     Character references are decoded, white space inside a block becomes one space, and blocks are
     joined in the page's order by one space. A null or empty page, or one without text, has the
     empty text. Pages of a null url or one without :// share one host, the empty one. A column
-    named out is replaced.
+    named out is replaced; so is removed_col, if given: how many of the page's blocks were in templates.
+
+    Templates go to all tasks if they have at most broadcast_keys keys (8 bytes each), and pages
+    stay where they are; else each page meets its own templates in a join by a hash of the page,
+    so that no host is a hot key. The result is the same.
     """
-    placed = fresh(pages, out, "__host", "__template").withColumn("__host", host(F.col(url_col)))
-    of_host = templates(placed.select(F.col("__host").alias("host"), F.col(html_col).alias("html")), share, min_pages).select(F.col("host").alias("__host"), F.col("template").alias("__template"))
-    # Pages stay where they are while all hosts' templates are few; else they are shuffled by host, and Spark splits a large host.
-    met = placed.join(broadcast_if_small(of_host, F.size("__template") + 8, BROADCAST_HASHES), "__host", "left")
-    made = map_rows(met, [html_col, "__template"], f"{out} string", lambda h, t: {out: [_joined(parse(x or "")[1], frozenset(y or ())) for x, y in zip(h, t)]})
-    return made.select(*[c for c in pages.columns if c.lower() != out.lower()], out)
+    added = [out, *([removed_col] if removed_col else [])]
+    placed = fresh(pages, *added, "__host", "__h", "__gone").withColumns({"__host": host(F.col(url_col)), "__h": F.xxhash64(url_col, html_col)})
+    found, keys = templates(placed.select(F.col("__h").alias("h"), F.col("__host").alias("host"), F.col(html_col).alias("html")), share, min_pages)
+    found = checkpointed(found)
+    types = f"{out} string" + (f", {removed_col} long" if removed_col else "")
+
+    def made(texts: list[str], n: int) -> tuple:
+        return (" ".join(texts), n)[: len(added)]
+
+    if found.count() <= broadcast_keys:
+        shared = pages.sparkSession.sparkContext.broadcast(frozenset(found.toArrow().column("key").to_pylist()))
+        rows = map_rows(placed, ["__host", html_col], types, lambda h, x: dict(zip(added, map(list, zip(*[made(*chosen(parse(v or "", k)[1], shared.value)) for k, v in zip(h, x)])))))
+    else:
+        own = keys.distinct().select("h", F.explode("keys").alias("key")).join(found, "key").groupBy(F.col("h").alias("__h")).agg(F.collect_set("key").alias("__gone"))
+        met = placed.join(own, "__h", "left")
+        rows = map_rows(met, ["__host", html_col, "__gone"], types, lambda h, x, g: dict(zip(added, map(list, zip(*[made(*chosen(parse(v or "", k)[1], frozenset(y or ()))) for k, v, y in zip(h, x, g)])))))
+    return rows.select(*[c for c in pages.columns if c.lower() not in {a.lower() for a in added}], *added)
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's main text."""
-    found = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    """Every page's main text, and how many of its blocks were its site's."""
+    found = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), removed_col="n_template_blocks")
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template_blocks")

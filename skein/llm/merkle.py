@@ -1,7 +1,8 @@
 """Document fingerprints: a Merkle tree over a text's sections, paragraphs and pieces.
 
-Sections are split at an empty line, paragraphs at a line feed, pieces are runs of 32 code points
-of a paragraph. A piece's hash comes from its characters, every other hash from the hashes below
+Sections are split at an empty line, paragraphs at a line feed, and a paragraph into pieces after
+punctuation or, without any, after 32 code points: an edit changes the pieces it touches, and later
+ones only up to the next punctuation mark. A piece's hash comes from its characters, every other hash from the hashes below
 it, so equal roots mean equal texts, and where roots differ, the branches that differ show where.
 DataFrame functions only; a text's tree is an array of sections of paragraphs of piece hashes.
 """
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from skein.llm.common import documents
 
 PIECE_CHARS = 32
+#: A piece: the fewest characters up to punctuation, if there is any within reach; else as many as fit.
+PIECE_RE = rf"(?s).{{0,{PIECE_CHARS - 1}}}?[.,;:!?]|.{{1,{PIECE_CHARS}}}"
 #: Rows that share a window when each document is set beside the one after it.
 ROWS_PER_BUCKET = 1000
 MAX_BUCKETS = 10_000
@@ -21,7 +24,7 @@ MAX_BUCKETS = 10_000
 
 def tree(text: Column) -> Column:
     """array<array<array<string>>>: sections, paragraphs, hashes of pieces (16 hex digits)."""
-    pieces = lambda p: F.transform(F.regexp_extract_all(p, F.lit(f"(?s).{{1,{PIECE_CHARS}}}"), F.lit(0)), lambda x: F.substring(F.md5(x), 1, 16))
+    pieces = lambda p: F.transform(F.regexp_extract_all(p, F.lit(PIECE_RE), F.lit(0)), lambda x: F.substring(F.md5(x), 1, 16))
     return F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), pieces))
 
 
@@ -55,17 +58,20 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def changed_paragraphs(a: Column, b: Column) -> Column:
-    """array<struct<section int, paragraph int>> (from 0): the paragraphs of branches() a that branches() b has not at that place."""
-    def differing(s: Column, i: Column) -> Column:
-        other = F.get(b, i)
-        return F.when(other["hash"].eqNullSafe(s["hash"]), F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(
-            F.filter(
-                F.transform(s["paragraphs"], lambda p, j: F.when(~F.get(other["paragraphs"], j)["hash"].eqNullSafe(p["hash"]), F.struct(i.cast("int").alias("section"), j.cast("int").alias("paragraph")))),
-                lambda x: x.isNotNull(),
-            )
-        )
+    """array<struct<section int, paragraph int>> (from 0): the paragraphs of branches() a that branches() b has nowhere.
 
-    return F.flatten(F.transform(a, differing))
+    Branches are aligned by their hashes, so what was only moved, as by an insertion before it, has
+    not changed. Sections that both have are passed over whole.
+    """
+    sections = F.transform(b, lambda s: s["hash"])
+    known = F.flatten(F.transform(b, lambda s: F.transform(s["paragraphs"], lambda p: p["hash"])))
+    place = lambda i, j: F.struct(i.cast("int").alias("section"), j.cast("int").alias("paragraph"))
+
+    def lacking(s: Column, i: Column) -> Column:
+        found = F.filter(F.transform(s["paragraphs"], lambda p, j: F.when(~F.array_contains(known, p["hash"]), place(i, j))), lambda x: x.isNotNull())
+        return F.when(F.array_contains(sections, s["hash"]), F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(found)
+
+    return F.flatten(F.transform(a, lacking))
 
 
 def fingerprints(df: DataFrame, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
@@ -87,7 +93,7 @@ def _bucket(value: Column, bounds: list[int]) -> Column:
 
 
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Each row's id and text (null: empty) with next_text, the text of the row that follows it by ascending id.
+    """Each row's id (an integer) and text (null: empty) with next_text, the text of the row that follows it by ascending id.
 
     After the last row comes the first. Rows of one id follow each other by text. A row without an
     id has no place in the order: its next_text is empty. No task gets all rows: ids are cut at
@@ -135,7 +141,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_TREE_SQL = "list_transform(string_split({t}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform(regexp_extract_all(p, '(?s).{{1,32}}'), lambda x: md5(x)[1:16])))"
+_TREE_SQL = "list_transform(string_split({t}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform(regexp_extract_all(p, '" + PIECE_RE.replace("{", "{{").replace("}", "}}") + "'), lambda x: md5(x)[1:16])))"
 _WRITTEN_SQL = (
     "sha256(array_to_string(list_transform({t}, lambda s: sha256(array_to_string(list_transform(s, lambda p: sha256(array_to_string(p, ''))[1:16]), ''))[1:16]), '')) || ';' || "
     "array_to_string(list_transform({t}, lambda s: sha256(array_to_string(list_transform(s, lambda p: sha256(array_to_string(p, ''))[1:16]), ''))[1:16] || '>' || "

@@ -40,7 +40,7 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     """A row for each piece of each row's text: id_col, start, length, ids binary, doc_tokens, sequence_id, offset, bucket.
 
     ids holds little-endian unsigned 32-bit token ids, as loaders read them; the text's ids by the
-    rank file at path are followed by end_id; <|endoftext|> in a text is its one id, as in the tokenizers library. start
+    file at path (tokens.Encoder says how) are followed by end_id. start
     counts the ids before the piece in its document, doc_tokens all of the document's; bucket is
     log2(length), and sequence_id, unique, is in ranges by bucket. offset is 0 throughout. A null
     or empty text is one piece of one id. Each row of df is a document of its own, repeated rows and
@@ -52,7 +52,7 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     schema = T.StructType([given.schema["id"], *T._parse_datatype_string("start long, length long, ids binary, doc_tokens long").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path).encode_added, np.array([end_id], dtype="<u4").tobytes()
+        encode, end = encoder(path).encode, np.array([end_id], dtype="<u4").tobytes()
         for b in slices(batches, 128):
             row, start, length, ids, total = [], [], [], [], []
             for k, text in enumerate(b["text"].to_pylist()):
@@ -80,4 +80,4 @@ def digests(packed: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces."""
-    return digests(pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    return digests(pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))

@@ -4,7 +4,8 @@ Each line of a text is good or bad. Its evidence is its own features and those o
 and after it; the chain's transitions carry evidence further. Forward-backward gives every line the
 probability of being good, and a document's quality is their mean weighted by the lines' lengths.
 The field is trained here, by gradient ascent on whole labelled documents: each line of a document
-has the document's label.
+has the document's label. Training chains run through several documents, good and bad ones mixed,
+so that the field sees good lines next to bad ones and learns how readily quality changes.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from skein.llm.common import documents, map_rows, table
 #: Bounds on what is learned from: labelled documents, drawn by a hash of their ids, and lines.
 FIT_DOCS = 3000
 FIT_LINES = 100_000
+#: Documents that one training chain runs through.
+CHAIN_DOCS = 4
 ROUNDS = 150
 THRESHOLD = 0.7
 HELD_OUT = 2
@@ -133,8 +136,8 @@ def marginals(evidence: np.ndarray, n_lines: np.ndarray, moves: np.ndarray) -> t
     return p, into
 
 
-def fit(x: np.ndarray, n_lines: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS, l2: float = 1e-3) -> Field:
-    """The field with the greatest likelihood of the labels, a document's weight being the same whatever its number of lines."""
+def fit(x: np.ndarray, n_lines: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS, l2: float = 1e-3, chain_docs: int = CHAIN_DOCS) -> Field:
+    """The field with the greatest likelihood of the labels, a document's weight being the same whatever its number of lines; a chain runs through chain_docs documents in the order given."""
     has = n_lines > 0
     prior = float((labels.sum() + 1) / (len(labels) + 2))
     if not has.any():
@@ -143,13 +146,13 @@ def fit(x: np.ndarray, n_lines: np.ndarray, labels: np.ndarray, rounds: int = RO
     y = labels[of].astype(float)
     share = (1.0 / np.maximum(n_lines, 1))[of] / has.sum()
     theta, m, v = np.zeros(N_FEATURES + 4), np.zeros(N_FEATURES + 4), np.zeros(N_FEATURES + 4)
+    chains = np.add.reduceat(n_lines, np.arange(0, len(n_lines), chain_docs))
     inner = np.ones(len(of), dtype=bool)
-    inner[np.concatenate(([0], np.cumsum(n_lines)[:-1]))[has]] = False
-    seen = np.zeros((2, 2))
-    for k in (0, 1):
-        seen[k, k] = share[inner & (y == k)].sum()
+    inner[np.concatenate(([0], np.cumsum(chains)[:-1]))[chains > 0]] = False
+    j = np.flatnonzero(inner)
+    seen = np.bincount((2 * y[j - 1] + y[j]).astype(np.int64), weights=share[j], minlength=4).reshape(2, 2)
     for step in range(1, rounds + 1):
-        p, into = marginals(x @ theta[:N_FEATURES], n_lines, theta[N_FEATURES:].reshape(2, 2))
+        p, into = marginals(x @ theta[:N_FEATURES], chains, theta[N_FEATURES:].reshape(2, 2))
         slope = np.concatenate((x.T @ (share * (y - p)), (seen - np.einsum("n,nij->ij", share, into)).ravel())) - l2 * theta
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope * slope
         theta = theta + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -158,6 +161,7 @@ def fit(x: np.ndarray, n_lines: np.ndarray, labels: np.ndarray, rounds: int = RO
 
 
 def held_out(id_col: str | Column = "doc_id") -> Column:
+    """Whether the CRC32 of the id as text leaves HELD_OUT on division by four; false for a null id."""
     return F.coalesce(F.pmod(F.crc32((F.col(id_col) if isinstance(id_col, str) else id_col).cast("string")), F.lit(4)) == HELD_OUT, F.lit(False))
 
 

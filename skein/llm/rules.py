@@ -1,14 +1,16 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule has a predicate that says whether it rejects a text. On a bounded sample the rules are
-timed and their rejections counted; the cascade then asks them in the order of rejections per
-second, and a text that one rule rejects is not shown to the rules after it. The order changes what
-a run costs, never a verdict.
+Every rule has a predicate that says whether it rejects a text, and names the figures it needs. On a
+sample the figures are timed and the rules' rejections noted; the cascade then asks next, of the
+rules left, the one with most rejections per second, counting only texts that no earlier rule
+rejects and figures that no earlier rule has computed. A text that one rule rejects is not shown to
+the rules after it. The order changes what a run costs, never a verdict.
 """
 
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import documents, map_rows, slices
 
-#: Rows on which costs and selectivities are estimated (a bound, whatever the input's size).
+#: Rows on which costs and selectivities are estimated, whatever the input's size (a drawing of each row by itself, so about as many).
 SAMPLE_ROWS = 1000
 SYMBOLS = b"#*$%&|<>"
 
@@ -99,53 +101,74 @@ class Text:
 @dataclass(frozen=True)
 class Rule:
     name: str
+    needs: tuple[str, ...]
     rejects: Callable[[Text], bool]
 
 
 #: The two base rules first, then the cascade's own.
 RULES = (
-    Rule("few_words", lambda t: t.n_words < 50),
-    Rule("repeated_words", lambda t: 100 * t.n_repeat_words > 50 * t.n_words),
-    Rule("symbols", lambda t: 20 * t.n_symbols > t.word_chars),
-    Rule("repeated_lines", lambda t: 100 * t.n_dup_lines > 50 * t.n_lines),
-    Rule("word_length", lambda t: t.word_chars < 2 * t.n_words or t.word_chars > 20 * t.n_words),
-    Rule("upper_case", lambda t: t.n_upper > t.n_lower),
-    Rule("exclamations", lambda t: 2 * t.n_exclaims > t.n_words),
+    Rule("few_words", ("bytes", "words"), lambda t: t.n_words < 50),
+    Rule("repeated_words", ("bytes", "words", "n_repeat_words"), lambda t: 100 * t.n_repeat_words > 50 * t.n_words),
+    Rule("symbols", ("bytes", "n_symbols", "word_chars"), lambda t: 20 * t.n_symbols > t.word_chars),
+    Rule("repeated_lines", ("bytes", "n_dup_lines", "n_lines"), lambda t: 100 * t.n_dup_lines > 50 * t.n_lines),
+    Rule("word_length", ("bytes", "words", "word_chars"), lambda t: t.word_chars < 2 * t.n_words or t.word_chars > 20 * t.n_words),
+    Rule("upper_case", ("bytes", "n_upper", "n_lower"), lambda t: t.n_upper > t.n_lower),
+    Rule("exclamations", ("bytes", "words", "n_exclaims"), lambda t: 2 * t.n_exclaims > t.n_words),
 )
 BASE = ("few_words", "repeated_words")
+#: Rules for filtering a corpus: a short text is not bad by itself, one without words is.
+FILTERS = (Rule("no_words", ("bytes", "words"), lambda t: t.n_words == 0), *RULES[1:])
+#: Figures in an order in which each finds what it builds on at hand.
+FIGURES = ("bytes", "words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_upper", "n_lower", "n_exclaims")
 
 
-def estimated(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """(name, seconds a text, share rejected) of each rule, measured on at most sample_rows rows drawn with a fixed seed.
+def estimated(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> tuple[dict[str, float], dict[int, int]]:
+    """(seconds a text that each figure takes once those before it are at hand; how many texts each set of rules rejects, as bits), on about sample_rows rows drawn with a fixed seed.
 
-    A rule is timed on texts of its own, so that no other rule's figures are at hand. An empty
-    table gives zeros.
+    Sums reach the driver, not texts. An empty table gives zeros.
     """
     n = df.count()
     if n == 0:
-        return [(r.name, 0.0, 0.0) for r in rules]
-    drawn = df.select(F.col(text_col).alias("text")).sample(fraction=min(1.0, 2.0 * sample_rows / n), seed=7).limit(sample_rows)
+        return dict.fromkeys(FIGURES, 0.0), {}
+    drawn = df.select(F.col(text_col).alias("text")).sample(fraction=min(1.0, sample_rows / n), seed=7)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        took, hit, seen = [0.0] * len(rules), [0] * len(rules), 0
+        took, sets = [0.0] * len(FIGURES), Counter()
         for b in slices(batches):
-            texts = b["text"].to_pylist()
-            seen += len(texts)
-            for k, r in enumerate(rules):
-                began = time.perf_counter()
-                hit[k] += sum(r.rejects(Text(t)) for t in texts)
-                took[k] += time.perf_counter() - began
-        yield pa.RecordBatch.from_pydict({"k": pa.array(range(len(rules)), pa.int32()), "s": took, "hit": pa.array(hit, pa.int64()), "seen": pa.array([seen] * len(rules), pa.int64())})
-
-    rows = drawn.mapInArrow(run, "k int, s double, hit long, seen long").groupBy("k").agg(F.sum("s").alias("s"), F.sum("hit").alias("hit"), F.sum("seen").alias("seen")).collect()
-    of = {r["k"]: (r["s"] / max(1, r["seen"]), r["hit"] / max(1, r["seen"])) for r in rows}
-    return [(r.name, *of.get(k, (0.0, 0.0))) for k, r in enumerate(rules)]
-
+            for value in b["text"].to_pylist():
+                t = Text(value)
+                for k, figure in enumerate(FIGURES):
+                    began = time.perf_counter()
+                    getattr(t, figure)
+                    took[k] += time.perf_counter() - began
+                sets[sum(1 << k for k, r in enumerate(rules) if r.rejects(t))] += 1
+        keys = [*range(-len(FIGURES), 0), *sets]
+        yield pa.RecordBatch.from_pydict({"k": pa.array(keys, pa.int64()), "s": pa.array([*took, *[0.0] * len(sets)], pa.float64()), "n": pa.array([0] * len(FIGURES) + list(sets.values()), pa.int64())})
+
+    rows = drawn.mapInArrow(run, "k long, s double, n long").groupBy("k").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()  # at most 2^rules + figures
+    sets = {r["k"]: r["n"] for r in rows if r["k"] >= 0}
+    seen = max(1, sum(sets.values()))
+    cost = {r["k"]: r["s"] / seen for r in rows if r["k"] < 0}
+    return {f: cost.get(k - len(FIGURES), 0.0) for k, f in enumerate(FIGURES)}, sets
+
+
+def ordered(rules: tuple[Rule, ...], cost: dict[str, float], sets: dict[int, int], at_hand: tuple[str, ...] = ()) -> list[Rule]:
+    """Rules in the cascade's order: most rejections per second first, of texts and with figures that the rules before leave; ties as given.
+
+    at_hand are figures that are computed for every text anyway and so cost nothing.
+    """
+    known, left, alive, out = set(at_hand), list(range(len(rules))), dict(sets), []
+    while left:
+        def rate(k: int) -> float:
+            price = sum(cost[f] for f in rules[k].needs if f not in known)
+            return sum(n for s, n in alive.items() if s >> k & 1) / max(price, 1e-9)
 
-def ordered(rules: tuple[Rule, ...], figures: list[tuple[str, float, float]]) -> list[Rule]:
-    """Rules by rejections per second, most first; ties as given."""
-    rate = {name: share / max(cost, 1e-9) for name, cost, share in figures}
-    return sorted(rules, key=lambda r: -rate.get(r.name, 0.0))
+        best = max(left, key=lambda k: (rate(k), -k))
+        left.remove(best)
+        out.append(rules[best])
+        known.update(rules[best].needs)
+        alive = {s: n for s, n in alive.items() if not s >> best & 1}
+    return out
 
 
 def cascade(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, base: bool = False, kept: str = "kept", by: str = "rejected_by") -> DataFrame:
@@ -156,9 +179,9 @@ def cascade(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RUL
     too; columns of these names in df are replaced. More than one rule may reject a text:
     by is the first in this run's order.
     """
-    order = ordered(rules, estimated(df, text_col, rules, sample_rows))
     base_rules = [r for r in RULES if r.name in BASE]
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    order = ordered(rules, *estimated(df, text_col, rules, sample_rows), at_hand=("bytes", "words", *names) if base else ())
 
     def judge(values: list[str | None]) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in (*names, "base_failed", kept, by)}

@@ -62,6 +62,7 @@ def fingerprints(df: DataFrame, text_col: str = "text", out: str = "fp") -> Data
 
 
 def hexed(fp: Column) -> Column:
+    """A fingerprint as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
@@ -96,6 +97,7 @@ def chained(x: np.ndarray, m: int, tau: int = TAU, chain: int = CHAIN) -> np.nda
 
 
 def near(a: np.ndarray, b: np.ndarray, m: int, tau: int = TAU) -> np.ndarray:
+    """Whether two fingerprints differ in at most tau bits: the chains first, then all bits of those that pass."""
     x = a ^ b
     out = chained(x, m, tau)
     i = np.flatnonzero(out)

@@ -11,13 +11,11 @@ import numpy as np
 import public_tokenizers
 import regex
 import tiktoken
+from tokenizers import Tokenizer
 
 #: Pieces whose ids a worker remembers; the commonest come early and so stay.
 REMEMBERED = 250_000
 
-#: A token that the tokenizer's file adds to the ranks; its string is cut out before anything else.
-END_OF_TEXT, END_OF_TEXT_ID = "<|endoftext|>", 50256
-
 _PRE_TOKEN = regex.compile(public_tokenizers.PATTERN)
 _ADJACENT_SPACE = re.compile(r"\s\s")
 
@@ -37,15 +35,28 @@ def pieces(text: str) -> list[str]:
 
 
 class Encoder:
-    """Token ids by a rank file, as tiktoken's encode_ordinary gives them; each worker has one."""
+    """Token ids by a file; each worker has one.
+
+    A .tiktoken file's ids are those of tiktoken's encode_ordinary. A .json file's are those of the
+    tokenizers library without special tokens put around the text: the file's added tokens are cut
+    out of a text first, and what is between them is split by PATTERN, as that library splits it.
+    """
 
     def __init__(self, path: str) -> None:
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self._of_rank = np.full(max(ranks.values()) + 1, b"", dtype=object)
-        for b, i in ranks.items():
-            self._of_rank[i] = b
+        self._added: dict[str, int] = {}
+        if path.endswith(".json"):
+            whole = Tokenizer.from_file(path)
+            self._added = {t.content: i for i, t in whole.get_added_tokens_decoder().items()}
+            encode = lambda piece: whole.encode(piece, add_special_tokens=False).ids
+            self._of_rank = None
+        else:
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self._of_rank = np.full(max(ranks.values()) + 1, b"", dtype=object)
+            for b, i in ranks.items():
+                self._of_rank[i] = b
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if self._added else None
 
         class Remembered(dict):
             def __init__(self, prefix: str) -> None:
@@ -61,24 +72,24 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         """uint32 ids of the whole text."""
+        if self._cut and self._cut.search(text):
+            parts = [np.array([self._added[x]], dtype=np.uint32) if k % 2 else self._between(x) for k, x in enumerate(self._cut.split(text))]
+            return np.concatenate(parts)
+        return self._between(text)
+
+    def _between(self, text: str) -> np.ndarray:
+        if not text:
+            return np.zeros(0, dtype=np.uint32)
         if _ADJACENT_SPACE.search(text):
             return self.encode_pieces(_PRE_TOKEN.findall(text))
         first, *rest = text.replace("\n", " \n").split(" ")
         return np.frombuffer(self._whole[first] + b"".join(map(self._spaced.__getitem__, rest)), dtype=np.uint32)
 
-    def encode_added(self, text: str) -> np.ndarray:
-        """uint32 ids of the whole text as the tokenizers library gives them: END_OF_TEXT is one id, what is between is encoded by itself."""
-        if END_OF_TEXT not in text:
-            return self.encode(text)
-        first, *rest = map(self.encode, text.split(END_OF_TEXT))
-        end = np.array([END_OF_TEXT_ID], dtype=np.uint32)
-        return np.concatenate([first, *[x for part in rest for x in (end, part)]])
-
     def encode_pieces(self, of: list[str]) -> np.ndarray:
         return np.frombuffer(b"".join(map(self._whole.__getitem__, of)), dtype=np.uint32)
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """The raw bytes of the ids, one after the other; they need not be valid UTF-8 in part."""
+        """The raw bytes of the ids by a .tiktoken file, one after the other; they need not be valid UTF-8 in part."""
         return b"".join(self._of_rank[ids])
 
 

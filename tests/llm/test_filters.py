@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.llm import hosts, html, lines, merkle, quality, rules
 from skein.llm.queries import ORACLE_SQL, QUERIES
-from tests.llm.conftest import prose
+from tests.llm.conftest import WORDS, prose
 
 
 def normal(v):
@@ -53,9 +53,21 @@ def test_cascade_order_changes_no_verdict(spark, odd, none):
         t = rules.Text(r["text"])
         assert r["kept"] == (not any(x.rejects(t) for x in rules.RULES)) and (r["rejected_by"] is None) == r["kept"]
         assert not (r["base_failed"] and r["kept"])
-    assert rules.cascade(none).count() == 0 and [x[1:] for x in rules.estimated(none)] == [(0.0, 0.0)] * len(rules.RULES)
-    figures = [("few_words", 1.0, 0.1), ("repeated_words", 1.0, 0.5), ("symbols", 0.1, 0.2)]
-    assert [r.name for r in rules.ordered(rules.RULES, figures)][:3] == ["symbols", "repeated_words", "few_words"]
+    assert rules.cascade(none).count() == 0 and rules.estimated(none) == (dict.fromkeys(rules.FIGURES, 0.0), {})
+    cost, sets = rules.estimated(odd)
+    assert sum(sets.values()) > 0 and all(x >= 0 for x in cost.values())
+    assert {r["kept"] for r in rules.cascade(odd, rules=rules.FILTERS).filter("doc_id in (2, 3, 4)").collect()} == {False}
+    assert {r["kept"] for r in rules.cascade(odd, rules=rules.FILTERS).filter("doc_id = 7").collect()} == {True}
+
+
+def test_the_order_knows_shared_figures_and_earlier_rejections():
+    a, b, c = (rules.Rule(n, needs, lambda t: False) for n, needs in (("a", ("words",)), ("b", ("words", "n_lines")), ("c", ("n_symbols",))))
+    cost = dict.fromkeys(rules.FIGURES, 0.0) | {"words": 10.0, "n_lines": 1.0, "n_symbols": 3.0}
+    # Alone, b costs 11 for 30 rejections, a 10 for 40 and c 3 for 16. After c and a, b costs 1 for 5 more.
+    sets = {0b001: 9, 0b011: 25, 0b010: 5, 0b100: 10, 0b101: 6, 0: 45}
+    assert [r.name for r in rules.ordered((a, b, c), cost, sets)] == ["c", "a", "b"]
+    assert [r.name for r in rules.ordered((a, b, c), cost, sets, at_hand=("words",))] == ["a", "b", "c"]
+    assert [r.name for r in rules.ordered((a, b, c), cost, {})] == ["a", "b", "c"]
 
 
 def test_marginals_against_all_labellings():
@@ -85,6 +97,46 @@ def test_quality_on_held_out_documents(spark):
     assert r.filter("score < 0 or score > 1 or (score >= 0.7) <> (predicted = 1)").count() == 0
 
 
+def test_op1_against_plain_forward_backward(spark, sf_dir):
+    import zlib
+
+    import numpy as np
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    field = quality.train(docs, labels)
+    w, moves = np.array(field.weights), np.exp(np.array(field.moves))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = quality.op1_quality(spark, sf_dir).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        x, length, _ = quality.line_features([texts[r["doc_id"]]])
+        good = np.exp(np.clip(x @ w, -30, 30))
+        if not len(good):
+            want = field.prior
+        else:
+            a, b = [np.array([1, good[0]])], [np.ones(2)]
+            for g in good[1:]:
+                a.append((a[-1] / a[-1].sum()) @ moves * np.array([1, g]))
+            for g in good[:0:-1]:
+                b.insert(0, moves @ (np.array([1, g]) * b[0] / b[0].sum()))
+            p = [u[1] * v[1] / (u @ v) for u, v in zip(a, b)]
+            want = float(np.dot(p, length) / length.sum())
+        assert r["score"] == pytest.approx(want, abs=1e-9) and r["predicted"] == (r["score"] >= 0.7)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_a_junk_block_is_told_from_the_lines_around_it(spark):
+    rng = random.Random(3)
+    good = ["\n".join(prose(rng.randrange(999), rng.randrange(8, 30)).capitalize() + "." for _ in range(rng.randrange(2, 9))) for _ in range(80)]
+    bad = ["\n".join("BUY %d!!! $$$ ### NOW %d !!!" % (rng.randrange(99), rng.randrange(99)) for _ in range(rng.randrange(2, 9))) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 80), 0) for k in range(160)], "doc_id long, quality int, toxic int")
+    field = quality.train(docs, labels)
+    mixed = spark.createDataFrame([(1, "\n".join([good[0].split("\n")[0]] * 4 + ["BUY 12!!! $$$ ### NOW 7 !!!", "BUY 9!!! $$$ ### NOW 3 !!!"] + [good[1].split("\n")[0]] * 4))], "doc_id long, text string")
+    r = quality.score(mixed, field, lines_out="p").first()
+    assert [x > 0.5 for x in r["p"]] == [True] * 4 + [False] * 2 + [True] * 4 and 0.5 < r["score"] < 1
+
+
 def test_quality_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0), (9, 1, 0), (9, None, 0), (None, 1, 0), (6, 7, 0)], "doc_id long, quality int, toxic int")
     field = quality.train(odd, labels)
@@ -126,6 +178,39 @@ def test_leaves_hold_several_templates(spark):
     assert all(r["gone"] == (0 if r["text"] else 1) for r in left.values())
 
 
+def test_recurring_templates_are_found_whatever_else_is_in_their_leaf(spark):
+    name = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    kinds = ["Read this first {} then go on to the very next page of our long guide", "Read this first and tell all your old friends about the fine {} shop we run", "Read this first or else you will not know what {} said to them at noon"]
+    docs = [(100 * t + k, prose(7 * t + k, 12) + "\n" + kind.format(name(k))) for t, kind in enumerate(kinds) for k in range(10)]
+    docs += [(1000 + k, "Read this first " + " ".join(f"{name(k)}{w}" for w in "qrstuvwxyzabc"[: len(kinds[0].split()) - 3])) for k in range(300)]
+    left = {r["doc_id"]: r for r in lines.deduplicated(spark.createDataFrame(docs, "doc_id long, text string"), dropped_col="gone").collect()}
+    assert [left[100 * t + k]["gone"] for t in range(3) for k in range(10)] == [0, *[1] * 9] * 3
+    assert all(left[1000 + k]["gone"] == 0 for k in range(300))
+
+
+def test_ties_between_templates_and_sql(spark, tmp_path):
+    a, b = "One two three {} five six seven eight nine ten eleven", "One two three four five six {} seven nine ten twelve"
+    rows = [(k, x.format(w)) for k, (x, w) in enumerate([(a, "p"), (a, "q"), (b, "p"), (b, "q"), (a, "r"), (b, "r")])]
+    long = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(51))
+    rows += [(10, long), (11, "own\n" + long), (12, " ".join(long.split()[:50])), (13, " ".join(long.split()[:50])), (14, None), (15, "\n\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    got = lines.op9_lines(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    cols = sorted(got.columns)
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(con.sql(ORACLE_SQL["op9_lines"]).project(", ".join(cols)).fetchall())
+    assert {r["doc_id"] for r in got.filter("n_dropped > 0").collect()} == {1, 3, 4, 5, 11} or {r["doc_id"] for r in got.filter("n_dropped > 0").collect()} == {1, 2, 3, 4, 5, 11}
+
+
+def test_copies_stay_whole_for_near_dedup(spark):
+    whole, mark = "\n".join(prose(k, 15) for k in range(6)), "Posted by the team for all of you today"
+    docs = [(k, whole) for k in range(4)] + [(10 + k, prose(50 + k, 40) + "\n" + mark) for k in range(4)]
+    left = {r["doc_id"]: r for r in lines.deduplicated(spark.createDataFrame(docs, "doc_id long, text string"), dropped_col="gone", most=50).collect()}
+    assert all(left[k]["text"] == whole and left[k]["gone"] == 0 for k in range(4))
+    assert [left[10 + k]["gone"] for k in range(4)] == [0, 1, 1, 1]
+
+
 def test_urls(spark):
     rows = [(1, "https://A.Example.ORG/es/1"), (2, "http://x.example.com/fr/2?a"), (3, "http://com/de/"), (4, None), (5, "no scheme"), (6, "a://b://c/d#e"), (7, "http://notexample.org"), (8, "http://example.org/en/12"), (8, "http://example.org/en/12"), (9, "http://h.net#x/y")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("Host", F.lit("clash"))
@@ -140,6 +225,15 @@ def test_urls(spark):
     assert hosts.judge(pages.limit(0), good.limit(0), list(hosts.RULES)).count() == 0
 
 
+def test_registered_domains_and_long_hosts(spark):
+    rows = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("x.y.com",), ("com",), ("",), ("b.com.au",)], "h string")
+    got = [tuple(r) for r in rows.select("h", hosts.domain(F.col("h")).alias("d"), hosts.suffix(F.col("h")).alias("s")).collect()]
+    assert got == [("a.b.co.uk", "b.co.uk", "co.uk"), ("co.uk", "co.uk", "co.uk"), ("x.y.com", "y.com", "com"), ("com", "com", "com"), ("", "", ""), ("b.com.au", "b.com.au", "com.au")]
+    long = "." * 60_000 + "example.org"
+    fit = hosts.fitting(spark.createDataFrame([(long,), ("org",)], "host string"), list(hosts.RULES)).collect()
+    assert {(len(r["host"]), len(r["rules"])) for r in fit} == {(len(long), 3), (3, 1)}
+
+
 def test_reputation_shrinks(spark):
     data = [("a.x.com", 1)] * 50 + [("b.x.com", 0)] * 50 + [("c.y.com", 1)] * 40 + [("d.z.net", 1)] * 40 + [("new.x.com", None), ("one.y.com", 0)]
     got = {r["host"]: r for r in hosts.reputations(spark.createDataFrame(data, "host string, good int")).collect()}
@@ -154,19 +248,48 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <footer>&copy; foot</footer></body></html>"""
 
 
+def text_of(page):
+    return " ".join(html.chosen(html.parse(page)[1])[0])
+
+
 def test_main_text():
-    _, blocks = html.parse(PAGE % "")
-    assert html._joined(blocks, frozenset()) == "Title & more First bold text, next line <i> Second"
+    assert text_of(PAGE % "") == "Title & more First bold text, next line <i> Second"
     layout = '<div class="layout has-sidebar"><div class="sidebar">side</div><article class="post"><p>Own</p><article class="comment"><p>theirs</p></article><p class="share-buttons">x</p></article></div><section id="comments"><article><p>more</p></article></section>'
-    assert html._joined(html.parse(layout)[1], frozenset()) == "Own"
-    assert html._joined(html.parse('<body class="ad"><div hidden>h</div><p style="display: none">n</p><p>kept <span class="ad">buy</span>text</p></body>')[1], frozenset()) == "kept text"
+    assert text_of(layout) == "Own"
+    assert text_of('<body class="ad"><div hidden>h</div><p style="display: none">n</p><p>kept <span class="ad">buy</span>text</p></body>') == "kept text"
     for broken in ("", "<", "<p", "a<b", "</p></div>", "<article><p>x<b>y", "<script>never ends", "<!-- open", "a &am", "<p>x</p><p>y"):
         html.parse(broken)
-    assert html._joined(html.parse("<article><p>x<b>y &am")[1], frozenset()) == "xy &am"
+    assert text_of("<article><p>x<b>y &am") == "xy &am"
+    assert text_of("<p>1 < 2 and <3</p>") == "1 < 2 and <3"
+
+
+def test_scripts_and_broken_quotes_leave_no_markup():
+    assert text_of("<script>if (a<b) { x('</p>') }</script><p>one</p><style>p>a{}</style><p>two</p>") == "one two"
+    assert text_of("<p title=it's>hello</p><p>it's</p>") == "hello it's"
+    assert text_of('<p class="x>hello</p>') == "hello"
+    assert text_of("<p>a<!-- <script> --></p><textarea><p>b</textarea><p>c</p>") == "a c"
+
+
+def test_a_teaser_does_not_hide_the_story():
+    story = "".join(f"<p>{prose(k, 20)}</p>" for k in range(4))
+    assert text_of(f"<div class=story>{story}</div><article><p>A teaser</p></article>").startswith(prose(0, 20))
+    assert text_of(f"<article>{story}</article><div><p>A teaser</p></div>") == " ".join(prose(k, 20) for k in range(4))
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        assert html.chosen(html.parse("<div><p>x" * n)[1], frozenset([1]))[0] == ["x"] * n
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(40_000) < 40 * max(took(4000), 0.01)
 
 
 def test_attributes_are_told_from_their_values():
-    text = lambda page: html._joined(html.parse(page)[1], frozenset())
+    text = text_of
     assert text('<div style="overflow: hidden"><article class="x" style="color:red; overflow: hidden"><p class="x hidden-print">One</p> <a title="The hidden cost" href="/display:none">two</a></article></div>') == "One two"
     inside = '<h2 id="related-work">Related</h2><section id="discussion"><p>said</p></section><p id="notice">this</p><section class="discussion"><h3 class="search">Search</h3></section>'
     assert text(f"<article>{inside}</article>") == "Related said this Search"
@@ -175,28 +298,57 @@ def test_attributes_are_told_from_their_values():
     assert text('<p>kept</p><div id="comments">x</div><div id="sidebar">x</div>') == "kept"
 
 
-def test_templates_go(spark):
+@pytest.mark.parametrize("broadcast_keys", [html.BROADCAST_KEYS, 0])
+def test_templates_go(spark, broadcast_keys):
     same = "<div><p>Follow us on all our channels</p></div>"
     pages = [(k, f"http://a.org/{k}", f"<body><article><p>own {prose(k, 10)}</p>{same}</article></body>") for k in range(10)]
     pages += [(10 + k, "http://b.org/1", "<article><p>a copied article</p></article>") for k in range(10)]
-    pages += [(30, None, None), (31, "http://a.org/x", "")]
+    # c.org: neutral names, a menu in three versions, a box inside the article, a paragraph that several articles share.
+    box, shared, menu = '<div class="b2"><p>Read our other fine stories</p></div>', "<p>A sentence that many of these articles have</p>", "<div class=a1><div>Home</div><div>Part {}</div></div>"
+    pages += [(100 + k, f"http://c.org/{k}", f"<body>{menu.format(k % 3)}<div class=a2><p>{prose(100 + k, 30)}</p>{shared if k < 7 else ''}{box}<p>{prose(300 + k, 9)}</p></div><div class=a3>All rights kept</div></body>") for k in range(24)]
+    pages += [(30, None, None), (31, "http://a.org/x", ""), (32, None, None)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("template", F.lit("clash"))
-    got = {r["page_id"]: r for r in html.extract(df).collect()}
+    got = {r["page_id"]: r for r in html.extract(df, removed_col="n_removed", broadcast_keys=broadcast_keys).collect()}
     assert len(got) == len(pages)
-    assert all(got[k]["text"] == "own " + prose(k, 10) for k in range(10))
-    assert all(got[10 + k]["text"] == "a copied article" for k in range(10))
+    assert all(got[k]["text"] == "own " + prose(k, 10) and got[k]["n_removed"] == 1 for k in range(10))
+    assert all(got[10 + k]["text"] == "a copied article" and got[10 + k]["n_removed"] == 0 for k in range(10))
+    for k in range(24):
+        assert got[100 + k]["text"] == prose(100 + k, 30) + (" A sentence that many of these articles have " if k < 7 else " ") + prose(300 + k, 9)
+        assert got[100 + k]["n_removed"] == 4
     assert got[30]["text"] == got[31]["text"] == "" and got[0]["template"] == "clash"
-    assert html.extract(df.limit(0)).count() == 0
-
-
-def test_op5_against_the_article(spark, sf_dir):
+    assert html.extract(df.limit(0), broadcast_keys=broadcast_keys).count() == 0
+
+
+def test_op5_by_hand_made_truth(spark, tmp_path):
+    """Sites with chrome of neutral names that only recurrence tells, around and inside texts written here."""
+    rng, pages, truth = random.Random(9), [], {}
+    for site in range(4):
+        menus = ["".join(f"<div>{w}</div>" for w in prose(site * 50 + v, 5).split()) for v in range(5)]
+        for k in range(60):
+            paragraphs = [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(8, 40))) for _ in range(rng.randrange(1, 5))]
+            body = "".join(f"<p>{p}</p>" for p in paragraphs[:1]) + f"<section class=s{site}><div>Sign up at site {site} now</div></section>" + "".join(f"<p>{p}</p>" for p in paragraphs[1:])
+            inner = f"<article>{body}</article>" if site % 2 else f"<div class=main-{k}>{body}</div>"
+            pages.append((site * 100 + k, f"https://s{site}.example/{k}", f"<html><body><div class=q{site}>{menus[k % 5]}</div>{inner}<div class=z>Site {site} is run by people</div></body></html>"))
+            truth[site * 100 + k] = " ".join(paragraphs)
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = html.op5_html(spark, str(tmp_path)).collect()
+    assert {r["page_id"]: r["text"] for r in got} == truth
+    assert all(r["n_template_blocks"] == 7 and r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_op5_on_the_tables(spark):
+    """The tables' articles are plain: what stands between their tags is known without a parser of trees."""
     from html import unescape
 
-    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
-    for r in html.op5_html(spark, sf_dir).collect():
+    sf = "/root/testdata/sf0.1"
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    rows = html.op5_html(spark, sf).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
         inner = re.search(r"<article>(.*?)(</article>|\Z)", pages[r["page_id"]], re.S)[1]
         want = " ".join(unescape(re.sub(r"<[^>]*>", " ", inner)).split())
         assert (r["text"], r["n_chars"]) == (want, len(want))
+    assert sum(r["n_template_blocks"] > 0 for r in rows) > len(rows) / 10
 
 
 def test_fingerprint_trees(spark, odd, none):
@@ -206,10 +358,17 @@ def test_fingerprint_trees(spark, odd, none):
         by.setdefault(r["text"] or "", set()).add(r["fingerprint"])
     assert all(len(x) == 1 for x in by.values()) and len(set.union(*by.values())) == len(by)
     assert merkle.fingerprints(none).count() == 0
-    pairs = spark.createDataFrame([("a\nb\n\nc", "a\nx\n\nc"), ("", ""), ("same", "same")], "a string, b string")
+    pairs = spark.createDataFrame([("a\nb\n\nc", "a\nx\n\nc"), ("", ""), ("same", "same"), ("new\na\nb\n\nc\nd", "a\nb\n\nc\nd")], "a string, b string")
     tree = lambda c: merkle.branches(merkle.tree(F.col(c)))
     rows = pairs.select(tree("a").alias("ta"), tree("b").alias("tb")).select(merkle.changed_paragraphs(F.col("ta"), F.col("tb")).alias("d")).collect()
-    assert [[(x["section"], x["paragraph"]) for x in r["d"]] for r in rows] == [[(0, 1)], [], []]
+    assert [[(x["section"], x["paragraph"]) for x in r["d"]] for r in rows] == [[(0, 1)], [], [], [(0, 0)]]
+
+
+def test_an_insertion_leaves_most_of_a_text_alike(spark):
+    text = ". ".join(prose(k, 9) for k in range(30))
+    r = spark.createDataFrame([(text, text[:100] + "and some more " + text[100:], prose(99, 200))], "a string, b string, c string")
+    got = r.select(*[merkle.likeness(merkle.leaves(merkle.tree(F.col("a"))), merkle.leaves(merkle.tree(F.col(x)))).alias(x) for x in "bc"]).first()
+    assert got["b"] > 0.9 > 0.3 > got["c"]
 
 
 @pytest.mark.parametrize("rows_per_bucket", [1, 3, 1000])
@@ -233,16 +392,17 @@ def test_pipeline_against_plain_stages(spark, sf_dir):
         if name != "packing":
             assert out.columns == docs.columns
         if name == "quality_rules":
-            left = [r for r in before.collect() if not any(x.rejects(rules.Text(r["text"])) for x in rules.RULES)]
+            left = [r for r in before.collect() if not any(x.rejects(rules.Text(r["text"])) for x in rules.FILTERS)]
             assert sorted(r["doc_id"] for r in left) == sorted(r["doc_id"] for r in out.collect())
         if name == "line_dedup":
-            assert out.count() == before.count()
+            texts, left = ({r["doc_id"]: r["text"] or "" for r in x.collect()} for x in (before, out))
+            assert set(texts) == set(left)
+            assert all(2 * len(left[k].replace("\n", "")) >= len(texts[k].replace("\n", "")) for k in texts)
         if name == "near_dedup":
-            from tests.llm.test_simhash import plain_fingerprint, plain_groups
+            from tests.llm.test_jaccard import plain_groups
 
-            rows = sorted((r["doc_id"], plain_fingerprint(r["text"])) for r in before.collect())
-            firsts = {rows[g][0] for g in plain_groups([x for _, x in rows])}
-            assert sorted(r["doc_id"] for r in out.collect()) == sorted(firsts)
+            ids, texts = zip(*sorted((r["doc_id"], r["text"]) for r in before.collect()))
+            assert sorted(r["doc_id"] for r in out.collect()) == sorted({ids[g] for g in plain_groups(texts)})
     whole = corpus_pipeline.run(spark, sf_dir)
     key = ["doc_id", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, whole.select(*key).collect())) == sorted(map(tuple, out.select(*key).collect()))

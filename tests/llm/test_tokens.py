@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 from skein.llm import bpe, eod, packing, tokens
 from tests.llm.conftest import prose
 
+JSON, END = public_tokenizers.path("byte_bpe_50k.json"), "<|endoftext|>"
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -36,20 +37,19 @@ def test_pieces_give_the_same_ids_as_whole_texts():
         assert own.decode(own.encode(t)) == t.encode()
 
 
-def test_rank_file_gives_the_ids_of_the_tokenizer():
-    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
-    for t in [*ODD_TEXTS, prose(3, 400)]:
-        assert tokens.encoder(RANKS).encode(t).tolist() == whole.encode(t, add_special_tokens=False).ids
+def test_file_of_the_tokenizers_library_gives_its_ids():
+    whole, own, rng = Tokenizer.from_file(JSON), tokens.encoder(JSON), random.Random(8)
+    texts = [*ODD_TEXTS, prose(3, 400)] + ["".join(rng.choice([" ", "\n", "\t", "'s", "l", "r", "é", "a", "中", "1", ".", "—", "\x1c", END]) for _ in range(rng.randrange(1, 60))) for _ in range(2000)]
+    for t in texts:
+        assert own.encode(t).tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
 def test_the_added_token_is_one_id(spark):
-    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    end = "<|endoftext|>"
+    whole, end = Tokenizer.from_file(JSON), END
     texts = [*ODD_TEXTS, prose(3, 40), f"a {end} b", end * 2, f"{end}  x", f"one  {end}\n\n{end} it's", f"a{end[:-1]}"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {}
-    for r in packing.pack(df, RANKS).orderBy("doc_id", "start").collect():
+    for r in packing.pack(df, JSON).orderBy("doc_id", "start").collect():
         got[r["doc_id"]] = got.get(r["doc_id"], []) + np.frombuffer(r["ids"], dtype="<u4").tolist()
     assert got == {k: [*whole.encode(t, add_special_tokens=False).ids, packing.END_ID] for k, t in enumerate(texts)}
 
@@ -90,8 +90,7 @@ def test_cuts(n):
 
 
 def test_op2_against_the_tokenizer(spark, sf_dir):
-    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
+    whole = Tokenizer.from_file(JSON)
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = packing.op2_packing(spark, sf_dir).collect()
     assert len({r["sequence_id"] for r in rows}) == len(rows)
@@ -110,10 +109,10 @@ def test_op2_against_the_tokenizer(spark, sf_dir):
 
 
 def test_packing_odd_rows(odd, none):
-    got = packing.pack(odd, RANKS).collect()
+    got = packing.pack(odd, JSON).collect()
     assert sum(r["start"] == 0 for r in got) == odd.count()
     assert sum(r["doc_tokens"] == 1 for r in got) == odd.filter("text is null or text = ''").count()
-    assert packing.pack(none, RANKS).count() == 0
+    assert packing.pack(none, JSON).count() == 0
     buckets = sorted((r["sequence_id"], r["bucket"]) for r in got)
     assert [b for _, b in buckets] == sorted(b for _, b in buckets)
 
