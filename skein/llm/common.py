@@ -101,7 +101,7 @@ def map_rows(df: DataFrame, inputs: list[str], out: str, fn: Callable[..., dict[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, rows):
             made = fn(*[b[c].to_pylist() for c in inputs])
-            yield pa.RecordBatch.from_arrays([*(b[f.name] for f in passed), *(pa.array(made[f.name], types[f.name]) for f in added)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(b[f.name] for f in passed), *(made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], types[f.name]) for f in added)], names=schema.names)
 
     return kept.mapInArrow(run, schema)
 
