@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import checkpointed, fresh, map_rows, table
+from skein.llm.common import broadcast_if_small, checkpointed, fresh, map_rows, table
 from skein.llm.hosts import host
 
 #: A subtree recurs if so many of a host's pages have it; it is a template if more than this share of its slot's subtrees recur, or of the host's pages have it.
@@ -261,7 +261,7 @@ def templates(pages: DataFrame, share: float = SHARE, min_pages: int = MIN_PAGES
     counts = checkpointed(once.groupBy("of_host", "slot", "key").agg(F.count(F.lit(1)).alias("n")))
     recurs = F.col("n") >= min_pages
     of_slot = counts.groupBy("of_host", "slot").agg(F.count(F.lit(1)).alias("distinct"), F.count_if(recurs).alias("recurring")).filter("recurring > 0")
-    met = counts.filter(recurs).join(of_slot, ["of_host", "slot"]).join(n_pages, "of_host")
+    met = counts.filter(recurs).join(of_slot, ["of_host", "slot"]).join(broadcast_if_small(n_pages, F.lit(2), BROADCAST_KEYS), "of_host")
     found = met.filter((F.col("recurring") > share * F.col("distinct")) | (F.col("n") > share * F.col("pages"))).select("key").distinct()
     return found, seen.select("h", F.col("subtrees.key").alias("keys"))
 
