@@ -16,6 +16,16 @@ PY_HTTP = r"\b(?:requests|httpx|client|session|aiohttp)\b(?:\.\w+)*\.(get|post|p
 JS_FETCH = r"\bfetch\(\s*[\"'`]([^\"'`]+)[\"'`]"
 JS_CLIENT = r"\b(?:axios|client|api)\.(get|post|put|delete|patch|head|options)\(\s*[\"'`]([^\"'`]+)[\"'`]"
 PY_DEPENDS = r"(\w+)\s*(?::\s*[\w.\[\]]+\s*)?=\s*Depends\(\s*([A-Za-z_][\w.]*)"
+PY_ANNOTATED = r"(\w+)\s*:\s*(?:\w+\.)?Annotated\[[^\[\]]*\bDepends\(\s*([A-Za-z_][\w.]*)"
+PY_FUNCTION = r"\bdef\s+([A-Za-z_]\w*)\s*\(((?:[^()]++|\([^()]*+\))*+)\)"
+DJANGO_ROUTE = r"\b(?:re_)?path\(\s*r?[\"']([^\"']*)[\"']\s*,\s*([A-Za-z_][\w.]*)"
+NEXT_EXPORT = r"\bexport\s+(?:async\s+)?function\s+(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\b"
+NEXT_DEFAULT = r"\bexport\s+default\s+(?:async\s+)?function\s+([A-Za-z_]\w*)"
+TS_INJECTABLE = r"@(?:Injectable|Controller|Resolver)\([^)]*\)\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_]\w*)"
+TS_CONSTRUCTOR = r"\bconstructor\s*\(((?:[^()]++|\([^()]*+\))*+)\)"
+TS_PARAMETER = r"(?:\b(?:private|public|protected|readonly)\s+)+([A-Za-z_]\w*)\s*:\s*([A-Z]\w*)"
+JAVA_CLASS = r"\bclass\s+([A-Za-z_]\w*)"
+JAVA_FIELD = r"@(?:Autowired|Inject)\s+(?:(?:private|protected|public|final)\s+)*([A-Z]\w*)(?:<[^>]*>)?\s+([A-Za-z_]\w*)\s*;"
 WATERMARK = "[compressed]"
 SYMBOL_SCHEMA = "file_path string, kind string, name string, qualified_name string, line int, visibility string, bases array<string>, calls array<string>, imports array<string>"
 
@@ -27,9 +37,25 @@ def _all(c: Column, pattern: str, groups: tuple[int, ...], names: tuple[str, ...
 
 
 def routes(files: DataFrame) -> DataFrame:
-    """file_path, method, path, handler of files (file_path, language, source); route and api_route are any method."""
-    c = F.coalesce("source", F.lit(""))
-    own = F.when(F.col("language") == "python", _all(c, PY_ROUTE, (1, 2, 3), ("method", "path", "handler"))).when(F.col("language").isin("javascript", "typescript"), _all(c, JS_ROUTE, (1, 2, 3), ("method", "path", "handler")))
+    """file_path, method, path, handler of files (file_path, language, source); route and api_route are any method.
+
+    Decorators and router calls; Django's path() and re_path() in urls.py (any method, by the view's
+    or the class's name); files whose place is their route: app/**/route.* with an exported
+    function for each method, and pages/api/** with a default one.
+    """
+    c, at = F.coalesce("source", F.lit("")), F.coalesce("file_path", F.lit(""))
+    names = ("method", "path", "handler")
+    row = lambda method, path, handler: F.struct(method.alias("method"), path.alias("path"), handler.alias("handler"))
+    none = F.array().cast("array<struct<method:string,path:string,handler:string>>")
+    view = lambda h: F.substring_index(F.regexp_replace(h, r"\.as_view$", ""), ".", -1)
+    django = F.transform(_all(c, DJANGO_ROUTE, (1, 2), ("path", "handler")), lambda x: row(F.lit("any"), F.concat(F.lit("/"), x["path"]), view(x["handler"])))
+    django = F.when(at.rlike(r"(^|/)urls\.py$"), F.filter(django, lambda x: x["handler"] != "include")).otherwise(none)
+    place = F.concat(F.lit("/"), F.array_join(F.filter(F.split(F.regexp_extract(at, r"(?:^|/)app/(?:(.*)/)?route\.[jt]sx?$", 1), "/"), lambda s: (s != "") & ~s.rlike(r"^\(.*\)$")), "/"))
+    by_method = F.transform(F.regexp_extract_all(c, F.lit(NEXT_EXPORT), F.lit(1)), lambda m: row(m, place, m))
+    page = F.regexp_replace(F.concat(F.lit("/"), F.regexp_extract(at, r"(?:^|/)pages/(api/.*)\.[jt]sx?$", 1)), r"/index$", "")
+    by_default = F.transform(F.slice(F.regexp_extract_all(c, F.lit(NEXT_DEFAULT), F.lit(1)), 1, 1), lambda h: row(F.lit("any"), page, h))
+    of_place = F.when(at.rlike(r"(^|/)app/(.*/)?route\.[jt]sx?$"), by_method).when(at.rlike(r"(^|/)pages/api/.*\.[jt]sx?$"), by_default).otherwise(none)
+    own = F.when(F.col("language") == "python", F.concat(_all(c, PY_ROUTE, (1, 2, 3), names), django)).when(F.col("language").isin("javascript", "typescript"), F.concat(_all(c, JS_ROUTE, (1, 2, 3), names), of_place))
     rows = files.select("file_path", F.explode(own).alias("r"))
     method = F.upper("r.method")
     return rows.select("file_path", F.when(method.isin("ROUTE", "API_ROUTE", "ALL", "USE"), "ANY").otherwise(method).alias("method"), F.col("r.path").alias("path"), F.col("r.handler").alias("handler"))
@@ -44,9 +70,56 @@ def http_calls(files: DataFrame) -> DataFrame:
 
 
 def injections(files: DataFrame) -> DataFrame:
-    """file_path, parameter, provider of the parameters whose default is a dependency."""
-    own = _all(F.coalesce("source", F.lit("")), PY_DEPENDS, (1, 2), ("parameter", "provider"))
-    return files.filter("language = 'python'").select("file_path", F.explode(own).alias("r")).select("file_path", "r.*")
+    """file_path, parameter, provider, consumer of what functions and classes have injected.
+
+    Python: parameters with a dependency as default or in their annotation; the function consumes.
+    TypeScript: the constructor's members of a class that the container makes. Java: fields that are
+    wired. Of files with several such classes the first counts as the consumer.
+    """
+    c = F.coalesce("source", F.lit(""))
+    names = ("parameter", "provider")
+    functions = files.filter("language = 'python'").select("file_path", F.explode(_all(c, PY_FUNCTION, (1, 2), ("consumer", "arguments"))).alias("f"))
+    python = functions.select("file_path", "f.consumer", F.explode(F.array_distinct(F.concat(_all(F.col("f.arguments"), PY_DEPENDS, (1, 2), names), _all(F.col("f.arguments"), PY_ANNOTATED, (1, 2), names)))).alias("r"))
+    consumer = lambda pattern: F.get(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), 0)
+    made = files.filter(F.col("language").isin("typescript", "javascript")).select("file_path", consumer(TS_INJECTABLE).alias("consumer"), F.explode(F.regexp_extract_all(c, F.lit(TS_CONSTRUCTOR), F.lit(1))).alias("arguments")).filter("consumer is not null")
+    nest = made.select("file_path", "consumer", F.explode(_all(F.col("arguments"), TS_PARAMETER, (1, 2), names)).alias("r"))
+    spring = files.filter("language = 'java'").select("file_path", consumer(JAVA_CLASS).alias("consumer"), F.explode(_all(c, JAVA_FIELD, (2, 1), names)).alias("r"))
+    return python.unionByName(nest).unionByName(spring).select("file_path", "r.parameter", "r.provider", "consumer")
+
+
+def package_aliases(files: DataFrame) -> DataFrame:
+    """prefix, replacement of imports by the packages' own names and the paths they give, from manifests (file_path, source).
+
+    pyproject.toml, go.mod (with replacements), Cargo.toml (with path dependencies), package.json
+    (name, imports, local dependencies) and tsconfig.json (paths). Of equal prefixes the last kind counts.
+    """
+    c, base = F.coalesce("source", F.lit("")), F.substring_index(F.replace("file_path", F.lit("\\"), F.lit("/")), "/", -1)
+    pair = lambda prefix, replacement: F.struct(prefix.alias("prefix"), replacement.alias("replacement"))
+    none = F.array().cast("array<struct<prefix:string,replacement:string>>")
+    name_of = lambda p: F.substring_index(F.regexp_replace(p, r"/+$", ""), "/", -1)
+    under = lambda x: F.replace(x, F.lit("-"), F.lit("_"))
+    toml = F.regexp_extract(c, r'(?m)^name\s*=\s*"([^"]+)"', 1)
+    own = lambda n: F.when(n == "", none).otherwise(F.array(pair(n, under(n)), pair(under(n), under(n))))
+    modules = F.transform(F.regexp_extract_all(c, F.lit(r"(?m)^\s*module\s+(\S+)"), F.lit(1)), lambda m: pair(m, m))
+    moved = F.transform(_all(c, r"(?m)^\s*replace\s+(\S+)[^\n]*?=>\s*(\S+)", (1, 2), ("a", "b")), lambda x: pair(x["a"], F.when(x["b"].rlike(r"^\.\.?/"), name_of(x["b"])).otherwise(x["b"])))
+    crate = F.regexp_extract(c, r'(?ms)^\[package\][^\[]*?^name\s*=\s*"([^"]+)"', 1)
+    local = F.flatten(F.transform(_all(c, r'(?m)^([A-Za-z0-9_-]+)\s*=\s*\{[^}\n]*path\s*=\s*"([^"]+)"', (1, 2), ("a", "b")), lambda x: F.array(pair(x["a"], name_of(x["b"])), pair(under(x["a"]), name_of(x["b"])))))
+    entries = lambda path, kind: F.coalesce(F.map_entries(F.from_json(F.get_json_object(c, path), kind)), F.array().cast("array<struct<key:string,value:string>>" if kind == "map<string,string>" else "array<struct<key:string,value:array<string>>>"))
+    trimmed = lambda p: F.regexp_replace(F.regexp_replace(F.replace(p, F.lit("*"), F.lit("")), r"/+$", ""), r"^\./", "")
+    npm = F.get_json_object(c, "$.name")
+    named = F.when(F.coalesce(npm, F.lit("")) == "", none).otherwise(F.array(pair(npm, F.replace(F.regexp_replace(npm, "^@+", ""), F.lit("/"), F.lit(".")))))
+    inner = F.transform(entries("$.imports", "map<string,string>"), lambda e: pair(trimmed(e["key"]), F.regexp_replace(name_of(trimmed(e["value"])), r"\.[^.]*$", "")))
+    sections = F.concat(*[entries(f"$.{s}", "map<string,string>") for s in ("dependencies", "devDependencies", "peerDependencies")])
+    beside = F.transform(F.filter(sections, lambda e: e["value"].rlike("^(file|workspace):")), lambda e: pair(e["key"], name_of(F.regexp_replace(e["value"], "^(file|workspace):", ""))))
+    bare = F.regexp_replace(c, r"(?m)//.*$", "")
+    paths = F.transform(F.coalesce(F.map_entries(F.from_json(F.get_json_object(bare, "$.compilerOptions.paths"), "map<string,array<string>>")), F.array().cast("array<struct<key:string,value:array<string>>>")), lambda e: pair(trimmed(e["key"]), trimmed(F.get(e["value"], 0))))
+    kinds = [("pyproject.toml", own(toml)), ("go.mod", F.concat(modules, moved)), ("Cargo.toml", F.concat(own(crate), local)), ("package.json", F.concat(named, inner, beside)), ("tsconfig.json", paths)]
+    found = None
+    for k, (kind, rows) in enumerate(kinds):
+        part = files.filter(base == kind).select(F.lit(k).alias("k"), "file_path", F.explode(rows).alias("r"))
+        found = part if found is None else found.unionByName(part)
+    found = found.select("k", "file_path", "r.*").filter("prefix <> '' and replacement is not null")
+    return found.groupBy("prefix").agg(F.max(F.struct("k", "file_path", "replacement")).alias("m")).select("prefix", "m.replacement")
 
 
 def _symbols(path: str, source: str) -> Iterator[dict]:

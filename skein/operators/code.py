@@ -49,8 +49,12 @@ def quoted_names(symbol_rows: DataFrame) -> DataFrame:
 
 
 def quoted_elsewhere(candidates: DataFrame, names: DataFrame) -> DataFrame:
-    """symbol_id, files: in how many other files a candidate's name stands in quotes."""
-    return candidates.select("symbol_id", "name", F.col("file_path").alias("own")).join(names, "name").filter("file_path <> own").groupBy("symbol_id").agg(F.countDistinct("file_path").alias("files"))
+    """symbol_id, files: in how many other files a candidate's name stands in quotes, by a name's count less the candidate's own file."""
+    pairs = names.select("name", "file_path").distinct()
+    counted = pairs.groupBy("name").agg(F.count(F.lit(1)).alias("all"))
+    own = pairs.withColumn("own", F.lit(1))
+    rows = candidates.select("symbol_id", "name", "file_path").join(counted, "name").join(own, ["name", "file_path"], "left")
+    return rows.groupBy("symbol_id").agg(F.max(F.col("all") - F.coalesce("own", F.lit(0))).alias("files")).filter("files > 0")
 
 
 def loader_directories(symbol_rows: DataFrame) -> DataFrame:

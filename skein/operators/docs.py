@@ -119,6 +119,64 @@ def front_matter(documents: DataFrame, text_col: str = "text") -> DataFrame:
     return documents.withColumn("front", last).withColumn("body", F.regexp_replace(text_col, r"(?s)^---\n.*?\n---(?:\n|$)", ""))
 
 
+def listed_value(c: Column) -> Column:
+    """A front matter's value as a list: [a, b], or a, b; quotes go; null and blank are empty."""
+    inner = F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s*\[|\]\s*$", "")
+    return F.filter(F.transform(F.split(inner, ","), lambda x: F.regexp_replace(F.trim(x), "^[\"']|[\"']$", "")), lambda x: x != "")
+
+
+# Single and listed keys of a catalogue's entries.
+ENTRY_KEYS = ("doc_id", "title", "summary", "doc_type", "phase", "status", "lifecycle_lane", "concern_lane", "authority", "visibility")
+ENTRY_LISTS = ("tags", "audience_lane")
+
+
+def catalogue_entries(documents: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
+    """path, the entry keys (empty where a document lacks them), its lists, linked_symbols_count of the documents that have front matter, by path."""
+    front = front_matter(documents, text_col).filter(F.size("front") > 0)
+    value = lambda k: F.try_element_at("front", F.lit(k))
+    single = [F.coalesce(F.regexp_replace(value(k), "^[\"']|[\"']$", ""), F.lit("")).alias(k) for k in ENTRY_KEYS]
+    return front.select(F.col(path_col).alias("path"), *single, *[listed_value(value(k)).alias(k) for k in ENTRY_LISTS], F.size(listed_value(value("linked_symbols"))).alias("linked_symbols_count")).orderBy("path")
+
+
+def _of_key(key: str):
+    return lambda v: F.struct(F.lit(key).alias("key"), v.alias("value"))
+
+
+def observed(entries: DataFrame, keys: tuple[str, ...] = (*ENTRY_KEYS[3:], *ENTRY_LISTS)) -> DataFrame:
+    """key, value, n of the values that a catalogue's entries have: a vocabulary for each key, commonest first, then by name."""
+    each = [F.transform(F.col(k) if k in ENTRY_LISTS else F.array(k), _of_key(k)) for k in keys]
+    rows = entries.select(F.explode(F.concat(*each)).alias("e")).select("e.*").filter("value <> ''")
+    return rows.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n")).orderBy("key", F.desc("n"), "value")
+
+
+def coverage_gaps(symbol_rows: DataFrame, required: DataFrame, anchors: DataFrame) -> DataFrame:
+    """symbol of those that required (symbol) names and no anchor has; only what is named is asked for."""
+    own = symbol_rows.select("symbol").join(required.select("symbol").distinct(), "symbol", "left_semi")
+    return own.join(anchors.select("symbol").distinct(), "symbol", "left_anti")
+
+
+def front_matter_errors(documents: DataFrame, id_col: str, required: tuple[str, ...], text_col: str = "text") -> DataFrame:
+    """id_col, errors (joined by commas; empty: none): what a document's front matter lacks or leaves blank."""
+    front = front_matter(documents, text_col)
+    lacks = [F.when(F.trim(F.coalesce(F.try_element_at("front", F.lit(k)), F.lit(""))) == "", F.lit(f"missing:{k}")) for k in required]
+    return front.select(id_col, F.array_join(F.array_compact(F.array(*lacks)), ",").alias("errors"))
+
+
+def indexed(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """doc_id, body, version of an index (the same columns) after incoming (doc_id, body, seq): of each id the last counts; another body is a version more, the same body none."""
+    last = incoming.groupBy("doc_id").agg(F.max_by("body", "seq").alias("new"), F.lit(True).alias("came"))
+    both = current.join(last, "doc_id", "full")
+    changed = F.col("came") & ~F.col("new").eqNullSafe(F.col("body"))
+    version = F.coalesce("version", F.lit(0)) + F.when(F.coalesce(changed, F.lit(False)) | F.col("version").isNull(), 1).otherwise(0)
+    return both.select("doc_id", F.when(F.coalesce("came", F.lit(False)), F.col("new")).otherwise(F.col("body")).alias("body"), version.cast("int").alias("version"))
+
+
+def anchors_recorded(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """doc_id, symbol, recorded_hash of anchors after incoming (the same columns, seq): a document has one anchor for a symbol, with the hash recorded last."""
+    rows = current.withColumn("seq", F.lit(-1).cast("long")).unionByName(incoming.withColumn("seq", F.col("seq").cast("long")))
+    return rows.groupBy("doc_id", "symbol").agg(F.max_by("recorded_hash", "seq").alias("recorded_hash"))
+
+
 def evidence_links(documents: DataFrame, id_col: str, text_col: str, existing: DataFrame | None = None) -> DataFrame:
     """id_col, link: distinct paths and dotted names in backquotes, but for those that existing (id_col, link) has."""
     found = documents.select(id_col, F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(r"`([A-Za-z_][\w./:-]{2,})`"), F.lit(1)))).alias("link"))
@@ -178,7 +236,7 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 12).alias("topic"), F.when(F.col("doc_id") % 3 == 0, "informative").otherwise("normative").alias("authority"), F.lit("current").alias("lifecycle"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("topic"), F.when(F.col("doc_id") % 3 == 0, "informative").otherwise("normative").alias("authority"), F.lit("current").alias("lifecycle"))
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +282,7 @@ ORACLE_SQL = {
     "a13_gate": f"with {_S}, {_D}, g as (select count(*) filter (severity in ('critical', 'high')) as blockers, count(*) filter (severity = 'medium') as warnings from f where status is not null and symbol % 2 <> 0) select case when blockers > 0 then 'fail' else 'pass' end as verdict, blockers, warnings from g",
     "a14_severity": f"with {_S} select symbol, severity from s",
     "j16_suffix_links": "select p_partkey::varchar as link, p_brand || '/' || p_partkey as path from part",
-    "j17_duplicate_authority": "with o as (select substr(text, 1, 12) as topic, doc_id from documents where doc_id % 3 <> 0) select topic, doc_id, n - 1 as peers from (select *, count(*) over (partition by topic) as n from o) where n > 1",
+    "j17_duplicate_authority": "with o as (select sha256(text) as topic, doc_id from documents where doc_id % 3 <> 0) select topic, doc_id, n - 1 as peers from (select *, count(*) over (partition by topic) as n from o) where n > 1",
     "t01_standards": r"with c as (select doc_id, regexp_matches(text, '(?m)^# ') as h, regexp_matches(text, '(?mi)^#+ *purpose') as p, len(string_split(text, chr(10))) as n, trim(text, ' ') = '' as e from documents), i as (select doc_id, array_to_string(list_sort(list_filter([case when not h then 'missing_h1' end, case when not p then 'missing_purpose' end, case when n > 20 then 'over_hard_size' when n > 5 then 'over_size' end, case when e then 'empty' end], lambda x: x is not null)), ',') as issues from c) select * from i where issues <> ''",
     "t04_stale_score": f"with {_T} select * from u",
     "t18_outcome": f"with {_T} select case when score >= 0.75 then 'draft' when score >= 0.4 then 'task' else 'gap' end as outcome, count(*) as n from u group by 1",

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import confidence, text
-from skein.functions.lineage import checkpointed
-from skein.operators.traverse import components, live
+from skein.functions.lineage import broadcast_if_small, checkpointed
+from skein.operators import code, resolve
+from skein.operators.traverse import components, dead_subgraph, live
 from skein.sources.tables import GRAPH_SQL, edges, symbols
 
 # Weights of relations in the undirected projection.
@@ -209,17 +210,28 @@ def dead_code_score(rows: DataFrame) -> DataFrame:
 
 
 def unused_candidates(symbol_rows: DataFrame, edge_rows: DataFrame, pool: DataFrame) -> DataFrame:
-    """symbol_id, finding_kind, score, tier of the pool's symbols that no production code reaches."""
+    """symbol_id, finding_kind, score, tier of the pool's symbols that no production code reaches.
+
+    Dead symbols that only dead ones use are a dead subgraph, unless only tests use them. Files that
+    something not dead imports have live importers. If symbol_rows have signature and body, those
+    in a directory with a dynamic loader are marked.
+    """
+    edge_rows = checkpointed(edge_rows)
     alive = checkpointed(live(symbol_rows, edge_rows, pool))
-    dead = pool.select("symbol_id").join(alive, "symbol_id", "left_anti")
+    dead = checkpointed(pool.select("symbol_id").join(alive, "symbol_id", "left_anti"))
     used = inbound_sources(edge_rows)
+    sub = dead_subgraph(edge_rows, dead).withColumn("sub", F.lit(True))
+    imported = resolve.live_import_paths(edge_rows, symbol_rows, symbol_rows.select("symbol_id").join(dead, "symbol_id", "left_anti")).withColumn("imported", F.lit(True))
+    directory = F.regexp_extract(text.path(F.col("file_path")), r"^(.*)/[^/]*$", 1)
+    loads = {"signature", "body"} <= set(symbol_rows.columns)
     only = test_only(symbol_rows, edge_rows).withColumn("by_tests", F.lit(True))
-    rows = dead.join(symbol_rows.select("symbol_id", "name", "file_path"), "symbol_id").join(used, "symbol_id", "left").join(only, "symbol_id", "left")
+    rows = dead.join(symbol_rows.select("symbol_id", "name", "file_path"), "symbol_id").join(used, "symbol_id", "left").join(only, "symbol_id", "left").join(sub, "symbol_id", "left").join(imported, "file_path", "left")
+    rows = rows.withColumn("directory", directory).join(code.loader_directories(symbol_rows).withColumn("loader", F.lit(True)), "directory", "left") if loads else rows.withColumn("loader", F.lit(False))
     rows = rows.select(
-        "symbol_id", F.when(F.coalesce("strong", F.lit(0)) > 0, "dead_subgraph").otherwise("unused_symbol").alias("finding_kind"), F.when(F.col("name").startswith("_"), "private").otherwise("public").alias("visibility"),
-        F.lit(False).alias("live_importers"), F.col("file_path").rlike(r"(?i)(^|/)(wip|draft|experimental|sandbox)(/|$)").alias("wip"), F.coalesce("by_tests", F.lit(False)).alias("test_only"), (F.coalesce("weak", F.lit(0)) > 0).alias("weak_edges"), F.lit(False).alias("dynamic_loader"),
+        "symbol_id", F.when(F.col("sub") & ~F.coalesce("by_tests", F.lit(False)), "dead_subgraph").otherwise("unused_symbol").alias("finding_kind"), F.when(F.col("name").startswith("_"), "private").otherwise("public").alias("visibility"),
+        F.coalesce("imported", F.lit(False)).alias("live_importers"), F.col("file_path").rlike(r"(?i)(^|/)(wip|draft|experimental|sandbox)(/|$)").alias("wip"), F.coalesce("by_tests", F.lit(False)).alias("test_only"), (F.coalesce("weak", F.lit(0)) > 0).alias("weak_edges"), F.coalesce("loader", F.lit(False)).alias("dynamic_loader"),
     )
-    return dead_code_score(rows).select("symbol_id", "finding_kind", "test_only", "weak_edges", "score", "tier", "safe_to_delete")
+    return dead_code_score(rows).select("symbol_id", "finding_kind", "test_only", "weak_edges", "live_importers", "dynamic_loader", "score", "tier", "safe_to_delete")
 
 
 def communities(edge_rows: DataFrame, rounds: int = 8) -> DataFrame:
@@ -257,36 +269,53 @@ def community_labels(symbol_rows: DataFrame, community: DataFrame) -> DataFrame:
     return sizes.join(top, "community", "left").select("community", "size", F.concat(F.coalesce("t.word", F.lit("misc")), F.lit("-cluster")).alias("label"))
 
 
-def betweenness(edge_rows: DataFrame, most_sources: int = 80, max_depth: int = 12) -> DataFrame:
-    """node, betweenness: mean dependency over up to most_sources sources, every step-th of the sorted nodes; undirected, without weights.
+def numbered(rows: DataFrame, by: str, name: str = "n") -> DataFrame:
+    """rows with name, their place from 0 in the order of by: ranges sorted each by itself, and a sum over the ranges' sizes."""
+    ranged = checkpointed(rows.repartitionByRange(by).sortWithinPartitions(by).withColumns({"__id": F.monotonically_increasing_id()}))
+    placed = ranged.withColumn("__part", F.shiftright("__id", 33))
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"))
+    before = sizes.withColumn("__before", F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))  # a row for each range
+    joined = placed.join(F.broadcast(before.select("__part", "__before")), "__part")
+    return joined.select(*rows.columns, (F.coalesce("__before", F.lit(0)) + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
+
 
-    Brandes's two passes as joins: path counts outward by level from all sources at once, then
-    dependencies back.
+def betweenness(edge_rows: DataFrame, symbol_rows: DataFrame | None = None, most_sources: int = 80) -> DataFrame:
+    """node, betweenness: mean dependency over up to most_sources sources; undirected, without weights.
+
+    Nodes are the symbols other than files and placeholders (without symbol_rows: the edges' ends),
+    in the order of their ids; sources are the first most_sources of every step-th of them, step
+    being their number by most_sources, rounded down. Brandes's two passes as joins: path counts
+    outward by level from all sources at once until nothing new is reached, then dependencies back.
+    What a level reaches is new if the last two levels lack it, as no edge skips a level.
     """
-    pairs = checkpointed(projection(edge_rows).select("a", "b"))
+    pairs = projection(edge_rows).select("a", "b")
+    if symbol_rows is not None:
+        own = checkpointed(symbol_rows.filter(~F.col("kind").isin(*NOT_HUBS[:5])).select(F.col("symbol_id").alias("v")).distinct())
+        pairs = pairs.join(own.withColumnRenamed("v", "a"), "a", "left_semi").join(own.withColumnRenamed("v", "b"), "b", "left_semi")
+    pairs = checkpointed(pairs)
     both = pairs.select(F.col("a").alias("v"), F.col("b").alias("w")).union(pairs.select(F.col("b").alias("v"), F.col("a").alias("w")))
-    nodes = both.select("v").distinct()
+    nodes = both.select("v").distinct() if symbol_rows is None else own
     n = nodes.count()
-    step = max(1, -(-n // most_sources))
-    at = nodes.rdd.map(lambda r: r[0]).sortBy(lambda x: x).zipWithIndex().filter(lambda p: p[1] % step == 0).map(lambda p: (p[0],)) if n else None
-    if at is None:
-        return edge_rows.sparkSession.createDataFrame([], "node string, betweenness double")
-    sources = checkpointed(edge_rows.sparkSession.createDataFrame(at, "s string"))
+    if not n:
+        return nodes.select(F.col("v").alias("node"), F.lit(0.0).alias("betweenness"))
+    step = max(1, n // most_sources)
+    sources = checkpointed(numbered(nodes, "v").filter((F.col("n") % step == 0) & (F.col("n") < step * most_sources)).select(F.col("v").alias("s")))
     k = sources.count()
     levels = [checkpointed(sources.select("s", F.col("s").alias("v"), F.lit(1.0).alias("paths")))]
-    known = levels[0].select("s", "v")
-    for _ in range(max_depth):
+    while True:
         reach = levels[-1].join(both, "v").groupBy("s", F.col("w").alias("v")).agg(F.sum("paths").alias("paths"))
-        level = checkpointed(reach.join(known, ["s", "v"], "left_anti"))
+        for before in levels[-2:]:
+            reach = reach.join(before.select("s", "v"), ["s", "v"], "left_anti")
+        level = checkpointed(reach)
         if not level.limit(1).count():
             break
         levels.append(level)
-        known = known.union(level.select("s", "v"))
     total, below = None, None
     for d in range(len(levels) - 1, 0, -1):
         here = levels[d] if below is None else levels[d].join(below, ["s", "v"], "left")
         here = checkpointed(here.withColumn("dep", F.lit(0.0) if below is None else F.coalesce("dep", F.lit(0.0))))
-        total = here.select("v", "dep") if total is None else total.union(here.select("v", "dep"))
+        each = here.groupBy("v").agg(F.sum("dep").alias("dep"))
+        total = each if total is None else total.union(each)
         back = here.select("s", F.col("v").alias("w"), (((1 + F.col("dep")) / F.col("paths"))).alias("share")).join(both, "w").join(levels[d - 1].select("s", "v", "paths"), ["s", "v"])
         below = back.groupBy("s", "v").agg(F.sum(F.col("paths") * F.col("share")).alias("dep"))
     scores = total.groupBy("v").agg(F.sum("dep").alias("dep")) if total is not None else nodes.withColumn("dep", F.lit(0.0))
@@ -314,6 +343,14 @@ def n16_unreachable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unreachable_files(s, e, dead, _pool(s))
 
 
+def n15_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third symbol private, and a few bodies with a dynamic loader."""
+    n = F.substring("symbol_id", 9, 20).cast("long")
+    body = F.when(n % 997 == 5, "m = importlib.import_module('x')").otherwise("return 1")
+    s = symbols(spark, sf_dir).withColumns({"name": F.when(n % 3 == 0, F.concat(F.lit("_"), "name")).otherwise(F.col("name")), "signature": F.lit("def f()"), "body": body})
+    return unused_candidates(s, edges(spark, sf_dir), _pool(s))
+
+
 def j10_runtime(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls against traces that have the suppliers' returned shipments."""
     seen = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_returnflag = 'R' and l_suppkey % 2 = 0")
@@ -339,11 +376,11 @@ QUERIES = {
     "n01_projection": lambda spark, d: projection(edges(spark, d)),
     "n02_communities": lambda spark, d: communities(edges(spark, d).filter("confidence = 'exact'")),
     "n03_community_labels": lambda spark, d: community_labels(symbols(spark, d), _community(symbols(spark, d)).withColumnRenamed("symbol_id", "node")),
-    "n05_betweenness": lambda spark, d: betweenness(edges(spark, d).filter("confidence = 'exact' and rel_type = 'CALLS'"), most_sources=20),
+    "n05_betweenness": lambda spark, d: betweenness(edges(spark, d).filter("confidence = 'exact' and rel_type = 'CALLS'"), symbols(spark, d)),
     "n06_surprising": lambda spark, d: surprising(symbols(spark, d), edges(spark, d), _community(symbols(spark, d)), 50),
     "n09_criticality": lambda spark, d: _factors(symbols(spark, d), edges(spark, d)).select("symbol_id", criticality(F.col("flow_count"), F.col("cross_community"), F.col("test_count"), F.col("churn"), F.col("caller_count"), digits=8).alias("criticality")),
     "n10_change_risk": lambda spark, d: change_risk(_factors(symbols(spark, d), edges(spark, d))).select("symbol_id", "risk", "level"),
-    "n15_unused_candidates": lambda spark, d: unused_candidates(symbols(spark, d), edges(spark, d), _pool(symbols(spark, d))),
+    "n15_unused_candidates": n15_unused,
     "n16_unreachable_files": n16_unreachable_files,
     "n20_test_only": lambda spark, d: test_only(symbols(spark, d), edges(spark, d)),
     "x15_inbound_sources": lambda spark, d: inbound_sources(edges(spark, d)),
@@ -381,9 +418,12 @@ ORACLE_SQL = {
     "n10_change_risk": f"{_G} {_DEG}, f as (select symbol_id, {_NUMBER} as n, in_degree, lower(name || ' ' || qualified_name) as x from fx_symbols join deg using (symbol_id)), r as (select symbol_id, round(least(greatest(case when n % 3 = 0 then least((n % 7) / 20.0::double, 0.25::double) else least((n % 4) * 0.05::double, 0.25::double) end + least((n % 5) * 0.05::double, 0.15::double) + 0.30::double - least((n % 6) / 5.0::double, 1) * 0.25::double + case when regexp_matches(x, 'auth|password|token|secret|crypto|permission|acl|oauth|jwt|session|encrypt|decrypt|login|signup|credential') then 0.20::double else 0 end + least(in_degree / 20.0::double, 0.10::double) + least((n % 11) / 10.0::double, 1) * 0.15::double, 0), 1), 4) as risk from f) select symbol_id, risk, case when risk >= 0.75 then 'critical' when risk >= 0.5 then 'high' when risk >= 0.3 then 'medium' else 'low' end as level from r",
     "n15_unused_candidates": f"""{_R} {_LIVE}, u as (select target_id as symbol_id, count(distinct source_id) filter (confidence not in ('ambiguous', 'unresolved')) as strong, count(*) filter (confidence in ('ambiguous', 'unresolved')) as weak from fx_edges group by 1),
 t as (select target_id as symbol_id from strong join fx_symbols on symbol_id = source_id group by 1 having bool_and({_TEST})),
-r as (select symbol_id, case when coalesce(strong, 0) > 0 then 'dead_subgraph' else 'unused_symbol' end as finding_kind, symbol_id in (select symbol_id from t) as test_only, coalesce(weak, 0) > 0 as weak_edges from dead left join u using (symbol_id)),
-s as (select *, least(0.80::double, case when test_only then 0.45 else 1 end, case when weak_edges then 0.55 else 1 end) as score from r)
-select symbol_id, finding_kind, test_only, weak_edges, score::double as score, case when score >= 0.8 then 'high' when score >= 0.5 then 'medium' else 'low' end as tier, score >= 0.8 and not test_only as safe_to_delete from s""",
+g as (select target_id from strong where target_id in (select symbol_id from dead) group by 1 having bool_and(source_id in (select symbol_id from dead))),
+im as (select distinct b.file_path from fx_edges join fx_symbols a on a.symbol_id = source_id join fx_symbols b on b.symbol_id = target_id where rel_type = 'IMPORTS' and a.file_path <> b.file_path and source_id not in (select symbol_id from dead)),
+ld as (select distinct regexp_extract(file_path, '^(.*)/[^/]*$', 1) as dir from fx_symbols where {_NUMBER} % 997 = 5),
+r as (select symbol_id, symbol_id in (select symbol_id from t) as test_only, symbol_id in (select target_id from g) as sub, coalesce(weak, 0) > 0 as weak_edges, file_path in (select file_path from im) as live_importers, regexp_extract(file_path, '^(.*)/[^/]*$', 1) in (select dir from ld) as dynamic_loader, {_NUMBER} % 3 = 0 as private from dead join fx_symbols using (symbol_id) left join u using (symbol_id)),
+s as (select *, least(case when private and live_importers then 0.95::double else 0.80::double end, case when test_only then 0.45 else 1 end, case when weak_edges then 0.55 else 1 end, case when dynamic_loader then 0.40 else 1 end) as score from r)
+select symbol_id, case when sub and not test_only then 'dead_subgraph' else 'unused_symbol' end as finding_kind, test_only, weak_edges, live_importers, dynamic_loader, score::double as score, case when score >= 0.8 then 'high' when score >= 0.5 then 'medium' else 'low' end as tier, score >= 0.8 and not test_only and not dynamic_loader as safe_to_delete from s""",
     "n16_unreachable_files": f"{_R} {_LIVE}, f as (select file_path, count(*) filter (symbol_id in (select symbol_id from pool)) as members, count(*) filter (symbol_id in (select symbol_id from dead)) as d, count(*) filter (symbol_id in (select target_id from fx_edges where rel_type = 'IMPORTS')) as i from fx_symbols group by 1) select file_path, members from f where members > 0 and d = members and i = 0",
     "n20_test_only": f"{_G} {_STRONG} select target_id as symbol_id from strong join fx_symbols on symbol_id = source_id group by 1 having bool_and({_TEST})",
     "x15_inbound_sources": f"with {GRAPH_SQL} select target_id as symbol_id, count(distinct source_id) filter (confidence not in ('ambiguous', 'unresolved')) as strong, count(*) filter (confidence in ('ambiguous', 'unresolved')) as weak, count(*) as uses from fx_edges where rel_type in ('CALLS', 'IMPORTS', 'HTTP_CALLS') group by 1",

@@ -114,6 +114,8 @@ def listed(items: DataFrame, query: str = "", **equal) -> DataFrame:
 
 AS_OF = "2024-06-01 00:00:00"
 QUERY = "the and of history"
+#: Tokens for the memories of one source, which are whole documents.
+BUDGET = 6000
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +126,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.lit(AS_OF).cast("timestamp")
     return rows.select(
         k.alias("id"), pick(["semantic", "episodic", "working"], k).alias("kind"), pick(["active", "candidate", "active", "stale", "archived", "active", "restricted"], F.floor(k / 3)).alias("state"),
-        F.col("source").alias("title"), F.substring("text", 1, 300).alias("body"), F.array("lang").alias("tags"), F.when(k % 4 == 0, F.array(F.lit("e"))).otherwise(F.array().cast("array<string>")).alias("evidence_refs"),
+        F.col("source").alias("title"), F.col("text").alias("body"), F.array("lang").alias("tags"), F.when(k % 4 == 0, F.array(F.lit("e"))).otherwise(F.array().cast("array<string>")).alias("evidence_refs"),
         F.coalesce(F.col("quality").cast("double"), F.lit(0.5)).alias("confidence"), (k % 50 == 0).alias("pinned"), (at - F.make_dt_interval(days=(k % 60).cast("int"))).alias("updated_at"), F.when(k % 5 == 0, at).alias("expires_at"), F.lit(1).alias("version"),
     )
 
@@ -136,7 +138,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r16_retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What fits a budget of tokens for each source, best first."""
     rows = _scored(spark, sf_dir).filter("reason is null").withColumn("cost", text.word_estimate(F.concat_ws(" ", "title", "body")))
-    return packed(rows, ["title"], [F.desc("score"), F.desc("updated_at"), F.asc("id")], "cost", 200).select("id", "title", "cost")
+    return packed(rows, ["title"], [F.desc("score"), F.desc("updated_at"), F.asc("id")], "cost", BUDGET).select("id", "title", "cost")
 
 
 def w05_guidance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +159,7 @@ QUERIES = {
 }
 
 _WORDS = "list_filter(list_distinct(regexp_extract_all(lower({t}), '[a-z0-9][a-z0-9_-]*')), lambda w: length(w) > 1)"
-_I = f"""i as (select doc_id as id, ['semantic', 'episodic', 'working'][doc_id % 3 + 1] as kind, ['active', 'candidate', 'active', 'stale', 'archived', 'active', 'restricted'][(doc_id // 3) % 7 + 1] as state, source as title, substr(text, 1, 300) as body, lang, coalesce(quality::double, 0.5::double) as confidence, doc_id % 60 as age from documents left join labels using (doc_id)),
+_I = f"""i as (select doc_id as id, ['semantic', 'episodic', 'working'][doc_id % 3 + 1] as kind, ['active', 'candidate', 'active', 'stale', 'archived', 'active', 'restricted'][(doc_id // 3) % 7 + 1] as state, source as title, text as body, lang, coalesce(quality::double, 0.5::double) as confidence, doc_id % 60 as age from documents left join labels using (doc_id)),
 s as (select *, round(len(list_intersect({_WORDS.format(t="title || ' ' || body || ' ' || lang")}, ['the', 'and', 'of', 'history'])) * case kind when 'semantic' then 3.0::double when 'episodic' then 1.0::double else 2.0::double end
  + case when id % 4 = 0 then 1.5::double else 0 end + confidence + 0.25::double * greatest(0, 1 - age / 30.0::double) + case when state = 'active' and kind in ('semantic', 'working') then 2 else 0 end + case when id % 50 = 0 then 2 else 0 end - case when state = 'candidate' then 0.5::double else 0 end, 6) as score from i),
 r as (select *, case when state = 'restricted' then 'restricted_memory_boundary' when state = 'archived' then 'inactive_memory_state' when state = 'stale' then 'stale_memory_excluded' when kind = 'working' and id % 5 = 0 then 'working_memory_expired' when score < 1 then 'below_relevance_threshold' end as reason from s)"""
@@ -174,7 +176,7 @@ ORACLE_SQL = {
     "r15_memory_score": f"with {_I} select id, score, reason from r",
     "w03_memory_rank": f"with {_I} select id, score, (row_number() over (partition by title order by score desc, age, id))::int as rank from r where reason is null",
     "r16_memory_retrieve": f"""with recursive {_I}, q as (select id, title, greatest(1, len(list_filter(regexp_split_to_array(trim(title || ' ' || body), '\\s+'), lambda w: w <> ''))) as cost, row_number() over (partition by title order by score desc, age, id) as n from r where reason is null),
-{_fold('q', 'title', 200)} select id, title, cost::int as cost from f join q using (title, n) where taken""",
+{_fold('q', 'title', BUDGET)} select id, title, cost::int as cost from f join q using (title, n) where taken""",
     "w04_budget_pack": f"""with recursive q as (select l_suppkey, l_orderkey, l_linenumber, l_quantity::bigint as cost, row_number() over (partition by l_suppkey order by l_extendedprice desc, l_orderkey, l_linenumber) as n from lineitem),
 {_fold('q', 'l_suppkey', 300)} select l_suppkey, l_orderkey, l_linenumber from f join q using (l_suppkey, n) where taken""",
     "w05_layered": """with p as (select p_partkey % 300 as key, ['org', 'project', 'user'][p_partkey % 3 + 1] as layer, p_partkey % 3 + 1 as rank, min(p_brand) as body, bool_or(p_size > 40) as mandatory from part group by 1, 2, 3),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text
+from skein.functions.lineage import checkpointed
 from skein.sources.tables import table
 
 # Severities from worst to least.
@@ -79,16 +80,30 @@ def questions(turns: DataFrame, question: F.Column | None = None, least: int = 1
     return s.select("question", "observations", "evidence", F.round(score, 3).alias("curiosity"))
 
 
-def cochanged(changes: DataFrame, support: int = 2) -> DataFrame:
+def cochanged(changes: DataFrame, support: int = 2, mass: int = 200) -> DataFrame:
     """a, b, support: pairs a < b of files changed in one commit (columns commit, file), in support commits or more.
 
-    Commits hold a few files each; files of fewer than support commits are left out before pairing.
+    Files of fewer than support commits are left out before pairing. With a support of two or more,
+    the files of a commit of over mass files are not paired with each other: such commits only add
+    to pairs that other commits made, and two of them to pairs that both hold.
     """
     own = changes.select("commit", "file").distinct()
     often = own.groupBy("file").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support).select("file")
     kept = own.join(often, "file", "left_semi")
-    pairs = kept.withColumnRenamed("file", "a").join(kept.withColumnRenamed("file", "b"), "commit").filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= support)
+    paired = lambda rows, key: rows.withColumnRenamed("file", "a").join(rows.withColumnRenamed("file", "b"), key).filter("a < b")
+    large = checkpointed(kept.groupBy("commit").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > mass).select("commit"))
+    if support < 2 or not large.limit(1).count():
+        return paired(kept, "commit").groupBy("a", "b").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= support)
+    small = checkpointed(paired(kept.join(large, "commit", "left_anti"), "commit").groupBy("a", "b").agg(F.count(F.lit(1)).alias("support")))
+    wide = kept.join(large, "commit", "left_semi")
+    held = wide.groupBy("file").agg(F.array_sort(F.collect_set("commit")).alias("c"))  # mass commits are few
+    twos = held.select("file", F.explode(F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.size("c")), lambda y: F.struct(x.alias("x"), y.alias("y")))))).alias("key"))
+    both = small.select("a", "b").unionByName(paired(twos, "key").select("a", "b")).distinct()
+    of = lambda side: held.select(F.col("file").alias(side), F.col("c").alias(f"c_{side}"))
+    more = both.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.size(F.array_intersect("c_a", "c_b")).alias("n"))
+    rows = small.join(more, ["a", "b"], "full")
+    total = (F.coalesce("support", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("long")
+    return rows.select("a", "b", total.alias("support")).filter(F.col("support") >= support)
 
 
 def trust(outcomes: DataFrame) -> DataFrame:
@@ -107,10 +122,20 @@ def vocabulary(rows: DataFrame, col: str) -> DataFrame:
     return rows.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def rate_gate(events: DataFrame, per_window: int, seconds: int = 60) -> DataFrame:
-    """events with in_window (how many of their user began in the seconds up to them) and admitted (at most per_window)."""
-    w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, Window.currentRow)
-    return events.withColumn("in_window", F.count(F.lit(1)).over(w)).withColumn("admitted", F.col("in_window") <= per_window)
+def rate_gate(events: DataFrame, per_window: int, seconds: int = 60, spans: int = 1000) -> DataFrame:
+    """events with in_window (how many of their user began in the seconds up to them) and admitted (at most per_window).
+
+    A user's events are counted span by span of spans windows, so that one with very many is no
+    single task; each span also has the events of the seconds before it.
+    """
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    width = seconds * 1_000_000
+    placed = events.withColumn("__at", micros).withColumn("__span", F.floor(F.col("__at") / (width * spans)))
+    before = placed.filter(F.col("__at") >= (F.col("__span") + 1) * (width * spans) - width).withColumn("__span", F.col("__span") + 1).withColumn("__own", F.lit(False))
+    both = placed.withColumn("__own", F.lit(True)).unionByName(before)
+    w = Window.partitionBy("user_id", "__span").orderBy("__at").rangeBetween(-width, Window.currentRow)
+    counted = both.withColumn("in_window", F.count(F.lit(1)).over(w)).filter("__own").drop("__at", "__span", "__own")
+    return counted.withColumn("admitted", F.col("in_window") <= per_window)
 
 
 def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -143,9 +168,12 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users asked, by the first six words; resolved if the assistant's turn came next."""
     c = table(spark, sf_dir, "conversations")
-    first = F.array_join(F.slice(F.split(text.question_key(F.col("text")), " "), 1, 2), " ")
-    return c.select(first.alias("question"), F.col("conv_id").alias("evidence"), (F.col("role") == "assistant").alias("resolved"))
+    first = F.array_join(F.slice(F.split(text.question_key(F.col("text")), " "), 1, 6), " ")
+    answered = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn")).distinct().withColumn("resolved", F.lit(True))
+    asked = c.filter("role = 'user'").select("conv_id", "turn", first.alias("question")).join(answered, ["conv_id", "turn"], "left")
+    return asked.select("question", F.col("conv_id").alias("evidence"), F.coalesce("resolved", F.lit(False)).alias("resolved"))
 
 
 QUERIES = {
@@ -182,7 +210,7 @@ ORACLE_SQL = {
     "a16_timeline": f"with {_E} select event_id, ts, event_type from e where user_id = 7 order by ts, event_id",
     "a16_trail": f"with {_E} select user_id, count(*) as events, min(ts) as first_ts, max(ts) as last_ts, string_agg(distinct event_type, ',' order by event_type) as kinds from e group by 1",
     "a17_compression": "select lang as kind, count(*) as calls, count(*) filter (n_chars > 2000) as applied, count(*) filter (n_chars <= 2000) as skipped, sum(n_chars - least(n_chars, 2000))::bigint as saved, round(100.0::double * sum(n_chars - least(n_chars, 2000)) / sum(n_chars), 2) as percent_saved from documents group by grouping sets ((lang), ())",
-    "a19_questions": "with q as (select array_to_string((regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_-]*'))[1:2], ' ') as question, conv_id, role = 'assistant' as resolved from conversations) select question, count(*) as observations, count(distinct conv_id) as evidence, round((count(*) + case when bool_or(resolved) then 0 else 1 end + least(count(distinct conv_id), 3) * 0.5)::double, 3) as curiosity from q group by 1 having count(*) >= 2",
+    "a19_questions": "with a as (select distinct conv_id, turn - 1 as turn from conversations where role = 'assistant'), q as (select array_to_string((regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_-]*'))[1:6], ' ') as question, c.conv_id, a.turn is not null as resolved from conversations c left join a on a.conv_id = c.conv_id and a.turn = c.turn where role = 'user') select question, count(*) as observations, count(distinct conv_id) as evidence, round((count(*) + case when bool_or(resolved) then 0 else 1 end + least(count(distinct conv_id), 3) * 0.5)::double, 3) as curiosity from q group by 1 having count(*) >= 2",
     "a21_cochange": "with c as (select distinct l_orderkey as o, l_partkey as f from lineitem) select x.f as a, y.f as b, count(*) as support from c x join c y on x.o = y.o and x.f < y.f group by 1, 2 having count(*) >= 2",
     "a23_trust": f"with {_E}, s as (select user_id as subject, count(*) filter (event_type = 'error') as failures, count(*) filter (event_type <> 'error') as successes, bool_or(event_type = 'signup' and k = 3) as r from e group by 1) select subject, failures, successes, case when r then 'untrusted' when failures >= 3 then 'demote' when successes >= 5 then 'promote' else 'keep' end as action from s",
     "a24_hotspots": "select doc_id as file, ceil(length(text) / 4.0)::bigint as tokens, ceil(length(text) / 4.0) > 2000 as over_budget from documents where ceil(length(text) / 4.0) >= 500",

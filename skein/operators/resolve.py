@@ -53,14 +53,21 @@ def calls(call_rows: DataFrame, symbol_rows: DataFrame, aliases: DataFrame, buil
     return out.withColumn("confidence", sure)
 
 
-def rewritten(refs: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """ref, rewritten: the longest of prefixes (prefix, replacement) that a reference is, or continues with / or ., is replaced; equality on exploded beginnings."""
+def rewritten(refs: DataFrame, prefixes: DataFrame, joined: str | None = None) -> DataFrame:
+    """ref, rewritten: the longest of prefixes (prefix, replacement) that a reference is, or continues with / or ., is replaced; equality on exploded beginnings.
+
+    What follows the prefix stays as it is, or, with joined, comes after that instead of its own slashes and dots.
+    """
     starts = F.regexp_extract_all("ref", F.lit(r"[/.]?[^/.]+"), F.lit(0))
     begun = F.transform(F.sequence(F.lit(1), F.size(starts)), lambda i: F.array_join(F.slice(starts, i * 0 + 1, i), ""))
     own = refs.select("ref").distinct().filter("ref is not null and ref <> ''")
-    hits = own.select("ref", F.explode(begun).alias("prefix")).join(prefixes.dropDuplicates(["prefix"]), "prefix")
+    hits = own.select("ref", F.explode(begun).alias("prefix")).join(prefixes.dropDuplicates(["prefix"]), "prefix").filter(F.col("ref").startswith(F.col("prefix")))
     best = hits.groupBy("ref").agg(F.max_by(F.struct("prefix", "replacement"), F.length("prefix")).alias("b"))
-    return refs.join(best, "ref", "left").select("ref", F.when(F.col("b").isNull(), F.col("ref")).otherwise(F.concat("b.replacement", F.expr("substring(ref, length(b.prefix) + 1)"))).alias("rewritten"))
+    rest = F.expr("substring(ref, length(b.prefix) + 1)")
+    if joined is not None:
+        rest = F.regexp_replace(rest, r"^[/.]+", "")
+        rest = F.when(rest == "", "").otherwise(F.concat(F.lit(joined), rest))
+    return refs.join(best, "ref", "left").select("ref", F.when(F.col("b").isNull(), F.col("ref")).otherwise(F.concat("b.replacement", rest)).alias("rewritten"))
 
 
 def stems(path: Column) -> Column:

@@ -107,14 +107,16 @@ def delivered(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """event_id, subscription_id of active, authorised subscriptions to an event's channel or to all.
 
     subscriptions: subscription_id, channel, intents, domains (arrays; empty: any), active,
-    authorised; events: event_id, channel, intent, domain. Channels are joined by equality; those
-    for all channels are another join, on a constant, and must be few enough to broadcast.
+    authorised; events: event_id, channel, intent, domain. What is not restricted has the key *; an
+    event looks up the eight combinations of its own keys and *, so that it meets only
+    subscriptions that fit.
     """
-    own = subscriptions.filter("active and authorised")
-    fits = (F.size("intents").isin(0) | F.array_contains("intents", F.col("intent"))) & (F.size("domains").isin(0) | F.array_contains("domains", F.col("domain")))
-    exact = events.join(own.filter("channel <> '*'"), "channel").filter(fits)
-    every = events.withColumn("all", F.lit("*")).join(own.filter("channel = '*'").withColumnRenamed("channel", "all"), "all").filter(fits)
-    return exact.select("event_id", "subscription_id").unionByName(every.select("event_id", "subscription_id")).distinct()
+    any_ = F.array(F.lit("*"))
+    listed = lambda c: F.explode(F.when(F.size(c) == 0, any_).otherwise(F.array_distinct(c)))
+    own = subscriptions.filter("active and authorised").select("subscription_id", "channel", listed("intents").alias("intent"), "domains").select("subscription_id", "channel", "intent", listed("domains").alias("domain"))
+    each = lambda c: F.explode(F.array_distinct(F.array(F.col(c), F.lit("*"))))
+    keys = events.select("event_id", each("channel").alias("channel"), "intent", "domain").select("event_id", "channel", each("intent").alias("intent"), "domain").select("event_id", "channel", "intent", each("domain").alias("domain"))
+    return keys.join(own, ["channel", "intent", "domain"]).select("event_id", "subscription_id").distinct()
 
 
 def authorised(requests: DataFrame, principals: DataFrame) -> DataFrame:

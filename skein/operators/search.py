@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text
-from skein.functions.lineage import checkpointed
+from skein.functions.lineage import broadcast_if_small, checkpointed
 from skein.sources.tables import GRAPH_SQL, symbols, table
 
 K1, B = 1.5, 0.75
 RRF_K = 60
-#: A query has at most so many distinct words, so that they can be broadcast.
-QUERY_WORDS = 10_000
+#: Queries are broadcast if they have at most so many different words; else their words meet the documents' in a shuffle.
+QUERY_WORDS = 100_000
+# Weights of a symbol's fields in full-text search, words of a query that count, and the length from which a word may differ by one letter.
+FIELD_WEIGHTS = {"name": 1.0, "qualified_name": 1.0, "signature": 0.4, "file_path": 0.4, "documentation": 0.2}
+QUERY_TOKENS = 24
+FUZZY_LENGTH = 5
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -22,27 +26,69 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
-def bm25(docs: DataFrame, query: str, top_k: int = 20, id_col: str = "doc_id", text_col: str = "text", digits: int = 6) -> DataFrame:
-    """id_col, score of the best documents by Okapi BM25: score descending, then id.
+def bm25_lists(docs: DataFrame, queries: dict[str, str], id_col: str = "doc_id", text_col: str = "text", digits: int = 6) -> DataFrame:
+    """list, id_col, score of the documents that have words of the queries (by the list's name), by Okapi BM25.
 
     A word that the query repeats counts each time. Lengths and document counts are of all
-    documents; a document's words are filtered by the query's before anything is shuffled.
+    documents. Documents are read and cut into words once, for all queries: of each document a row
+    with its length goes on, and one for each word that a query has, summed before the shuffle.
     """
     spark = docs.sparkSession
-    wanted = spark.createDataFrame([(query,)], "q string").select(F.explode(text.words(F.col("q"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("times")).limit(QUERY_WORDS)
+    asked = spark.createDataFrame(list(queries.items()), "list string, q string").select("list", F.explode(text.words(F.col("q"))).alias("term")).groupBy("list", "term").agg(F.count(F.lit(1)).alias("times"))
+    asked = checkpointed(asked)
+    wanted = broadcast_if_small(asked.select("term", F.lit(True).alias("wanted")).distinct(), QUERY_WORDS)
     words = docs.select(id_col, text.words(F.col(text_col)).alias("w"))
-    n, mean = words.agg(F.count(F.lit(1)), F.avg(F.size("w"))).first()
+    terms = words.select(id_col, F.size("w").alias("length"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "w")).alias("term"))
+    hits = terms.join(wanted, "term", "left").filter("term is null or wanted")
+    tf = checkpointed(hits.groupBy(id_col, "term", "length").agg(F.count(F.lit(1)).alias("tf")))
+    n, mean = tf.filter("term is null").agg(F.sum("tf"), F.sum(F.col("length") * F.col("tf")) / F.sum("tf")).first()
     if not n or not mean:
-        return docs.limit(0).select(id_col, F.lit(0.0).alias("score"))
-    hits = words.select(id_col, F.size("w").alias("length"), F.explode("w").alias("term")).join(F.broadcast(wanted), "term")
-    tf = checkpointed(hits.groupBy(id_col, "term", "length", "times").agg(F.count(F.lit(1)).alias("tf")))
+        return docs.limit(0).select(F.lit("").alias("list"), id_col, F.lit(0.0).alias("score"))
+    tf = tf.filter("term is not null")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-    scored = tf.join(F.broadcast(df), "term").groupBy(id_col).agg(F.round(F.sum(part), digits).alias("score")).filter("score > 0")
+    weighted = broadcast_if_small(asked.join(df, "term").select("list", "term", "times", idf.alias("idf")), QUERY_WORDS)
+    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
+    return tf.join(weighted, "term").groupBy("list", id_col).agg(F.round(F.sum(part), digits).alias("score")).filter("score > 0")
+
+
+def bm25(docs: DataFrame, query: str, top_k: int = 20, id_col: str = "doc_id", text_col: str = "text", digits: int = 6) -> DataFrame:
+    """id_col, score of the best documents for one query (see bm25_lists): score descending, then id."""
+    scored = bm25_lists(docs, {"q": query}, id_col, text_col, digits).select(id_col, "score")
     return scored.orderBy(F.desc("score"), id_col).limit(max(1, min(top_k, 200)))
 
 
+def fulltext(symbol_rows: DataFrame, query: str, top_k: int = 20, weights: dict[str, float] = FIELD_WEIGHTS, digits: int = 6) -> DataFrame:
+    """symbol_id, score of the symbols whose fields have words of the query, best first, then by id.
+
+    The first QUERY_TOKENS words count, any of them is enough, and one of FUZZY_LENGTH letters or
+    more also meets words that differ by one letter: the query is compared with the distinct words
+    of the fields, not with every symbol. A word adds, field by field, its weight times its rarity
+    times tf / (tf + K1). There is no stemming.
+    """
+    spark = symbol_rows.sparkSession
+    token = "([a-z0-9_]+)"
+    asked = [w for w in dict.fromkeys(spark.createDataFrame([(query,)], "q string").select(F.regexp_extract_all(F.lower("q"), F.lit(token), F.lit(1)).alias("w")).first()["w"]) if len(w) > 1][:QUERY_TOKENS]
+    fields = [f for f in weights if f in symbol_rows.columns]
+    if not asked or not fields:
+        return symbol_rows.limit(0).select("symbol_id", F.lit(0.0).alias("score"))
+    n = symbol_rows.count()
+    of = F.explode(F.array(*[F.struct(F.lit(float(weights[f])).alias("weight"), F.regexp_extract_all(F.lower(F.coalesce(f, F.lit(""))), F.lit(token), F.lit(1)).alias("w")) for f in fields]))
+    tf = symbol_rows.select("symbol_id", of.alias("f")).select("symbol_id", "f.weight", F.explode("f.w").alias("term")).groupBy("symbol_id", "weight", "term").agg(F.count(F.lit(1)).alias("tf"))
+    near = [F.when((F.col("term") == w) | ((F.levenshtein("term", F.lit(w), 1) >= 0) if len(w) >= FUZZY_LENGTH else F.lit(False)), F.lit(w)) for w in asked]
+    dictionary = tf.select("term").distinct().withColumn("query", F.explode(F.array_compact(F.array(*near))))
+    met = checkpointed(tf.join(broadcast_if_small(dictionary, QUERY_WORDS), "term"))
+    idf = met.groupBy("query").agg(F.countDistinct("symbol_id").alias("df")).select("query", F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    scored = met.join(F.broadcast(idf), "query").groupBy("symbol_id").agg(F.round(F.sum(F.col("weight") * F.col("idf") * F.col("tf") / (F.col("tf") + K1)), digits).alias("score"))  # at most QUERY_TOKENS rows
+    return scored.orderBy(F.desc("score"), "symbol_id").limit(max(1, min(top_k, 100)))
+
+
+def skills(rows: DataFrame, query: str = "") -> DataFrame:
+    """rows (name, description, when_to_use array) that have the query's text in them, by name."""
+    hay = F.lower(F.concat_ws(" ", "name", "description", F.array_join("when_to_use", " ")))
+    return rows.filter(F.contains(hay, F.lit(query.strip().lower()))).orderBy("name")
+
+
 def name_search(symbol_rows: DataFrame, query: str, limit: int = 50) -> DataFrame:
     """Symbols whose name, qualified name or path has the query's first word in it, by id."""
     word = (query.split() or [""])[0].lower()[:80]
@@ -146,9 +192,11 @@ def r10_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r13_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two lexical channels and a vector one, fused."""
-    docs = table(spark, sf_dir, "documents")
     v, q = _vectors(spark, sf_dir)
-    lists = ranked(bm25(docs, _item(spark, sf_dir), 40), "a", "doc_id", 40).unionByName(ranked(bm25(docs, _item(spark, sf_dir, 5), 40), "b", "doc_id", 40)).unionByName(ranked(nearest(v, q, 40), "c", "vec_id", 40))
+    scored = bm25_lists(table(spark, sf_dir, "documents"), {"a": _item(spark, sf_dir), "b": _item(spark, sf_dir, 5)})
+    of_list = Window.partitionBy("list").orderBy(F.desc("score"), "doc_id")
+    lexical = scored.withColumn("rank", F.row_number().over(of_list)).filter("rank <= 40").select("list", F.col("doc_id").alias("item"), "rank")
+    lists = lexical.unionByName(ranked(nearest(v, q, 40), "c", "vec_id", 40))
     return fused(lists).orderBy(F.desc("score"), "item").limit(20)
 
 
@@ -181,6 +229,9 @@ QUERIES = {
     "r02_bm25": lambda spark, d: bm25(table(spark, d, "documents"), _item(spark, d)),
     "r02_postings": lambda spark, d: postings(table(spark, d, "documents"), "doc_id", "text"),
     "r03_searchable": lambda spark, d: symbols(spark, d).select("symbol_id", text.searchable(F.col("name"), F.col("qualified_name"), F.lit(""), F.col("file_path"), F.lit(None).cast("string"), F.col("kind")).alias("text")),
+    "r04_fulltext": lambda spark, d: fulltext(symbols(spark, d), "customer#000000012 BUILDING supplie france copper", 50),
+    "r18_tool_scores": lambda spark, d: tool_scores(table(spark, d, "part").select(F.concat("p_brand", F.lit("-"), F.col("p_partkey").cast("string")).alias("tool"), F.concat_ws(" ", "p_type", "p_name").alias("description"), (F.col("p_size") > 40).alias("destructive")), "find copper Brand"),
+    "r19_skills": lambda spark, d: skills(table(spark, d, "part").select(F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("name"), F.col("p_type").alias("description"), F.array("p_brand").alias("when_to_use")), " copper brand#1").select("name"),
     "r05_name_search": lambda spark, d: name_search(symbols(spark, d), "Customer#000000012 x"),
     "r06_hashed_embedding": lambda spark, d: hashed_embedding(symbols(spark, d), "symbol_id", "qualified_name"),
     "r06_id_numbers": lambda spark, d: symbols(spark, d).select("symbol_id", text.id_number(F.col("symbol_id")).cast("string").alias("number"), text.hash_bucket(F.col("name"), 1024).alias("bucket")),
@@ -219,6 +270,13 @@ ORACLE_SQL = {
     "r02_bm25": f"with {_W}, {_bm25_sql('x', 3, 20)} select * from x",
     "r02_postings": f"with {_W} select doc_id, term, count(*) as tf, any_value(length)::int as length from (select doc_id, len(w) as length, unnest(w) as term from words) group by 1, 2",
     "r03_searchable": f"with {GRAPH_SQL} select symbol_id, name || ' ' || qualified_name || ' ' || replace(replace(file_path, '/', ' '), '.', ' ') || ' ' || kind as text from fx_symbols",
+    "r04_fulltext": f"""with {GRAPH_SQL}, q as (select unnest(['customer', '000000012', 'building', 'supplie', 'france', 'copper']) as q),
+w as (select symbol_id, weight, unnest(regexp_extract_all(lower(t), '[a-z0-9_]+')) as term from (select symbol_id, 1.0::double as weight, name || ' ' || qualified_name as t from fx_symbols union all select symbol_id, 0.4::double, file_path from fx_symbols)),
+tf as (select symbol_id, weight, term, count(*) as tf from w group by all), d as (select term, q from (select distinct term from tf), q where term = q or (length(q) >= 5 and levenshtein(term, q) <= 1)),
+m as (select * from tf join d using (term)), i as (select q, ln(1 + ((select count(*) from fx_symbols) - count(distinct symbol_id) + 0.5) / (count(distinct symbol_id) + 0.5)) as idf from m group by 1)
+select symbol_id, round(sum(weight * idf * tf / (tf + 1.5)), 6) as score from m join i using (q) group by 1 order by 2 desc, 1 limit 50""",
+    "r18_tool_scores": "with t as (select p_brand || '-' || p_partkey as tool, p_type || ' ' || p_name as d, p_size > 40 as x from part), s as (select tool, ((contains(lower(tool), 'find')::int + contains(lower(tool), 'copper')::int + contains(lower(tool), 'brand')::int) * 2 + contains(lower(d), 'find')::int + contains(lower(d), 'copper')::int + contains(lower(d), 'brand')::int - case when x then 3 else 0 end)::double as score from t) select * from s where score > 0",
+    "r19_skills": "select p_name || ' ' || p_partkey as name from part where contains(lower(p_name || ' ' || p_partkey || ' ' || p_type || ' ' || p_brand), 'copper brand#1') order by 1",
     "r05_name_search": f"with {GRAPH_SQL} select symbol_id, name from fx_symbols where contains(lower(name || qualified_name || file_path), 'customer#000000012') order by 1 limit 50",
     "r06_hashed_embedding": f"with {GRAPH_SQL}, w as (select symbol_id, unnest(regexp_extract_all(lower(qualified_name), '[a-z0-9][a-z0-9_-]*')) as w from fx_symbols), c as (select symbol_id, (('0x' || sha256(w)[1:16])::ubigint % 16)::int as dim, count(*) as n from w group by all) select symbol_id, dim, round(n / sqrt(sum(n * n) over (partition by symbol_id)), 6) as value from c",
     "r06_id_numbers": f"with {GRAPH_SQL} select symbol_id, (('0x' || sha256(symbol_id)[1:16])::ubigint)::varchar as number, (('0x' || sha256(name)[1:16])::ubigint % 1024)::int as bucket from fx_symbols",

@@ -114,7 +114,7 @@ def integrity(entries: DataFrame, required: tuple[str, ...], statuses: tuple[str
 
 def assigned(tasks: DataFrame, workers: int) -> DataFrame:
     """tasks with batch: every worker gets a like share, by a hash of the id, the same each time."""
-    return tasks.withColumn("batch", F.pmod(F.crc32(F.col("id").cast("string")), F.lit(workers)).cast("int"))
+    return tasks.withColumn("batch", text.hash_bucket(F.col("id").cast("string"), workers))
 
 
 def explained(evaluations: DataFrame, rules: DataFrame) -> DataFrame:
@@ -210,6 +210,7 @@ ORACLE_SQL = {
     "t10_stored": f"with {_O} select id from o where made_at + to_seconds(least(greatest(id * 100 % 100000, 60), 86400)) > timestamp '1996-06-01'",
     "a18_latencies": "select event_type as model, count(*) as calls, round(avg(value), 3) as mean_latency, arg_max(user_id, (ts, event_id)) as size from events group by 1",
     "x09_connectors": "select s_suppkey as connector, s_suppkey % 2 = 0 and s_acctbal > 0 as ready, (select count(*) from lineitem where l_suppkey = s_suppkey and l_returnflag = 'A') as delivered, (select count(*) from lineitem where l_suppkey = s_suppkey and l_returnflag = 'R') as dead from supplier",
+    "t19_assigned": f"with {_O} select (('0x' || sha256(id::varchar)[1:16])::ubigint % 7)::int as batch, count(*) as tasks, min(id) as first from o group by 1",
     "x23_integrity": f"with {_O}, e as (select distinct id % 5000 as id, case when id % 9 > 0 then p end as title, s from o) select id, 'duplicate_id' as problem from e group by 1 having count(*) > 1 union select id, 'missing:title' from e where title is null union select id, 'unknown_status' from e where s not in ('O', 'F')",
     "x19_explained": f"with {_O} select id, case p when '1-URGENT' then 'Urgent' when '2-HIGH' then 'High' else p end as title, case p when '1-URGENT' then 'manual' when '2-HIGH' then 'hybrid' end as mode from o",
     "r17_bundle": f"with {_O} select 'duplicate' as problem, id from o where id % 10 > 0 and id % 13 = 0 union all select 'excluded_without_reason', id from o where id % 10 > 0 and id % 4 > 0 and id % 7 = 0 union all select 'excluded_without_reason', id from o where id % 10 > 0 and id % 4 > 0 and id % 7 = 0 and id % 13 = 0 union all select 'omitted', id from o where id % 10 = 0 union all select 'budget_overflow', null from o where id % 4 = 0 and id % 10 > 0 having count(*) > 20",

@@ -1,7 +1,8 @@
 """Traversals: bounded breadth-first search and fixpoints.
 
-Each hop is one join of the edges with the frontier, minus what is known; what a hop finds is
-written to the checkpoint folder, and only counts reach the driver.
+The edges that a search may take are written once, before its first hop. Each hop is one join of them
+with the frontier, minus what is known; what a hop finds is written to the checkpoint folder, and
+only counts reach the driver.
 """
 
 from __future__ import annotations
@@ -70,10 +71,10 @@ def callers(edge_rows: DataFrame, symbol_rows: DataFrame, seed: str, max_depth:
     call_count counts the caller's own incoming edges of rel_types whatever their confidence. The
     seed is among its callers where a cycle leads back to it.
     """
-    of_type = edge_rows.filter(F.upper("rel_type").isin(*rel_types))
+    of_type = checkpointed(edge_rows.filter(F.upper("rel_type").isin(*rel_types)))
     allowed = of_type.filter(confidence.meets(F.col("confidence"), floor))
     found = search(directed(allowed, "upstream"), _seed(edge_rows.sparkSession, seed), max(1, min(max_depth, 8)), best_edge(), seed_again=True)
-    counts = of_type.groupBy(F.col("target_id").alias("node")).agg(F.count(F.lit(1)).alias("call_count"))
+    counts = of_type.withColumnRenamed("target_id", "node").join(found.select("node"), "node", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("call_count"))
     names = symbol_rows.select(F.col("symbol_id").alias("node"), "qualified_name", "kind", "file_path")
     rows = found.join(counts, "node", "left").join(names, "node", "left").select(
         F.col("node").alias("symbol_id"), "hop", F.col("best.confidence").alias("confidence"), F.coalesce("call_count", F.lit(0)).cast("long").alias("call_count"), F.upper("best.rel_type").alias("via_rel"),
@@ -84,7 +85,7 @@ def callers(edge_rows: DataFrame, symbol_rows: DataFrame, seed: str, max_depth:
 
 def impact(edge_rows: DataFrame, seed: str, direction: str = "upstream", max_depth: int = 3, floor: str | None = "probable", rel_types: tuple[str, ...] = IMPACT_TYPES) -> DataFrame:
     """symbol_id, hop, direction (both if a node is reached both ways at its hop), confidence, via_rel of what a change of seed touches; never seed."""
-    allowed = edge_rows.filter(F.upper("rel_type").isin(*rel_types) & confidence.meets(F.col("confidence"), floor))
+    allowed = checkpointed(edge_rows.filter(F.upper("rel_type").isin(*rel_types) & confidence.meets(F.col("confidence"), floor)))
     ways = {"best": best_edge()["best"], "ways": F.array_sort(F.collect_set("step"))}
     found = search(directed(allowed, direction), _seed(edge_rows.sparkSession, seed), max_depth, ways)
     way = F.when(F.size("ways") > 1, F.lit("both")).otherwise(F.get("ways", 0))
@@ -111,7 +112,7 @@ def neighbourhood(edge_rows: DataFrame, seeds: list[str], max_depth: int = 1) ->
 
 def hops(edge_rows: DataFrame, seed: str, max_hops: int) -> DataFrame:
     """node, hop of all within max_hops (at least one) of seed along or against edges."""
-    return search(directed(edge_rows, "both"), _seed(edge_rows.sparkSession, seed), max(1, max_hops), {})
+    return search(directed(checkpointed(edge_rows.select("source_id", "target_id")), "both"), _seed(edge_rows.sparkSession, seed), max(1, max_hops), {})
 
 
 def shortest_path(edge_rows: DataFrame, start: str, end: str, max_depth: int = 12) -> DataFrame:
@@ -119,7 +120,7 @@ def shortest_path(edge_rows: DataFrame, start: str, end: str, max_depth: int = 1
     spark = edge_rows.sparkSession
     if start == end:
         return spark.createDataFrame([(0, start)], "pos int, node string")
-    steps = directed(edge_rows, "both")
+    steps = directed(checkpointed(edge_rows.select("source_id", "target_id")), "both")
     paths = spark.createDataFrame([(start, [start])], "node string, path array<string>")
     known = paths.select("node")
     for _ in range(max_depth):
@@ -136,7 +137,7 @@ def shortest_path(edge_rows: DataFrame, start: str, end: str, max_depth: int = 1
 
 def flow(edge_rows: DataFrame, entry: str, max_depth: int = 8) -> DataFrame:
     """node, hop of what calls lead to from entry, itself at hop 0."""
-    calls = edge_rows.filter(F.col("rel_type") == "CALLS")
+    calls = checkpointed(edge_rows.filter(F.col("rel_type") == "CALLS").select("source_id", "target_id"))
     own = _seed(edge_rows.sparkSession, entry)
     return own.withColumn("hop", F.lit(0)).unionByName(search(directed(calls, "downstream"), own, max_depth, {}))
 
@@ -236,7 +237,7 @@ def g13_dead_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g15_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of exact calls between suppliers and parts."""
+    """Components of exact calls over HTTP between parts and customers."""
     return components(edges(spark, sf_dir).filter("rel_type = 'HTTP_CALLS' and confidence = 'exact'"))
 
 

@@ -48,6 +48,23 @@ def community_of(edge_rows: DataFrame, seed: str, limit: int = 50) -> DataFrame:
     return found.join(own, "community", "left_semi").select("node").orderBy("node").limit(limit)
 
 
+# How many of each kind a question is asked about, and how many questions there are.
+ASKED_EACH, ASKED = 2, 5
+
+
+def suggested_questions(hubs: DataFrame, bridges: DataFrame, surprises: DataFrame, limit: int = ASKED) -> DataFrame:
+    """place (from 1), about, question of the first two hubs, then bridges (item, value), then surprises (source, target, rel_type, value); the first limit."""
+    first = lambda df, kind, by, item, words: df.orderBy(*by).limit(ASKED_EACH).select(F.lit(kind).alias("kind"), F.row_number().over(Window.orderBy(*by)).alias("at"), item.alias("about"), words.alias("question"))
+    told = lambda before, after: F.concat(F.lit(before), "item", F.lit(after))
+    order = [F.desc("value"), "item"]
+    rows = first(hubs, 0, order, F.col("item"), told("Who relies on ", ", and what makes it a hub?"))
+    rows = rows.unionByName(first(bridges, 1, order, F.col("item"), told("What is cut off if ", " changes?")))
+    pair = F.concat_ws(" to ", "source", "target")
+    rows = rows.unionByName(first(surprises, 2, [F.desc("value"), "source", "target", "rel_type"], pair, F.concat(F.lit("Why is there "), "rel_type", F.lit(" from "), pair, F.lit("?"))))
+    placed = rows.withColumn("place", F.row_number().over(Window.orderBy("kind", "at")))  # six rows at most
+    return placed.filter(F.col("place") <= limit).select("place", "about", "question")
+
+
 def overview(symbol_rows: DataFrame, edge_rows: DataFrame, community: DataFrame, top: int = 10) -> DataFrame:
     """section, item, value, question: hubs, isolated symbols, untested hotspots and surprising edges, with questions about the first two of each but the isolated."""
     part = lambda df, section, item, value: df.select(F.lit(section).alias("section"), item.alias("item"), value.cast("long").alias("value"))
@@ -168,6 +185,14 @@ def _layers(s: DataFrame) -> DataFrame:
     return s.select("symbol_id", F.explode(F.array_compact(F.array(*each))).alias("layer"))
 
 
+def n07_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About hubs, untested hotspots in the place of bridges, and surprising edges."""
+    e, s = edges(spark, sf_dir), symbols(spark, sf_dir)
+    item = lambda df: df.select(F.col("qualified_name").alias("item"), F.col("degree").alias("value"))
+    odd = graph.surprising(s, e, _community(s), 10).select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), "rel_type", F.col("score").alias("value"))
+    return suggested_questions(item(graph.hubs(s, e)), item(graph.untested_hotspots(s, e)), odd)
+
+
 def n11_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, s = edges(spark, sf_dir), symbols(spark, sf_dir)
     changed = s.filter("symbol_id like '%5'").select("file_path")
@@ -200,6 +225,7 @@ QUERIES = {
     "g17_context": g17_context,
     "n04_community_of": lambda spark, d: community_of(edges(spark, d).filter("confidence = 'exact'"), SEED),
     "n08_overview": lambda spark, d: overview(symbols(spark, d), edges(spark, d), _community(symbols(spark, d))),
+    "n07_questions": n07_questions,
     "n11_changes": n11_changes,
     "r11_boosted": lambda spark, d: boosted(_hits(symbols(spark, d)), edges(spark, d)),
     "r12_fallback": lambda spark, d: first_channel(search.name_search(symbols(spark, d), "nowhere"), search.name_search(symbols(spark, d), "customer#00000002", 20)),
@@ -220,12 +246,25 @@ _LAYERS = f"lay as (select symbol_id, list_filter([case when {_N} % 5 = 0 then '
 _LAYERED = "select symbol_id, has[1] as best, array_to_string(list_filter(['human', 'living', 'rationale', 'ast'], lambda x: not list_contains(has, x)), ',') as gaps from lay"
 _STALE = """l as (select p_partkey % 700 as doc_id, count(*) as links, count(*) filter (p_partkey % 10 > 0) as found from part where p_partkey % 3 > 0 group by 1), a as (select doc_id, bool_or(toxic = 1) as stale from labels group by 1),
 st as (select doc_id, case when coalesce(links, 0) = 0 then 'orphan_doc' when found < links then 'ghost_link' when stale then 'stale_anchor' end as finding_kind from documents left join l using (doc_id) left join a using (doc_id))"""
+_OVERVIEW = f"""{GRAPH_SQL}, {_DEG}, hub as (select qualified_name as item, degree as value from fx_symbols join deg using (symbol_id) order by degree desc, qualified_name, symbol_id limit 10),
+iso as (select qualified_name as item from fx_symbols where symbol_id not in (select source_id from fx_edges where rel_type in ('CALLS', 'HTTP_CALLS') union select target_id from fx_edges where rel_type in ('CALLS', 'HTTP_CALLS')) order by 1, symbol_id limit 10),
+tst as (select target_id from fx_edges join fx_symbols on symbol_id = source_id where rel_type = 'CALLS' and {_TEST}),
+hot as (select qualified_name as item, degree as value from fx_symbols join deg using (symbol_id) where degree >= 4 and not {_TEST} and symbol_id not in (select target_id from tst) order by 2 desc, 1, symbol_id limit HOT),
+oc as (select *, kind || '-' || right(symbol_id, 1) as c, split_part(file_path, '/', 1) as top from fx_symbols),
+odd as (select source_id, target_id, rel_type, (case when a.c <> b.c then 3 else 0 end + case when a.top <> b.top then 2 else 0 end + case when rank < 3 then 3 - rank else 0 end)::int as value from fx_ranked join oc a on a.symbol_id = source_id join oc b on b.symbol_id = target_id where value > 0 order by value desc, source_id, target_id, rel_type limit 10)""".replace("HOT", "10")
 _B2 = f"""with recursive {GRAPH_SQL}, both_ways as (select source_id as f, target_id as t from fx_edges union all select target_id, source_id from fx_edges)"""
 ORACLE_SQL = {
     "g07_structure": f"with {GRAPH_SQL}, {_DEG}, o as (select *, case when source_id = '{SEED}' then target_id else source_id end as other from fx_edges where '{SEED}' in (source_id, target_id) and rel_type in ('HTTP_CALLS', 'CALLS')), t as (select other from (select distinct other from o) join deg on symbol_id = other order by degree desc, other limit 8) select source_id, target_id, rel_type, degree, other in (select other from t) as hint from o join deg on symbol_id = other",
     "g11_call_path": f"with recursive {GRAPH_SQL}, b as (select 'sym:fx:s3' as node, 0 as hop union select target_id, hop + 1 from b join fx_edges on source_id = node where rel_type = 'CALLS' and hop < 8) select node, min(hop)::int as hop from b group by 1 order by 2, 1 limit 40",
     "g14_language_groups": "select * from (values ('go', 'go', 2::bigint), ('python', 'go', 2::bigint), ('typescript', 'typescript', 1::bigint)) t(language, component, size)",
     "g17_context": f"{_B2}, {_LAYERS}, b as (select '{SEED}' as node, 0 as hop union select t, hop + 1 from b join both_ways on f = node where hop < 2) {_LAYERED} where symbol_id in (select node from b group by 1 having min(hop) > 0)",
+    "n07_questions": f"""with {_OVERVIEW}, q as (select 0 as kind, row_number() over (order by value desc, item) as pos, item as about, 'Who relies on ' || item || ', and what makes it a hub?' as question from hub
+union all select 1, row_number() over (order by value desc, item), item, 'What is cut off if ' || item || ' changes?' from hot
+union all select 2, row_number() over (order by value desc, source_id, target_id, rel_type), source_id || ' to ' || target_id, 'Why is there ' || rel_type || ' from ' || source_id || ' to ' || target_id || '?' from odd)
+select place, about, question from (select (row_number() over (order by kind, pos))::int as place, about, question from q where pos <= 2) where place <= 5""",
+    "n08_overview": f"""with {_OVERVIEW}, r as (select 'hub' as section, item, value::bigint as value from hub union all select 'isolated', item, 0 from iso union all select 'untested', item, value::bigint from hot union all select 'surprise', source_id || ' to ' || target_id, value::bigint from odd),
+p as (select *, row_number() over (partition by section order by value desc, item) as place from r)
+select section, item, value, case when place <= 2 then case section when 'hub' then 'Who relies on ' || item || '?' when 'untested' then 'Which test would cover ' || item || '?' when 'surprise' then 'What links ' || item || '?' end end as question from p""",
     "n11_changes": f"""with {GRAPH_SQL}, s as (select * from fx_symbols where file_path in (select file_path from fx_symbols where symbol_id like '%5')),
 fan as (select target_id, count(*) as k from fx_edges where rel_type in ('CALLS', 'HTTP_CALLS') group by 1), t as (select distinct target_id from fx_edges join fx_symbols on symbol_id = source_id where rel_type = 'CALLS' and {_TEST}),
 x as (select target_id, count(distinct source_id) as k from fx_edges join fx_symbols a on a.symbol_id = source_id join fx_symbols b on b.symbol_id = target_id where split_part(a.file_path, '/', 1) <> split_part(b.file_path, '/', 1) group by 1),

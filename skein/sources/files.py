@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,21 +16,30 @@ EXCLUDED = (".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "bui
 USAGE_SCHEMA = "ts timestamp, client_id string, scope string, tool string, tokens_in long, tokens_out long"
 
 
-def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = (), exclude: tuple[str, ...] = (), include_again: tuple[str, ...] = (), prefixes: tuple[str, ...] = (), most_bytes: int = 1 << 20, most_files: int | None = None, content: bool = False) -> DataFrame:
+def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = (), exclude: tuple[str, ...] = (), include_again: tuple[str, ...] = (), prefixes: tuple[str, ...] = (), most_bytes: int = 1 << 20, most_files: int | None = None, content: bool = False, any_language: bool = False, under: tuple[str, ...] = ()) -> DataFrame:
     """relative_path, length, language and, if asked for, content of the files under root, by path.
 
     Kept: files with one of the extensions that match no exclude glob, or match an include_again
     glob; under a prefix; outside hidden and excluded directories; in a known language; of 1 to
     most_bytes bytes. The limit is taken after sorting by path. Contents are read only if asked for.
+    any_language also keeps files in no known language; under names directories outside of which
+    nothing is listed.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if under:
+        try:
+            files = reader.load(f"{root.rstrip('/')}/{{{','.join(under)},__none__}}")
+        except AnalysisException:  # none of them is there
+            files = reader.load(root).limit(0)
+    else:
+        files = reader.load(root)
     base = F.regexp_replace(F.regexp_replace(F.lit(root.rstrip("/")), r"^file:/*", "/"), r"/+$", "")
     full = F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?/+", "/")
     rows = files.withColumn("relative_path", F.substring(full, F.length(base) + 2, F.lit(1 << 20)))
     p = F.col("relative_path")
     any_of = lambda globs: [text.matches_glob(p, g) for g in globs]
     fold = lambda conditions, empty: empty if not conditions else _any(conditions)
-    keep = (F.col("length") > 0) & (F.col("length") <= most_bytes) & ~F.exists(F.split(p, "/"), lambda s: s.isin(*EXCLUDED) | (s.startswith(".") & (F.length(s) > 1))) & (text.language(p) != "unknown")
+    keep = (F.col("length") > 0) & (F.col("length") <= most_bytes) & ~F.exists(F.split(p, "/"), lambda s: s.isin(*EXCLUDED) | (s.startswith(".") & (F.length(s) > 1))) & (F.lit(any_language) | (text.language(p) != "unknown"))
     if extensions:
         keep = keep & F.lower(F.regexp_extract(p, r"\.([^./]+)$", 1)).isin(*[e.lower().lstrip(".") for e in extensions])
     keep = keep & (~fold(any_of(exclude), F.lit(False)) | fold(any_of(include_again), F.lit(False)))
@@ -37,6 +49,29 @@ def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = (), exclu
     return out if most_files is None else out.limit(most_files)
 
 
+def literal_directories(globs: tuple[str, ...]) -> tuple[str, ...]:
+    """The directories that globs begin with; none if one of them begins anywhere."""
+    found = []
+    for g in globs:
+        parts = []
+        for part in g.replace("\\", "/").strip().split("/")[:-1]:
+            if re.search(r"[*?\[]", part):
+                break
+            if part not in ("", "."):
+                parts.append(part)
+        if not parts:
+            return ()
+        found.append("/".join(parts))
+    return tuple(dict.fromkeys(found))
+
+
+def scan_documents(spark: SparkSession, root: str, match: tuple[str, ...] = ("**/*.md", "**/*.mdx"), exclude: tuple[str, ...] = (), prefixes: tuple[str, ...] = (), most_bytes: int = 1 << 20, most_files: int | None = None, content: bool = False) -> DataFrame:
+    """relative_path, length and content (if asked for) of the Markdown files under root that a match glob names, by path; directories that globs begin with are listed alone."""
+    found = scan(spark, root, ("md", "mdx", "markdown"), exclude, (), tuple(f"{p.rstrip('/')}/" for p in prefixes), most_bytes, None, content, True, literal_directories(match))
+    kept = found.filter(_any([text.matches_glob(F.col("relative_path"), g) for g in match])).drop("language").orderBy("relative_path")
+    return kept if most_files is None else kept.limit(most_files)
+
+
 def _any(conditions: list[Column]) -> Column:
     out = conditions[0]
     for c in conditions[1:]:

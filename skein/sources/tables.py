@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions.lineage import stored
 from skein.functions.text import language
 
 SCOPE = ("tenant_id", "workspace_id", "project_id")
@@ -43,8 +44,16 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source_id, target_id, rel_type, confidence: suppliers call the parts they ship, parts call or import the customers that order them."""
-    items = table(spark, sf_dir, "lineitem").filter("l_shipdate >= timestamp '2000-01-01 00:00:00'")
+    """source_id, target_id, rel_type, confidence: suppliers call the parts they ship, parts call or import the customers that order them.
+
+    The graph stands on all line items. It is written once for an application, like a graph that
+    has been ingested, and every query reads what was written.
+    """
+    return stored(spark, "edges", [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "orders")], lambda: _edges(spark, sf_dir))
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem")
     id_of = lambda kind, c: F.concat(F.lit(f"sym:fx:{kind}"), F.col(c).cast("string"))
     ships = items.groupBy(id_of("s", "l_suppkey").alias("source_id"), id_of("p", "l_partkey").alias("target_id"), F.lit("CALLS").alias("rel_type")).agg(F.sum("l_quantity").alias("q"))
     by_order = items.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -61,10 +70,9 @@ fx_symbols as (
   select 'sym:fx:s' || s_suppkey as symbol_id, 'class' as kind, s_name as name, 'supplier.' || n_name || '.' || s_name as qualified_name, 'supplier/' || n_name || '.py' as file_path from supplier join nation on s_nationkey = n_nationkey
   union all select 'sym:fx:p' || p_partkey, 'function', p_name, 'part.' || p_brand || '.' || p_type || '.p' || p_partkey, case when p_size % 10 = 0 then 'tests/' else 'part/' end || p_brand || '/' || p_type || '.go' from part
   union all select 'sym:fx:c' || c_custkey, 'method', c_name, 'customer.' || c_mktsegment || '.' || c_name, 'customer/' || n_name || '/' || c_mktsegment || '.ts' from customer join nation on c_nationkey = n_nationkey)),
-fx_lines as (select * from lineitem where l_shipdate >= timestamp '2000-01-01 00:00:00'),
 fx_edges as (
   select source_id, target_id, rel_type, case when q >= 40 then 'exact' when q >= 25 then 'probable' when q >= 10 then 'ambiguous' else 'unresolved' end as confidence from (
-  select 'sym:fx:s' || l_suppkey as source_id, 'sym:fx:p' || l_partkey as target_id, 'CALLS' as rel_type, sum(l_quantity) as q from fx_lines group by all
-  union all select 'sym:fx:p' || l_partkey, 'sym:fx:c' || o_custkey, case when o_orderstatus = 'F' then 'HTTP_CALLS' else 'IMPORTS' end, sum(l_quantity) from fx_lines join orders on l_orderkey = o_orderkey group by all)),
+  select 'sym:fx:s' || l_suppkey as source_id, 'sym:fx:p' || l_partkey as target_id, 'CALLS' as rel_type, sum(l_quantity) as q from lineitem group by all
+  union all select 'sym:fx:p' || l_partkey, 'sym:fx:c' || o_custkey, case when o_orderstatus = 'F' then 'HTTP_CALLS' else 'IMPORTS' end, sum(l_quantity) from lineitem join orders on l_orderkey = o_orderkey group by all)),
 fx_ranked as (select *, case confidence when 'exact' then 4 when 'probable' then 3 when 'ambiguous' then 2 when 'external' then 1 else 0 end as rank from fx_edges)
 """

@@ -6,7 +6,6 @@ event_id, so that repeats change nothing.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from skein.functions.lineage import shared_folder
+
 # Event types that become memories, and the intents of others.
 MEMORY_TYPES = ("signup", "purchase")
 INTENTS = {"error": "investigate", "purchase": "fulfil", "signup": "welcome"}
@@ -89,18 +90,30 @@ def drained(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoin
     return query
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the session's shared checkpoint folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="skein-")
-    return f"{root}/relay-{uuid.uuid4().hex}"
+def audits(events: DataFrame) -> DataFrame:
+    """key, actor, action, occurred_at: a row for every event."""
+    return events.select(F.concat(F.lit("outbox-audit:"), F.col("event_id").cast("string")).alias("key"), F.col("user_id").cast("string").alias("actor"), F.col("event_type").alias("action"), F.col("ts").alias("occurred_at"))
 
 
 def relayed(spark: SparkSession, sf_dir: str, project: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What project makes of the outbox, through a stream: each batch is written under its number, so that a repeated batch overwrites itself."""
-    at = shared_folder(spark)
+    """What project makes of the outbox, through a stream; each event counts once, in whatever batches it comes.
+
+    A batch is written under its number, so that a repeated batch overwrites itself, and the ids of
+    its events beside it, by day; a later batch leaves out events whose ids earlier ones have on
+    the days that it touches. No event is dropped for being late.
+    """
+    at = f"{shared_folder(spark)}/relay-{uuid.uuid4().hex}"
 
     def sink(batch: DataFrame, number: int) -> None:
-        project(batch.dropDuplicates(["event_id"])).write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+        own = batch.dropDuplicates(["event_id"]).withColumn("day", F.concat_ws("", F.lit("d"), F.to_date("ts").cast("string"))).persist()  # read as days, rows and ids
+        fresh = own
+        if number:
+            days = [r["day"] for r in own.select("day").distinct().collect()]  # as many as a batch has days
+            before = spark.read.parquet(f"{at}/ids").filter((F.col("batch") < number) & F.col("day").isin(*days)).select("event_id")
+            fresh = own.join(before, "event_id", "left_anti")
+        project(fresh.select(*batch.columns)).write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+        fresh.select("event_id", "day").write.mode("overwrite").partitionBy("day").parquet(f"{at}/ids/batch={number}")
+        own.unpersist()
 
     drained(outbox(spark, sf_dir), sink, f"{at}/state")
     return spark.read.parquet(f"{at}/out").drop("batch")
@@ -113,6 +126,7 @@ def _commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "e01_outbox": lambda spark, d: relayed(spark, d, lambda b: b.select("event_id", "event_type", "user_id")),
     "e02_memories": lambda spark, d: relayed(spark, d, memories),
+    "e03_audit": lambda spark, d: relayed(spark, d, audits),
     "e04_messages": lambda spark, d: relayed(spark, d, messages),
     "e05_dead_letters": lambda spark, d: attempted(messages(spark.read.parquet(f"{d}/events.parquet")).withColumn("failures", F.when(F.col("department") == "ops", F.lit(None).cast("int")).otherwise(F.length("key") % 4))).select("key", "department", "attempts", "status"),
     "e07_ledger": lambda spark, d: ledger(_commands(spark, d)),
@@ -125,6 +139,7 @@ _M = f"m as (select 'outbox-broker:' || event_id as key, {_INTENT} as intent, un
 ORACLE_SQL = {
     "e01_outbox": "select event_id, event_type, user_id from events",
     "e02_memories": "select 'outbox-memory:' || event_id as key, event_type || ' ' || user_id as title, 0.7::double as confidence, ts as occurred_at from events where event_type in ('signup', 'purchase')",
+    "e03_audit": "select 'outbox-audit:' || event_id as key, user_id::varchar as actor, event_type as action, ts as occurred_at from events",
     "e04_messages": f"with {_M} select * from m",
     "e05_dead_letters": f"with {_M} select key, department, case when department = 'ops' then 3 else least(length(key) % 4 + 1, 3) end::int as attempts, case when department <> 'ops' and length(key) % 4 < 3 then 'delivered' else 'dead_letter' end as status from m",
     "e07_ledger": "with c as (select event_id, user_id || '-' || event_type as key, floor(value) as f, ts from events), x as (select *, first_value(event_id) over w as e, first_value(f) over w as g from c window w as (partition by key order by ts, event_id)) select event_id as command_id, case when event_id = e then 'applied' when f is not distinct from g then 'replayed' else 'conflict' end as outcome from x",

@@ -30,3 +30,13 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def sf_dir():
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture
+def edge(spark):
+    return lambda *rows: spark.createDataFrame([(*r, *("CALLS", "exact")[len(r) - 2 :])[:4] for r in rows], "source_id string, target_id string, rel_type string, confidence string")
+
+
+@pytest.fixture
+def symbol(spark):
+    return lambda *rows: spark.createDataFrame([(r[0], "function", r[0], r[0], r[1] if len(r) > 1 else "src/a.py", "python") for r in rows], "symbol_id string, kind string, name string, qualified_name string, file_path string, language string")

@@ -6,16 +6,6 @@ from pyspark.sql import functions as F
 from skein.operators import graph, resolve, traverse
 
 
-@pytest.fixture
-def edge(spark):
-    return lambda *rows: spark.createDataFrame([(*r, *("CALLS", "exact")[len(r) - 2 :])[:4] for r in rows], "source_id string, target_id string, rel_type string, confidence string")
-
-
-@pytest.fixture
-def symbol(spark):
-    return lambda *rows: spark.createDataFrame([(r[0], "function", r[0], r[0], r[1] if len(r) > 1 else "src/a.py", "python") for r in rows], "symbol_id string, kind string, name string, qualified_name string, file_path string, language string")
-
-
 def test_a_cycle_leads_back_to_the_seed_among_callers_only(edge, symbol):
     e, s = edge(("a", "b"), ("b", "c"), ("c", "a")), symbol(("a",), ("b",), ("c",))
     assert [(r["symbol_id"], r["hop"]) for r in traverse.callers(e, s, "a", max_depth=5).collect()] == [("c", 1), ("b", 2), ("a", 3)]
@@ -68,7 +58,7 @@ def test_two_triangles_are_two_communities(edge):
     assert min(b["a1"], b["b1"]) > max(b["a2"], b["b2"])
 
 
-def plain_betweenness(pairs):
+def plain_betweenness(pairs, sources=None):
     from collections import deque
 
     near = {}
@@ -76,12 +66,13 @@ def plain_betweenness(pairs):
         near.setdefault(a, set()).add(b)
         near.setdefault(b, set()).add(a)
     total = dict.fromkeys(near, 0.0)
-    for s in near:
+    sources = list(near) if sources is None else sources
+    for s in sources:
         paths, dist, order, queue = {s: 1.0}, {s: 0}, [], deque([s])
         while queue:
             v = queue.popleft()
             order.append(v)
-            for w in near[v]:
+            for w in near.get(v, ()):
                 if w not in dist:
                     dist[w], paths[w] = dist[v] + 1, 0.0
                     queue.append(w)
@@ -89,12 +80,12 @@ def plain_betweenness(pairs):
                     paths[w] += paths[v]
         dep = dict.fromkeys(near, 0.0)
         for w in reversed(order):
-            for v in near[w]:
+            for v in near.get(w, ()):
                 if dist.get(v) == dist[w] - 1:
                     dep[v] += paths[v] / paths[w] * (1 + dep[w])
             if w != s:
                 total[w] += dep[w]
-    return {k: v / len(near) for k, v in total.items()}
+    return {k: v / len(sources) for k, v in total.items()}
 
 
 def test_betweenness_against_plain_search(edge):
