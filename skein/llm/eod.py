@@ -9,19 +9,25 @@ each: how many ends a block has, and how many ids follow its last one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from skein.llm.common import checkpointed, documents, map_rows, slices
 from skein.llm.tokens import encoder
 
 END_ID = 50_256
 BLOCK_BYTES = 1 << 20
+#: Bytes of a file that one task reads.
+TASK_BYTES = 1 << 27
 
 
 def scan(blocks: DataFrame, end_id: int = END_ID, id_bytes: int = 2) -> DataFrame:
@@ -62,19 +68,54 @@ def counted(scanned: DataFrame) -> DataFrame:
     return docs.select("file", (F.col("doc0") + F.col("k")).alias("doc"), F.col("d.start").alias("start"), (F.col("d.stop") - F.col("d.start")).alias("n_tokens"))
 
 
-def flat_blocks(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """file, block, data of the flat token files at path (a folder or a glob), by Spark's own reader.
+@dataclass
+class _Range(InputPartition):
+    file: str
+    start: int
+    stop: int
 
-    A file must be smaller than 2 GB, as that reader hands it over whole; larger sets are kept in several files.
+
+class FlatTokens(DataSource):
+    """Flat token files as blocks: file, block, data. Each task reads a range of bytes of one file, so that a file may have any size.
+
+    Options: block_bytes, task_bytes (a multiple of it). Paths are those that pyarrow's file systems open.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1):
-            data = memoryview(b["content"][0].as_buffer())
-            for k, at in enumerate(range(0, len(data), block_bytes)):
-                yield pa.RecordBatch.from_arrays([b["path"], pa.array([k], pa.int64()), pa.array([data[at : at + block_bytes].tobytes()], pa.binary())], names=["file", "block", "data"])
+    @classmethod
+    def name(cls) -> str:
+        return "flat_tokens"
+
+    def schema(self) -> str:
+        return "file string, block long, data binary"
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return _FlatReader(self.options)
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, data binary")
+class _FlatReader(DataSourceReader):
+    def __init__(self, options: dict) -> None:
+        self.path, self.block = options["path"], int(options["block_bytes"])
+        self.task = max(1, int(options["task_bytes"]) // self.block) * self.block
+
+    def partitions(self) -> list[InputPartition]:
+        system, root = fs.FileSystem.from_uri(self.path)
+        info = system.get_file_info(root)
+        found = [info] if info.is_file else system.get_file_info(fs.FileSelector(root, recursive=True))
+        files = sorted((f.path, f.size) for f in found if f.is_file and not f.base_name.startswith(("_", ".")))
+        return [_Range(p, at, min(at + self.task, n)) for p, n in files for at in range(0, n, self.task)]
+
+    def read(self, part: _Range) -> Iterator[tuple]:
+        system, _ = fs.FileSystem.from_uri(self.path)
+        with system.open_input_file(part.file) as f:
+            for at in range(part.start, part.stop, self.block):
+                f.seek(at)
+                yield part.file, at // self.block, f.read(min(self.block, part.stop - at))
+
+
+def flat_blocks(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """file, block, data of the flat token files at path (a file, or a folder and what is below it), range by range. block_bytes must be a multiple of an id's bytes."""
+    spark.dataSource.register(FlatTokens)
+    return spark.read.format("flat_tokens").option("block_bytes", block_bytes).option("task_bytes", task_bytes).load(path)
 
 
 def written(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -108,10 +149,13 @@ def written(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's place and number of ids in flat files of all documents, as the scan of these finds them."""
+    """Every document's number of ids (its end included) in flat streams of all documents, as the scan of these finds them.
+
+    Which stream a document is in, and where, depends on how Spark splits the table, and is not in the result.
+    """
     blocks = written(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     scanned = checkpointed(scan(blocks))  # a few numbers for each document
     order = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     named = scanned.select("file", "block", "ids").withColumn("doc0", F.coalesce(F.sum(F.size("ids")).over(order), F.lit(0)))
     named = named.select("file", "doc0", F.posexplode("ids").alias("k", "doc_id")).select("file", (F.col("doc0") + F.col("k")).alias("doc"), "doc_id")
-    return counted(scanned).join(named, ["file", "doc"]).select("doc_id", "file", "start", "n_tokens")
+    return counted(scanned).join(named, ["file", "doc"]).select("doc_id", "n_tokens")

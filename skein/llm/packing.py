@@ -73,6 +73,11 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     return numbered.select(F.col("id").alias(id_col), "start", "length", "ids", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"), "bucket")
 
 
+def write(packed: DataFrame, path: str) -> None:
+    """Writes pieces so that those of one length lie together: a folder for each bucket."""
+    packed.write.partitionBy("bucket").parquet(path)
+
+
 def digests(packed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Pieces with their ids as a checksum."""
     return packed.select(id_col, "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -108,11 +108,13 @@ def test_op2_against_the_tokenizer(spark, sf_dir):
         assert at == len(ids)
 
 
-def test_packing_odd_rows(odd, none):
+def test_packing_odd_rows(odd, none, tmp_path):
     got = packing.pack(odd, JSON).collect()
     assert sum(r["start"] == 0 for r in got) == odd.count()
     assert sum(r["doc_tokens"] == 1 for r in got) == odd.filter("text is null or text = ''").count()
     assert packing.pack(none, JSON).count() == 0
+    packing.write(packing.pack(odd, JSON), str(tmp_path / "packed"))
+    assert {p.name for p in (tmp_path / "packed").iterdir() if p.is_dir()} == {f"bucket={r['bucket']}" for r in got}
     buckets = sorted((r["sequence_id"], r["bucket"]) for r in got)
     assert [b for _, b in buckets] == sorted(b for _, b in buckets)
 
@@ -135,11 +137,18 @@ def test_separator_scan_against_a_plain_split(spark, block):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
-def test_flat_files_on_disk(spark, tmp_path):
+@pytest.mark.parametrize("block,task", [(64, 1 << 20), (64, 64), (6, 20), (2, 500)])
+def test_flat_files_on_disk_in_ranges(spark, tmp_path, block, task):
     ids = np.array([5, 6, eod.END_ID, 7, eod.END_ID] * 100, dtype="<u2")
     (tmp_path / "a.bin").write_bytes(ids.tobytes())
-    got = eod.counted(eod.scan(eod.flat_blocks(spark, str(tmp_path), 64))).select("doc", "start", "n_tokens").collect()
+    (tmp_path / "_meta").write_bytes(b"x")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "empty.bin").write_bytes(b"")
+    blocks = eod.flat_blocks(spark, str(tmp_path), block, task)
+    assert blocks.rdd.getNumPartitions() == -(-2 * len(ids) // (max(1, task // block) * block))
+    got = eod.counted(eod.scan(blocks)).select("doc", "start", "n_tokens").collect()
     assert sorted(map(tuple, got)) == sorted((2 * k + j, 5 * k + 3 * j, (3, 2)[j]) for k in range(100) for j in (0, 1))
+    assert eod.counted(eod.scan(eod.flat_blocks(spark, str(tmp_path / "a.bin"), block, task))).count() == 200
 
 
 def test_token_counts_of_documents(spark, odd, none, sf_dir):
