@@ -231,8 +231,10 @@ def g12_liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g13_dead_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of classes and functions: what only suppliers use, which nothing uses."""
     s, e = symbols(spark, sf_dir), edges(spark, sf_dir)
-    dead = checkpointed(_pool(s).select("symbol_id").join(live(s, e, _pool(s)), "symbol_id", "left_anti"))
+    pool = s.filter("kind in ('class', 'function')")
+    dead = checkpointed(pool.select("symbol_id").join(live(s, e, pool), "symbol_id", "left_anti"))
     return dead_subgraph(e, dead)
 
 
@@ -297,7 +299,7 @@ select (unnest(range(len(path))))::int as pos, unnest(path) as node from best"""
 select node, min(hop)::int as hop from b group by node""",
     "g10_entry_points": f"""with {GRAPH_SQL} select symbol_id, (select count(*) from fx_edges where target_id = symbol_id and rel_type = 'CALLS') as inbound from fx_symbols where ends_with(symbol_id, '7')""",
     "g12_liveness": f"{_G} {_LIVE} select symbol_id from live",
-    "g13_dead_subgraph": f"""{_G} {_LIVE}, dead as (select symbol_id from pool except select symbol_id from live)
+    "g13_dead_subgraph": f"""{_G} {_LIVE.replace("'function', 'method'", "'class', 'function'")}, dead as (select symbol_id from pool except select symbol_id from live)
 select target_id as symbol_id from strong where target_id in (select symbol_id from dead) group by 1 having bool_and(source_id in (select symbol_id from dead))""",
     "g15_components": f"""{_G} e as (select source_id, target_id from fx_edges where rel_type = 'HTTP_CALLS' and confidence = 'exact'),
 w as (select source_id as f, target_id as t from e union select target_id, source_id from e),
