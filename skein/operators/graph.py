@@ -247,9 +247,9 @@ def communities(edge_rows: DataFrame, rounds: int = 8) -> DataFrame:
     both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "weight").unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other"), "weight"))
     label = checkpointed(both.select("node").distinct().withColumn("label", F.col("node")))
     for k in range(rounds):
-        votes = both.join(label.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.round(F.sum("weight"), 6).alias("w"))
-        best = votes.groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("b")).select("node", F.col("b.label").alias("next"))
         turn = F.pmod(F.xxhash64("node"), F.lit(2)) == k % 2
+        votes = both.filter(turn).join(label.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.round(F.sum("weight"), 6).alias("w"))
+        best = votes.groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("b")).select("node", F.col("b.label").alias("next"))
         moved = label.join(best, "node", "left").select("node", F.when(turn, F.coalesce("next", "label")).otherwise(F.col("label")).alias("label"), (turn & (F.col("next") != F.col("label"))).alias("moved"))
         kept = checkpointed(moved)
         label = kept.select("node", "label")
