@@ -13,9 +13,12 @@ from skein.llm.html import op5_html
 from skein.llm.lines import OP9_SQL, op9_lines
 from skein.llm.merkle import OP8_SQL, op8_fingerprints
 from skein.llm.packing import op2_packing
+from skein.llm.periodic import op11_runs
 from skein.llm.quality import op1_quality
+from skein.llm.repair import OP13_SQL, op13_repair
 from skein.llm.rules import OP7_SQL, op7_rules
 from skein.llm.simhash import op6_simhash
+from skein.llm.toxicity import op12_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
@@ -28,5 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_lines": op9_lines,
     "op10_token_counts": op10_token_counts,
+    "op11_runs": op11_runs,
+    "op12_toxicity": op12_toxicity,
+    "op13_repair": op13_repair,
 }
-ORACLE_SQL: dict[str, str] = {"op3_hosts": OP3_SQL, "op7_rules": OP7_SQL, "op8_fingerprints": OP8_SQL, "op9_lines": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_hosts": OP3_SQL, "op7_rules": OP7_SQL, "op8_fingerprints": OP8_SQL, "op9_lines": OP9_SQL, "op13_repair": OP13_SQL}

@@ -19,7 +19,7 @@ def normal(v):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql_computes_the_same(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "conversations"):
         con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     df = QUERIES[name](spark, sf_dir)
     cols = sorted(df.columns)
