@@ -30,7 +30,7 @@ from skein.llm.quality import held_out
 
 #: Bounds on what is learned from: labelled documents, drawn by a hash of their ids, and their characters together.
 FIT_DOCS = 4000
-FIT_CHARS = 8_000_000
+FIT_CHARS = 6_000_000
 #: A longer document is not learned from.
 FIT_LONGEST = 200_000
 LANDMARKS = 256
@@ -96,33 +96,33 @@ def units(texts: list[str | None]) -> Units:
     ends = kind == 253
     ends[1:] |= space[1:] & (kind[:-1] == 254)
     kept = space | (kind < LETTERS) & (kind > 0)
-    text = np.repeat(np.arange(len(texts)), sizes)
-    sentence = np.cumsum(ends) - ends
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    sentence = np.cumsum(ends, dtype=np.int32) - ends
     kind, space, text, sentence = kind[kept], space[kept], text[kept], sentence[kept]
     letter = ~space
     begins = letter.copy()
     begins[1:] &= space[:-1]
     first = np.flatnonzero(begins)
-    number = np.cumsum(begins) - 1
+    number = np.cumsum(begins, dtype=np.int32) - 1
     long = np.bincount(number[letter], minlength=len(first)) if len(first) else np.zeros(0, dtype=np.int64)
     # Single letters in a row, in one sentence, are joined; of the words that result, those under three letters go.
     single = long == 1
     joined = np.zeros(len(first), dtype=bool)
     joined[1:] = single[1:] & single[:-1] & (sentence[first][1:] == sentence[first][:-1])
-    group = np.cumsum(~joined) - 1
+    group = np.cumsum(~joined, dtype=np.int32) - 1
     total = np.bincount(group, weights=long).astype(np.int64) if len(first) else long
     ok = total >= 3
     at = np.flatnonzero(letter)
     of_group = group[number[at]]
     at = at[ok[of_group]]
-    renamed = np.cumsum(ok) - 1
+    renamed = np.cumsum(ok, dtype=np.int32) - 1
     of = renamed[of_group[ok[of_group]]]
     heads = first[~joined][ok]
     size = total[ok]
     place = np.arange(len(at)) + 2 * of + 1
     out = np.full(len(at) + 2 * len(size), _EDGE, dtype=np.int32)
     out[place] = kind[at]
-    return Units(out, np.repeat(np.arange(len(size)), size + 2), sentence[heads], text[heads])
+    return Units(out, np.repeat(np.arange(len(size), dtype=np.int32), size + 2), sentence[heads], text[heads])
 
 
 def _own(size: np.ndarray) -> np.ndarray:
@@ -223,21 +223,28 @@ def landmarks_of(u: Units, chosen_words: np.ndarray) -> Landmarks:
     return Landmarks(known, weigh)
 
 
-def kernel(u: Units, marks: Landmarks) -> np.ndarray:
-    """The kernel of each word with each landmark."""
+def picked(u: Units, words: np.ndarray) -> Units:
+    """These words (a mask) of u."""
+    inside = words[u.of]
+    return Units(u.letter[inside], (np.cumsum(words, dtype=np.int32) - 1)[u.of[inside]], u.sentence[words], u.text[words])
+
+
+def kernel(u: Units, marks: Landmarks, root: np.ndarray | None = None) -> np.ndarray:
+    """The kernel of each word with each landmark; if root is given, times root, and a last column of ones."""
     own = np.maximum(_own(np.bincount(u.of, minlength=len(u.text))), 1e-9)
     place = np.vstack((marks.weigh, np.zeros((1, marks.weigh.shape[1]), dtype=np.float32)))
     index = np.full(LETTERS**3, len(marks.known), dtype=np.int32)
     index[marks.known] = np.arange(len(marks.known))
-    k = np.zeros((len(u.text), place.shape[1]), dtype=np.float32)
+    k = np.ones((len(u.text), place.shape[1] if root is None else root.shape[1] + 1), dtype=np.float32)
     for a, b in _chunks(u, CHUNK >> 6):
         first = int(u.of[a])
         head = np.searchsorted(u.of[a:b], np.arange(first, int(u.of[b - 1]) + 1))
         value = np.zeros((b - a, place.shape[1]), dtype=np.float32)
         for _, code, inside, d in subsequences(u, a, b):
             value[: len(code)] += place[np.where(inside, index[code], len(marks.known))] * np.float32(d)
-        k[first : first + len(head)] = np.add.reduceat(value, head)
-    return k / own[:, None].astype(np.float32)
+        rows = np.add.reduceat(value, head) / own[first : first + len(head), None].astype(np.float32)
+        k[first : first + len(head), : root.shape[1] if root is not None else None] = rows if root is None else rows @ root
+    return k
 
 
 def variants(u: Units, words: np.ndarray, rng: np.random.Generator) -> tuple[Units, np.ndarray]:
@@ -256,19 +263,31 @@ def variants(u: Units, words: np.ndarray, rng: np.random.Generator) -> tuple[Uni
     return Units(np.concatenate(made) if made else np.zeros(0, dtype=np.int32), np.repeat(np.arange(len(made)), sizes), none, none), np.array(source, dtype=np.int64)
 
 
-def hinge(x: np.ndarray, y: np.ndarray, share: np.ndarray, start: np.ndarray, ridge: float = 1e-5, rounds: int = 12) -> np.ndarray:
-    """Weights (the last for a constant) of the machine with the least squared hinge loss, weighted by share, by Newton steps on the rows within the margin."""
+def hinge(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], start: np.ndarray, ridge: float = 1e-5, rounds: int = 12) -> np.ndarray:
+    """Weights (the last for a constant) of the machine with the least squared hinge loss, weighted by share, by Newton steps on the rows within the margin.
+
+    blocks: rows, their sides (1 or -1) and their shares; no block is copied.
+    """
     w = start.copy()
 
+    def gaps(w: np.ndarray) -> list[np.ndarray]:
+        return [np.where(share > 0, np.maximum(1 - y * (x @ w.astype(np.float32)), 0), 0) for x, y, share in blocks]
+
     def loss(w: np.ndarray) -> float:
-        return float((share * np.maximum(1 - y * (x @ w), 0) ** 2).sum() + ridge * (w[:-1] @ w[:-1]))
+        return float(sum((share * g**2).sum() for g, (_, _, share) in zip(gaps(w), blocks)) + ridge * (w[:-1] @ w[:-1]))
 
     now = loss(w)
     for _ in range(rounds):
-        inside = np.flatnonzero(y * (x @ w) < 1)
-        a, s = x[inside], share[inside]
-        h = (a.T * s) @ a + ridge * np.eye(x.shape[1])
-        step = np.linalg.solve(h, (a.T * s) @ y[inside]) - w
+        h, v = ridge * np.eye(len(w)), np.zeros(len(w))
+        for g, (x, y, share) in zip(gaps(w), blocks):
+            inside = np.flatnonzero(g > 0)
+            for i in range(0, len(inside), 8192):
+                r = inside[i : i + 8192]
+                a = x[r].astype(np.float64)
+                scaled = a.T * share[r]
+                h += scaled @ a
+                v += scaled @ y[r]
+        step = np.linalg.solve(h, v) - w
         size = 1.0
         while size > 1e-3 and (then := loss(w + size * step)) > now:
             size /= 2
@@ -319,6 +338,10 @@ def learn(texts: list[str], labels: np.ndarray, n_landmarks: int = LANDMARKS) ->
     mixed *= np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(32)
     _, sample, word = np.unique(np.add.reduceat(mixed, begin), return_index=True, return_inverse=True)
+    # In the order of their first occurrences.
+    o = np.argsort(sample)
+    sample, word = sample[o], np.argsort(o)[word]
+    del mixed, place, o
     fit_word = ~apart[u.text]
     toxic = labels[u.text]
     in_texts = np.unique(word[fit_word].astype(np.int64) * len(texts) + u.text[fit_word])
@@ -338,21 +361,16 @@ def learn(texts: list[str], labels: np.ndarray, n_landmarks: int = LANDMARKS) ->
     # One occurrence of each distinct word, in its own right.
     own = np.zeros(len(u.text), dtype=bool)
     own[sample] = True
-    held = own[u.of]
-    renamed = np.cumsum(own) - 1
-    distinct = Units(u.letter[held], renamed[u.of[held]], u.sentence[own], u.text[own])
-    row = renamed[sample]  # the row of each distinct word
-    table_of_marks = landmarks_of(distinct, row[marks])
-    k = kernel(distinct, table_of_marks)
-    values, vectors = np.linalg.eigh(k[row[marks]].astype(np.float64))
+    distinct = picked(u, own)
+    is_mark = np.zeros(len(sample), dtype=bool)
+    is_mark[marks] = True
+    mark_words = picked(distinct, is_mark)
+    table_of_marks = landmarks_of(mark_words, np.arange(len(marks)))
+    values, vectors = np.linalg.eigh(kernel(mark_words, table_of_marks).astype(np.float64))
     ok = values > 1e-4 * values.max()
-    root = vectors[:, ok] / np.sqrt(values[ok])
-
-    def placed(k: np.ndarray) -> np.ndarray:
-        return np.column_stack((k @ root.astype(np.float32), np.ones(len(k), dtype=np.float32)))
+    root = (vectors[:, ok] / np.sqrt(values[ok])).astype(np.float32)
+    x = kernel(distinct, table_of_marks, root)
 
-    x = placed(k[row])
-    del k
     clean = good > 0
     bags = np.unique(np.column_stack((u.sentence[fit_word & toxic], word[fit_word & toxic])), axis=0)
     bag_head = np.flatnonzero(np.append(True, bags[1:, 0] != bags[:-1, 0])) if len(bags) else np.zeros(0, dtype=np.int64)
@@ -361,7 +379,7 @@ def learn(texts: list[str], labels: np.ndarray, n_landmarks: int = LANDMARKS) ->
     strong = score > score[bad > 0].max() / 4
     floor = np.quantile(score[bad > 0], 0.9)
     for turn in range(TURNS):
-        value = (x @ w if turn else score - floor)[bags[:, 1]]
+        value = (x @ w.astype(np.float32) if turn else score - floor)[bags[:, 1]]
         best = np.maximum.reduceat(value, bag_head)
         inside = np.repeat(np.arange(len(bag_head)), np.diff(np.append(bag_head, len(bags))))
         chosen = (value == best[inside]) & (best[inside] > 0) | strong[bags[:, 1]]
@@ -370,16 +388,20 @@ def learn(texts: list[str], labels: np.ndarray, n_landmarks: int = LANDMARKS) ->
         hits = np.bincount(bags[chosen, 1], minlength=len(sample)).astype(float)
         pos = np.flatnonzero(hits > good) if (hits > good).any() else np.flatnonzero(hits)
         neg = np.flatnonzero(clean & (hits <= good))
-        rows, share = [x[pos], x[neg]], [hits[pos] ** 0.75, CLEAN_WEIGHT * np.sqrt(good[neg])]
+        side, share = -np.ones(len(sample)), np.zeros(len(sample))
+        side[pos] = 1
+        toxic_share = hits ** 0.75 / (hits[pos] ** 0.75).sum()
+        share[pos] = toxic_share[pos]
+        share[neg] = CLEAN_WEIGHT * np.sqrt(good[neg]) / max(np.sqrt(good[neg]).sum(), 1)
+        blocks = [(x, side, share)]
         if turn == TURNS - 1:  # virtual examples: the machine shall not mind a letter more or less
             often = pos[np.lexsort((pos, -hits[pos]))][:VARIED]
-            varied, source = variants(distinct, row[often], rng)
-            rows.append(placed(kernel(varied, table_of_marks)))
-            share.append(VARIED_WEIGHT * (hits[often] ** 0.75 / np.maximum(np.bincount(source, minlength=len(often)), 1))[source])
-        y = np.concatenate((np.ones(len(pos)), -np.ones(len(neg)), np.ones(sum(map(len, rows[2:])))))
-        w = hinge(np.concatenate(rows).astype(np.float64), y, np.concatenate((share[0] / share[0].sum(), share[1] / max(np.sqrt(good[neg]).sum(), 1), *(s / share[0].sum() for s in share[2:]))), w)
+            varied, source = variants(distinct, often, rng)
+            if len(source):
+                blocks.append((kernel(varied, table_of_marks, root), np.ones(len(source)), VARIED_WEIGHT * (toxic_share[often] / np.maximum(np.bincount(source, minlength=len(often)), 1))[source]))
+        w = hinge(blocks, w)
     weights = np.zeros(LETTERS**3, dtype=np.float32)
-    weights[table_of_marks.known] = table_of_marks.weigh @ (root @ w[:-1]).astype(np.float32)
+    weights[table_of_marks.known] = table_of_marks.weigh @ (root @ w[:-1].astype(np.float32))
     machine = Machine(weights, float(w[-1]), blank.logistic, prior)
     f = figures(u, margins(u, weights, machine.bias), len(texts))
     use = apart if apart.any() else np.ones(len(texts), dtype=bool)
