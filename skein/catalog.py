@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.operators import code, docs, governance, graph, linking, memory, report, resolve, rules, search, states, traverse
+from skein.operators import code, communities, docs, governance, graph, linking, memory, report, resolve, rules, search, states, traverse
 from skein.plans import explore, ingest, overview
 from skein.streaming import relay
 
-MODULES = (traverse, graph, search, report, docs, memory, rules, resolve, linking, code, states, governance, overview, explore, ingest, relay)
+MODULES = (traverse, graph, communities, search, report, docs, memory, rules, resolve, linking, code, states, governance, overview, explore, ingest, relay)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
 FLAGSHIP = "a07_degree_hubs"

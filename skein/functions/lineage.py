@@ -33,6 +33,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written to the shared folder as a table and read from it.
+
+    For loops: a checkpoint keeps what its plan's filters and joins say of the columns, and in a loop
+    that joins a table with itself this doubles from round to round; a table that is read says nothing.
+    """
+    at = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def stored(spark: SparkSession, name: str, sources: list[str], build: Callable[[], DataFrame]) -> DataFrame:
     """The table that build makes of files, written to the shared folder when an application first asks for it and read after that.
 

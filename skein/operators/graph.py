@@ -234,32 +234,6 @@ def unused_candidates(symbol_rows: DataFrame, edge_rows: DataFrame, pool: DataFr
     return dead_code_score(rows).select("symbol_id", "finding_kind", "test_only", "weak_edges", "live_importers", "dynamic_loader", "score", "tier", "safe_to_delete")
 
 
-def communities(edge_rows: DataFrame, rounds: int = 8) -> DataFrame:
-    """node, community by label propagation over the weighted projection, the same on every run.
-
-    In each round a node takes the label with the most weight among its neighbours (of equals the
-    least label); nodes of even and odd hash take turns, so that two sides don't swap labels for
-    ever. Then communities that fell apart become one for each connected part, and a community is
-    named by its least member. Groups without bound never meet in one task: every step is a sum by
-    node and label.
-    """
-    pairs = checkpointed(projection(edge_rows))
-    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "weight").unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other"), "weight"))
-    label = checkpointed(both.select("node").distinct().withColumn("label", F.col("node")))
-    for k in range(rounds):
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == k % 2
-        votes = both.filter(turn).join(label.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.round(F.sum("weight"), 6).alias("w"))
-        best = votes.groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("b")).select("node", F.col("b.label").alias("next"))
-        moved = label.join(best, "node", "left").select("node", F.when(turn, F.coalesce("next", "label")).otherwise(F.col("label")).alias("label"), (turn & (F.col("next") != F.col("label"))).alias("moved"))
-        kept = checkpointed(moved)
-        label = kept.select("node", "label")
-        if k % 2 and not kept.filter("moved").limit(1).count():
-            break
-    inside = pairs.join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").filter("la = lb")
-    parts = components(inside.select(F.col("a").alias("source_id"), F.col("b").alias("target_id")))
-    return label.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("community"))
-
-
 def community_labels(symbol_rows: DataFrame, community: DataFrame) -> DataFrame:
     """community, size, label: the commonest word of three letters or more among the members' names, and -cluster."""
     named = community.join(symbol_rows.select(F.col("symbol_id").alias("node"), "name"), "node", "left")
@@ -374,7 +348,6 @@ QUERIES = {
     "a04_language_histogram": lambda spark, d: language_histogram(symbols(spark, d)),
     "x10_language_by_kind": lambda spark, d: language_by_kind(symbols(spark, d)),
     "n01_projection": lambda spark, d: projection(edges(spark, d)),
-    "n02_communities": lambda spark, d: communities(edges(spark, d).filter("confidence = 'exact'")),
     "n03_community_labels": lambda spark, d: community_labels(symbols(spark, d), _community(symbols(spark, d)).withColumnRenamed("symbol_id", "node")),
     "n05_betweenness": lambda spark, d: betweenness(edges(spark, d).filter("confidence = 'exact' and rel_type = 'CALLS'"), symbols(spark, d)),
     "n06_surprising": lambda spark, d: surprising(symbols(spark, d), edges(spark, d), _community(symbols(spark, d)), 50),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text
 from skein.functions.lineage import checkpointed
-from skein.operators import docs, graph, memory, resolve, search, traverse
+from skein.operators import communities, docs, graph, memory, resolve, search, traverse
 from skein.sources.tables import GRAPH_SQL, edges, symbols, table
 
 FLOW_KINDS = ("function", "method", "class", "route")
@@ -43,7 +43,7 @@ def language_groups(symbol_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
 def community_of(edge_rows: DataFrame, seed: str, limit: int = 50) -> DataFrame:
     """node of the first members of the seed's community, in the two hops around it."""
     near = checkpointed(traverse.neighbourhood(edge_rows, [seed], 2))
-    found = checkpointed(graph.communities(near))
+    found = checkpointed(communities.communities(near))
     own = found.filter(F.col("node") == seed).select("community")
     return found.join(own, "community", "left_semi").select("node").orderBy("node").limit(limit)
 
@@ -223,7 +223,7 @@ QUERIES = {
     "g11_call_path": lambda spark, d: call_path(edges(spark, d), symbols(spark, d), "sym:fx:s3"),
     "g14_language_groups": lambda spark, d: language_groups(symbols(spark, d), edges(spark, d).filter("rel_type = 'CALLS'")),
     "g17_context": g17_context,
-    "n04_community_of": lambda spark, d: community_of(edges(spark, d).filter("confidence = 'exact'"), SEED),
+    "n04_community_of": lambda spark, d: community_of(edges(spark, d), SEED),
     "n08_overview": lambda spark, d: overview(symbols(spark, d), edges(spark, d), _community(symbols(spark, d))),
     "n07_questions": n07_questions,
     "n11_changes": n11_changes,

@@ -1,9 +1,11 @@
 """Small hand-built graphs: cycles, diamonds, dead islands, communities."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators import graph, resolve, traverse
+from skein.operators import communities, graph, resolve, traverse
 
 
 def test_a_cycle_leads_back_to_the_seed_among_callers_only(edge, symbol):
@@ -51,13 +53,66 @@ def test_life_goes_on_however_long_the_chain(edge, symbol, monkeypatch):
 
 def test_two_triangles_are_two_communities(edge):
     e = edge(("a1", "a2"), ("a2", "a3"), ("a3", "a1"), ("b1", "b2"), ("b2", "b3"), ("b3", "b1"), ("a1", "b1", "DOCUMENTED_BY"))
-    c = {r["node"]: r["community"] for r in graph.communities(e).collect()}
-    assert len({c["a1"], c["a2"], c["a3"]}) == len({c["b1"], c["b2"], c["b3"]}) == 1 and c["a1"] != c["b1"]
-    assert c == {r["node"]: r["community"] for r in graph.communities(e).collect()}
+    c = {r["node"]: r["community"] for r in communities.communities(e).collect()}
+    assert c == {"a1": "a1", "a2": "a1", "a3": "a1", "b1": "b1", "b2": "b1", "b3": "b1"}
     b = {r["node"]: r["betweenness"] for r in graph.betweenness(e).collect()}
     assert min(b["a1"], b["b1"]) > max(b["a2"], b["b2"])
 
 
+def plain_louvain(pairs):
+    """Modularity of Louvain's method, one node at a time."""
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = 1.0
+    k = {n: sum(x.values()) for n, x in near.items()}
+    total, member, graph_, strength = sum(k.values()), {n: n for n in near}, near, dict(k)
+    while True:
+        comm, sums, moved, any_ = {n: n for n in graph_}, dict(strength), True, False
+        while moved:
+            moved = False
+            for n in graph_:
+                w = {}
+                for o, x in graph_[n].items():
+                    w[comm[o]] = w.get(comm[o], 0) + x
+                own = comm[n]
+                sums[own] -= strength[n]
+                best, gain = own, w.get(own, 0) - strength[n] * sums[own] / total
+                for c in sorted(w):
+                    if w[c] - strength[n] * sums[c] / total > gain + 1e-12:
+                        best, gain = c, w[c] - strength[n] * sums[c] / total
+                sums[best] += strength[n]
+                if best != own:
+                    comm[n], moved, any_ = best, True, True
+        member = {v: comm[c] for v, c in member.items()}
+        if not any_:
+            sums = {}
+            for n, c in member.items():
+                sums[c] = sums.get(c, 0) + k[n]
+            return sum(x for n in near for o, x in near[n].items() if member[n] == member[o]) / total - sum((s / total) ** 2 for s in sums.values())
+        merged, weights = {}, {}
+        for n in graph_:
+            c = comm[n]
+            weights[c] = weights.get(c, 0) + strength[n]
+            into = merged.setdefault(c, {})
+            for o, x in graph_[n].items():
+                if comm[o] != c:
+                    into[comm[o]] = into.get(comm[o], 0) + x
+        graph_, strength = merged, weights
+
+
+def test_communities_against_plain_louvain(edge):
+    rng = random.Random(5)
+    planted = [(f"n{i:02}", f"n{j:02}") for i in range(48) for j in range(i + 1, 48) if rng.random() < (0.6 if i // 12 == j // 12 else 0.04)]
+    cliques = [(f"c{i}{a}", f"c{i}{b}") for i in range(6) for a in range(5) for b in range(a + 1, 5)] + [(f"c{i}0", f"c{(i + 1) % 6}1") for i in range(6)]
+    star = [("hub", f"s{i}") for i in range(12)]
+    for pairs in (planted, cliques + [(f"x{a}", f"x{b}") for a, b in star]):
+        history: list = []
+        found = communities.communities(edge(*pairs), history)
+        assert all(b >= a - 1e-9 for a, b in zip(history, history[1:]))
+        assert communities.modularity(edge(*pairs), found) >= 0.98 * plain_louvain(pairs)
+        assert found.count() == len({x for p in pairs for x in p}) == found.select("node").distinct().count()
+
+
 def plain_betweenness(pairs, sources=None):
     from collections import deque
 
@@ -96,7 +151,7 @@ def test_betweenness_against_plain_search(edge):
 
 def test_empty_graphs(edge, symbol):
     e, s = edge(("a", "b")).limit(0), symbol(("a",)).limit(0)
-    for df in (traverse.callers(e, s, "a"), traverse.impact(e, "a"), traverse.components(e), graph.communities(e), graph.betweenness(e), graph.hubs(s, e), traverse.live(s, e, s), graph.unused_candidates(s, e, s)):
+    for df in (traverse.callers(e, s, "a"), traverse.impact(e, "a"), traverse.components(e), communities.communities(e), graph.betweenness(e), graph.hubs(s, e), traverse.live(s, e, s), graph.unused_candidates(s, e, s)):
         assert df.count() == 0
 
 
