@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text
 from skein.functions.lineage import checkpointed
-from skein.operators import communities, docs, graph, memory, resolve, search, traverse
+from skein.operators import communities, docs, flows, graph, memory, resolve, search, traverse
 from skein.sources.tables import GRAPH_SQL, edges, symbols, table
 
 FLOW_KINDS = ("function", "method", "class", "route")
@@ -77,15 +77,22 @@ def overview(symbol_rows: DataFrame, edge_rows: DataFrame, community: DataFrame,
     return rows.withColumn("place", place).select("section", "item", "value", F.when(F.col("place") <= 2, asked).alias("question"))
 
 
-def changes(symbol_rows: DataFrame, edge_rows: DataFrame, files: DataFrame, churn: DataFrame) -> DataFrame:
-    """symbol_id, callers, tested, risk, level of the symbols in changed files (file_path): files' commits come from churn (file_path, churn)."""
+def changes(symbol_rows: DataFrame, edge_rows: DataFrame, files: DataFrame, churn: DataFrame, membership: DataFrame | None = None, community: DataFrame | None = None) -> DataFrame:
+    """symbol_id, callers, tested, risk, level of the symbols in changed files (file_path): files' commits come from churn (file_path, churn).
+
+    membership (symbol_id, flow_criticality, flow_count: flows.membership()) adds what the flows
+    through a symbol weigh; community (symbol_id, community) says whose callers cross, else top directories do.
+    """
     own = symbol_rows.join(files.select("file_path").distinct(), "file_path", "left_semi")
     callers = graph.fan_in(edge_rows, traverse.IMPACT_TYPES)
     tests = graph.tested(symbol_rows, edge_rows).withColumn("t", F.lit(1))
-    crossing = edge_rows.join(symbol_rows.select(F.col("symbol_id").alias("source_id"), F.substring_index("file_path", "/", 1).alias("a")), "source_id").join(symbol_rows.select(F.col("symbol_id").alias("target_id"), F.substring_index("file_path", "/", 1).alias("b")), "target_id").filter("a <> b").groupBy(F.col("target_id").alias("symbol_id")).agg(F.countDistinct("source_id").alias("cross_community"))
+    part = symbol_rows.select("symbol_id", F.substring_index("file_path", "/", 1).alias("community")) if community is None else community.select("symbol_id", "community")
+    crossing = edge_rows.join(part.select(F.col("symbol_id").alias("source_id"), F.col("community").alias("a")), "source_id").join(part.select(F.col("symbol_id").alias("target_id"), F.col("community").alias("b")), "target_id").filter("a <> b").groupBy(F.col("target_id").alias("symbol_id")).agg(F.countDistinct("source_id").alias("cross_community"))
     rows = own.join(callers, "symbol_id", "left").join(tests, "symbol_id", "left").join(crossing, "symbol_id", "left").join(churn, "file_path", "left")
+    none = {"flow_criticality": F.lit(None).cast("double"), "flow_count": F.lit(0)}
+    rows = rows.withColumns(none) if membership is None else rows.join(membership.select("symbol_id", *none), "symbol_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    factors = rows.select("symbol_id", "name", "qualified_name", F.lit(None).cast("double").alias("flow_criticality"), F.lit(0).alias("flow_count"), zero("cross_community").alias("cross_community"), zero("t").alias("test_count"), zero("fan_in").alias("caller_count"), zero("churn").alias("churn"))
+    factors = rows.select("symbol_id", "name", "qualified_name", "flow_criticality", zero("flow_count").alias("flow_count"), zero("cross_community").alias("cross_community"), zero("t").alias("test_count"), zero("fan_in").alias("caller_count"), zero("churn").alias("churn"))
     return graph.change_risk(factors).select("symbol_id", F.col("caller_count").alias("callers"), (F.col("test_count") > 0).alias("tested"), "risk", "level")
 
 
@@ -200,6 +207,15 @@ def n11_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes(s, e, changed, churn)
 
 
+def n11_change_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes of n11_changes with the flows of all entries: what they weigh comes out of the graph."""
+    e, s = edges(spark, sf_dir), symbols(spark, sf_dir)
+    found, critical, _ = flows.traced(spark, sf_dir)
+    changed = s.filter("symbol_id like '%5'").select("file_path")
+    churn = s.groupBy("file_path").agg((F.count(F.lit(1)) % 7).alias("churn"))
+    return changes(s, e, changed, churn, flows.membership(found, critical, 6))
+
+
 def r14_explored(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, s = edges(spark, sf_dir), symbols(spark, sf_dir)
     return explored(s, e, _hits(s), traverse.flow(e, "sym:fx:s3"), 2000)
@@ -227,6 +243,7 @@ QUERIES = {
     "n08_overview": lambda spark, d: overview(symbols(spark, d), edges(spark, d), _community(symbols(spark, d))),
     "n07_questions": n07_questions,
     "n11_changes": n11_changes,
+    "n11_change_flows": n11_change_flows,
     "r11_boosted": lambda spark, d: boosted(_hits(symbols(spark, d)), edges(spark, d)),
     "r12_fallback": lambda spark, d: first_channel(search.name_search(symbols(spark, d), "nowhere"), search.name_search(symbols(spark, d), "customer#00000002", 20)),
     "r14_explored": r14_explored,
@@ -271,6 +288,13 @@ x as (select target_id, count(distinct source_id) as k from fx_edges join fx_sym
 c as (select file_path, count(*) % 7 as churn from fx_symbols group by 1),
 f as (select symbol_id, coalesce(fan.k, 0) as callers, symbol_id in (select target_id from t) as tested, coalesce(x.k, 0) as xs, churn, lower(name || ' ' || qualified_name) as n from s left join fan on fan.target_id = symbol_id left join x on x.target_id = symbol_id left join c using (file_path)),
 r as (select symbol_id, callers, tested, round(least(xs * 0.05::double, 0.15::double) + 0.30::double - least(tested::int / 5.0::double, 1) * 0.25::double + case when regexp_matches(n, 'auth|password|token|secret|crypto|permission|acl|oauth|jwt|session|encrypt|decrypt|login|signup|credential') then 0.20::double else 0 end + least(callers / 20.0::double, 0.10::double) + least(churn / 10.0::double, 1) * 0.15::double, 4) as risk from f)
+select symbol_id, callers, tested, risk, case when risk >= 0.75 then 'critical' when risk >= 0.5 then 'high' when risk >= 0.3 then 'medium' else 'low' end as level from r""",
+    "n11_change_flows": f"""{flows.FLOWS_SQL}, fm as (select node, round(sum(criticality), 6) as fc from f join c using (entry) group by 1), s as (select * from fx_symbols where file_path in (select file_path from fx_symbols where symbol_id like '%5')),
+fan as (select target_id, count(*) as k from fx_edges where rel_type in ('CALLS', 'HTTP_CALLS') group by 1), t as (select distinct target_id from fx_edges join fx_symbols on symbol_id = source_id where rel_type = 'CALLS' and {_TEST}),
+x as (select target_id, count(distinct source_id) as k from fx_edges join fx_symbols a on a.symbol_id = source_id join fx_symbols b on b.symbol_id = target_id where split_part(a.file_path, '/', 1) <> split_part(b.file_path, '/', 1) group by 1),
+ch as (select file_path, count(*) % 7 as churn from fx_symbols group by 1),
+fa as (select symbol_id, case when fc is null then 0 else least(fc, 0.25::double) end as flow, coalesce(fan.k, 0) as callers, symbol_id in (select target_id from t) as tested, coalesce(x.k, 0) as xs, churn, lower(name || ' ' || qualified_name) as n from s left join fan on fan.target_id = symbol_id left join x on x.target_id = symbol_id left join ch using (file_path) left join fm on fm.node = symbol_id),
+r as (select symbol_id, callers, tested, round(flow + least(xs * 0.05::double, 0.15::double) + 0.30::double - least(tested::int / 5.0::double, 1) * 0.25::double + case when regexp_matches(n, 'auth|password|token|secret|crypto|permission|acl|oauth|jwt|session|encrypt|decrypt|login|signup|credential') then 0.20::double else 0 end + least(callers / 20.0::double, 0.10::double) + least(churn / 10.0::double, 1) * 0.15::double, 4) as risk from fa)
 select symbol_id, callers, tested, risk, case when risk >= 0.75 then 'critical' when risk >= 0.5 then 'high' when risk >= 0.3 then 'medium' else 'low' end as level from r""",
     "r11_boosted": f"with {GRAPH_SQL}, {_DEG}, {_HITS}, r as (select *, (row_number() over (order by score desc, symbol_id))::int as rank from hits) select symbol_id, rank, round(case when rank <= 3 then least(1.0::double, score + least(coalesce(degree, 0), 5) * 0.01::double) else score end, 6) as score from r left join deg using (symbol_id) where rank <= 1000",
     "r12_fallback": f"with {GRAPH_SQL} select symbol_id, name from fx_symbols where contains(lower(name || qualified_name || file_path), 'customer#00000002') order by 1 limit 20",
