@@ -13,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import documents, map_rows, table
@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     At most fit_docs of them, those with the smallest hash of their ids, and of these the first in
     that order that have fit_lines lines together; whole texts. Features are made in tasks, and only
-    they reach the driver. A document with several labels has its least; other labels than 0 and 1
+    they reach the driver, once a running total over ids and numbers of lines has chosen them. A document with several labels has its least; other labels than 0 and 1
     and nulls are left out. Without any labelled document the field scores 0.5.
     """
     usable = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
@@ -183,9 +183,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return {"x": [x[at[i] : at[i + 1]].astype("<f4").tobytes() for i in range(len(texts))], "n": n.tolist()}
 
     made = map_rows(rows, ["text"], "x binary, n int, text string", lambda t: features(t) | {"text": [None] * len(t)}).drop("text")
-    got = sorted(made.filter(F.col("n") <= fit_lines).select("h", "id", "n", "x", "label").orderBy("h", "id").limit(fit_docs).toLocalIterator(), key=lambda r: (r["h"], r["id"]))
-    total = np.cumsum([r["n"] for r in got]) if got else np.zeros(0)
-    got = [r for r, t in zip(got, total) if t <= fit_lines]
+    # The running total is taken over numbers, and only features within the bound reach the driver.
+    sizes = made.groupBy("h", "id").agg(F.sum("n").alias("n")).filter(F.col("n") <= fit_lines).orderBy("h", "id").limit(fit_docs)
+    within = sizes.withColumn("total", F.sum("n").over(Window.orderBy("h", "id"))).filter(F.col("total") <= fit_lines).select("id")
+    got = sorted(made.join(F.broadcast(within), "id").select("h", "id", "n", "x", "label").toLocalIterator(), key=lambda r: (r["h"], r["id"]))
     if not got:
         return Field((0.0,) * N_FEATURES, ((0.0, 0.0), (0.0, 0.0)), 0.5)
     x = np.concatenate([np.frombuffer(r["x"], dtype="<f4").reshape(-1, N_FEATURES) for r in got]).astype(float)

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import duckdb
 import pytest
@@ -421,3 +422,25 @@ def test_stages_on_odd_rows(spark, odd, none, sf_dir):
             else:
                 assert out.columns == docs.columns and len(rows) <= n
                 assert {r["kept"] for r in rows} <= {"clash"} and {r["score"] for r in rows} <= {r["score"] for r in docs.collect()}
+
+
+def test_lines_of_a_very_long_text(spark):
+    """Linear in the lines of one text: half a million, most of which go."""
+    block = "\n".join(f"the same line of words number {i % 40_000} again" for i in range(500_000))
+    df = spark.createDataFrame([(k, f"{block}\nkept {k}") for k in range(3)], "doc_id long, text string")
+    began = time.time()
+    rows = lines.deduplicated(df, dropped_col="gone").select("doc_id", "gone", F.length("text").alias("n")).orderBy("doc_id").collect()
+    assert [r["gone"] for r in rows] == [0, 500_000, 500_000] and [r["n"] for r in rows[1:]] == [6, 6]
+    assert time.time() - began < 60
+
+
+def test_training_takes_no_more_lines_than_its_bound(spark):
+    df = spark.createDataFrame([(k, "\n".join(["words of a line."] * 10)) for k in range(40)], "doc_id long, text string")
+    labels = df.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    seen = {}
+    real, quality.fit = quality.fit, lambda x, n, y: seen.update(lines=len(x), docs=len(n)) or real(x, n, y, rounds=1)
+    try:
+        quality.train(df, labels, fit_lines=95)
+    finally:
+        quality.fit = real
+    assert seen == {"lines": 90, "docs": 9}
