@@ -51,6 +51,8 @@ COMMENTS = frozenset("comment comments commentlist disqus respond reply replies
 #: Words that name a subject as well, when an article's heading or section has them.
 AMBIGUOUS = frozenset("ad ads alert banner comment comments consent cookie cookies disclaimer discussion login menu navigation newsletter notice notification popup privacy promotion reply replies related response search share sharing sidebar social sponsor sponsored subscription".split())
 _TITLED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
+#: Words of a class beside an ambiguous one that say nothing of a subject (share-bar, but not share-price).
+LAYOUT = frozenset("area bar block body bottom box btn button buttons card container content footer form group header icon icons inner input item items left link links list main message panel post posts row section slot small teaser text title toggle top right unit wrap wrapper".split())
 #: An element that begins where one of these is open ends it.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _BLOCK_ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -61,6 +63,16 @@ _PARTS = frozenset("h1 h2 h3 h4 h5 h6 li dt dd tr td th caption".split())
 _NUMBER = re.compile(r"[0-9]+")
 
 
+def _told(value: str) -> set[str]:
+    """The words of a class or role inside an article, without ambiguous ones that another word gives a subject (search-story)."""
+    found: set[str] = set()
+    for name in value.lower().split():
+        words = set(_WORD.findall(name))
+        plain = {w for w in words if w in LAYOUT or w in NOTICE or w in COMMENTS or w.isdigit()}
+        found |= words if words == plain else words - (AMBIGUOUS - COMMENTS)
+    return found
+
+
 def _attributes(raw: str) -> dict[str, str]:
     """Values by lower-case name; of equal names the first counts."""
     found: dict[str, str] = {}
@@ -182,13 +194,15 @@ def parse(page: str, host_name: str = "") -> tuple[list[_Node], list[Block]]:
         top = stack[-1]
         inside = top.main
         judged = ("class", "role") if inside else ("class", "id", "role")
-        named = {w for x in judged if x in attributes for w in _WORD.findall(attributes[x].lower())}
+        named = {w for x in judged if x in attributes for w in (_told(attributes[x]) if inside else _WORD.findall(attributes[x].lower()))}
         if inside and tag in _TITLED:
             named -= AMBIGUOUS
         above = top.dropped
-        if tag in DROPPED or (tag == "header" and not inside) or not COMMENTS.isdisjoint(named) or "hidden" in attributes or _UNSEEN.search(attributes.get("style", "")):
+        # A form around everything holds the article, as other elements that notices are in do.
+        form = tag == "form" and not inside
+        if (tag in DROPPED and not form) or (tag == "header" and not inside) or not COMMENTS.isdisjoint(named) or "hidden" in attributes or _UNSEEN.search(attributes.get("style", "")):
             out = 2
-        elif tag not in ("html", "body") and not NOTICE.isdisjoint(named):
+        elif form or (tag not in ("html", "body") and not NOTICE.isdisjoint(named)):
             out = 1
         else:
             out = 0

@@ -337,6 +337,15 @@ def test_op5_by_hand_made_truth(spark, tmp_path):
     assert all(r["n_template_blocks"] == 7 and r["n_chars"] == len(r["text"]) for r in got)
 
 
+@pytest.mark.parametrize("around", ['<form id="aspnetForm">{}</form>', '<form class="search"><div>{}</div></form>', "{}"])
+def test_op5_forms_and_class_words_keep_an_article(around):
+    kept = ['<div class="search-story"><p>Dogs find the lost.</p></div>', '<p class="related-work">Earlier studies differ.</p>', '<p class="share-price">It fell by a tenth.</p>', '<div class="menu-costs">Soup is dear.</div>']
+    gone = ['<div class="share-bar">Tell a friend</div>', '<div class="related-posts">More of this</div>', '<div class="ad">Buy now</div>', '<div class="ad-slot-1">Buy two</div>', '<div class="user-comment">I disagree</div>', "<form>Your name</form>", '<div class="newsletter-signup">Write to us</div>']
+    page = "<html><body><form>Find</form>" + around.format(f"<article><p>It opens here.</p>{''.join(kept)}{''.join(gone)}</article>") + "</body></html>"
+    texts, _ = html.chosen(html.parse(page)[1])
+    assert " ".join(texts) == "It opens here. Dogs find the lost. Earlier studies differ. It fell by a tenth. Soup is dear."
+
+
 def test_op5_on_the_tables(spark):
     """The tables' articles are plain: what stands between their tags is known without a parser of trees."""
     from html import unescape
