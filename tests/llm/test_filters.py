@@ -189,6 +189,23 @@ def test_recurring_templates_are_found_whatever_else_is_in_their_leaf(spark):
     assert all(left[1000 + k]["gone"] == 0 for k in range(300))
 
 
+def test_lines_that_recur_word_for_word_count_for_wider_templates(spark):
+    """The wide template is in every document here, whether or not some of its lines recur word for word."""
+    wide = "Read this first {} then go on to the very next page of our long guide"
+    long = "Our {} guide " + " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(51))
+    for n in (2, 3, 4):
+        texts = [wide.format("ab"), *[wide.format("cd")] * n, wide.format("ef"), prose(1, 12)]
+        left = lines.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), dropped_col="gone").collect()
+        assert [r["gone"] for r in sorted(left)] == [0, *[1] * n, 1, 0]
+    texts = [long.format("ab") + " x", *[long.format("ab") + " y"] * 2, prose(1, 12), long.format("ab") + " y\n" + long.format("ab") + " z"]
+    left = lines.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), dropped_col="gone").collect()
+    assert [r["gone"] for r in sorted(left)] == [0, 1, 1, 0, 2]
+    # Two documents have one long line word for word; a third has it but for its last words.
+    texts = [long.format("ab") + " y", long.format("ab") + " y", long.format("ab") + " z"]
+    left = lines.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), dropped_col="gone").collect()
+    assert [r["gone"] for r in sorted(left)] == [0, 1, 1]
+
+
 def test_ties_between_templates_and_sql(spark, tmp_path):
     a, b = "One two three {} five six seven eight nine ten eleven", "One two three four five six {} seven nine ten twelve"
     rows = [(k, x.format(w)) for k, (x, w) in enumerate([(a, "p"), (a, "q"), (b, "p"), (b, "q"), (a, "r"), (b, "r")])]
