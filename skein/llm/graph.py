@@ -8,29 +8,38 @@ from pyspark.sql import functions as F
 from skein.llm.common import checkpointed
 
 MAX_ROUNDS = 60
+#: Narrow rows (some 50 bytes) that one task takes at least.
+TASK_ROWS = 100_000
+
+
+def dealt(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """df, which has been written, in as few partitions as its number of rows needs: a small one has one, and joins and groups of such are not shuffled."""
+    return df.coalesce(max(1, -(-df.count() // rows)))
 
 
 def _least(links: DataFrame) -> DataFrame:
     return links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, small: bool = False) -> DataFrame:
     """columns a, b (long) to node, label: label is the least node that node reaches.
 
     Alternates the large and the small star: each node hands the least of its neighbourhood to its
     greater neighbours, then to its lesser ones, until no link changes. Rounds grow with the
     logarithm of the longest path. Every round's links are written to the checkpoint folder, and
-    only a count and a sum reach the driver. Without links the result is empty.
+    only a count and a sum reach the driver. Without links the result is empty. small deals out each
+    round's links by their number (see dealt()).
     """
     both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    current, before = checkpointed(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
+    dealt_out = dealt if small else lambda e: e
+    current, before = dealt_out(checkpointed(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())), None
     for _ in range(MAX_ROUNDS):
         e = both(current)
         large = e.join(_least(e), "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
         least = _least(down)
-        small = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
-        current = checkpointed(small)
+        lesser = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
+        current = dealt_out(checkpointed(lesser))
         s = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))).alias("h")).first()
         if (s["n"], s["h"]) == before:
             break

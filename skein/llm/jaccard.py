@@ -1,17 +1,19 @@
-"""Near-duplicates by the Jaccard similarity of word shingles.
-
-Texts link if their sets of WORDS-word shingles have a similarity of LEAST or more. Fingerprints by
-SimHash, which op6 compares, can't tell such pairs: README has the figures. Here candidates meet by
-min-hash bands: a pair at 0.8 has none of BANDS bands of ROWS rows in common with a probability of
-1.3e-5, one above it with less. A candidate's similarity is then estimated from all min-hashes, which
-takes 4.5 standard deviations to reject a pair at 0.8, and the rest is counted on the whole sets.
-
-Texts with equal sets are one node. In each band's key all nodes meet the least one first, which
-joins what a large group of copies has in common; after that, every two nodes of a key that are
-still apart are compared, so that no link depends on which node came first. They are compared in
-blocks, in tasks. What passes the estimate comes out as a row for each node of a block, not for each
-pair; these nodes' sets meet once more in their block, where pairs are counted until they are joined,
-and only links that join something come out.
+"""Near-duplicates: SimHash and pigeonring chains for candidates, the Jaccard similarity of word shingles for the verdict.
+
+Texts link if their sets of WORDS-word shingles have a similarity of LEAST or more. op6's 64 bits
+can't tell such pairs (README has the figures), so fingerprints have BITS bits here, which differ
+with a probability of 0.15 at a similarity of 0.8. Candidates meet by agreeing segments: a pair at
+0.8 has none of the SEGMENTS segments in common with a probability of 7e-5, one above it with less.
+Of those, a pair is kept by the first CHECKED bits, then by pigeonring chains of words and by all
+bits; each bound is Z standard deviations from a pair at 0.8. The rest is counted on the whole sets.
+
+Texts with equal sets are one node. A task floods each key's nodes over the first bits, so that nodes
+alone in their key go no further and others know the least node they reach there. All meet that one
+first, which joins what a large group of copies has in common; after that, every two nodes of a flood
+that are still apart are compared, so that no link depends on which node came first. They are compared
+in blocks, in tasks. What passes the fingerprints comes out as a row for each node of a block, not for
+each pair; these nodes' sets meet once more in their block, where pairs are counted until they are
+joined, and only links that join something come out.
 """
 
 from __future__ import annotations
@@ -25,14 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import arrays, broadcast_if_small, checkpointed, lists, map_rows
-from skein.llm.graph import components
+from skein.llm.graph import components, dealt
+from skein.llm.simhash import SMALL, chained_words, wide
 
 WORDS = 5
 #: In hundredths.
 LEAST = 80
-BANDS = 48
-ROWS = 7
-HASHES = BANDS * ROWS
+SEGMENTS = 64
+SEGMENT_BITS = 12
+BITS = SEGMENTS * SEGMENT_BITS
+#: Of a fingerprint's bits, so many go with each of its segments.
+CHECKED = 128
+#: Min-hashes of signature(), an estimate of the similarity itself.
+HASHES = 336
 SEED = 42
 #: Standard deviations by which an estimate may be too low.
 Z = 4.5
@@ -83,17 +90,122 @@ def _node(found: np.ndarray) -> int:
     return _signed(xxhash.xxh64_intdigest(found.tobytes(), SEED))
 
 
-def likely(pairs: DataFrame, signatures: DataFrame, least: int = LEAST) -> DataFrame:
-    """The pairs (a, b) whose signatures (node, sig) agree in fewest(least) places or more."""
-    most = fewest(least)
+def farthest(least: int, bits: int) -> tuple[int, int]:
+    """So many of bits bits differ at most if the sets' similarity is at least so many hundredths, but for Z standard deviations: in general, and if a set has under five shingles."""
+    j = least / 100
+    p = np.arccos(2 * j / (1 + j)) / np.pi
+    # Ties of small sets add to it: 0.161 is the most at 0.8 (0.1515 in the limit), 0.1875 for four of five shingles.
+    return tuple(int(bits * q + Z * (bits * q * (1 - q)) ** 0.5) for q in (1.07 * p, 1.24 * p))
+
+
+def _words(fps: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Fingerprints as rows of 64-bit words."""
+    return np.frombuffer(b"".join(fps.to_pylist()), dtype="<u8").reshape(-1, BITS // 64)
+
+
+def segments(words: np.ndarray) -> np.ndarray:
+    """Each fingerprint's segments."""
+    b = words.view(np.uint8).reshape(len(words), SEGMENTS // 2, 3).astype(np.int32)
+    return np.stack([b[:, :, 0] | (b[:, :, 1] & 15) << 8, b[:, :, 1] >> 4 | b[:, :, 2] << 4], axis=2).reshape(len(words), SEGMENTS)
+
+
+def _alike(x: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
+    """Whether fingerprints with the differing bits x (rows of words) may be of sets of that similarity, the lesser of which has so many shingles: chains of words first, then all bits."""
+    d, (most, most_small) = np.bitwise_count(x), farthest(least, BITS)
+    out = chained_words(d, most_small)
+    i = np.flatnonzero(out)
+    i = i[(sizes[i] < 5) | chained_words(d[i], most)]
+    out[:] = False
+    out[i] = d[i].sum(axis=1) <= np.where(sizes[i] < 5, most_small, most)
+    return out
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, size, fp to a row for each segment: its number and bits as key, and the first bits of fp."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _STEP):
+            own = batch.slice(at, _STEP)
+            fp = _words(own["fp"])
+            key = segments(fp) + (np.arange(SEGMENTS, dtype=np.int32) << SEGMENT_BITS)
+            again = [np.repeat(x, SEGMENTS) for x in (own["node"].to_numpy(), own["size"].to_numpy().astype(np.int32), fp[:, 0].view(np.int64), fp[:, 1].view(np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.ravel(), *again)], names=["key", "node", "size", "x", "y"])
+
+
+def _flood(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """_keyed() rows in the order of key and node to the nodes that reach another one of their key, with the least node that they reach.
+
+    A large group is as many steps as it has nodes that no earlier one is near to, each linear in it.
+    """
+    most, most_small = farthest(least, CHECKED)
+
+    def links(key: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def near(i: np.ndarray, j: np.ndarray | int) -> np.ndarray:
+            differ = np.bitwise_count(x[i] ^ x[j]) + np.bitwise_count(y[i] ^ y[j])
+            low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            return (differ <= np.where(low < 5, most_small, most)) & (100 * low >= least * high)
+
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        rows = np.diff(np.concatenate((start, [len(key)])))
+        left = np.flatnonzero((of := np.repeat(rows, rows)) <= SMALL)
+        a, b = [], []
+        for s in range(1, SMALL):
+            left = left[left + s < len(key)]
+            left = left[key[left] == key[left + s]]
+            if not len(left):
+                break
+            i = left[near(left, left + s)]
+            a.append(i)
+            b.append(i + s)
+        for at in np.flatnonzero((of > SMALL) & (np.arange(len(key)) == np.repeat(start, rows))).tolist():
+            rest = np.arange(at, at + of[at])
+            while len(rest):
+                todo, rest = [rest[0]], rest[1:]
+                while todo and len(rest):
+                    u = todo.pop()
+                    if (hit := near(rest, u)).any():
+                        a.append(np.full(int(hit.sum()), u))
+                        b.append(rest[hit])
+                        todo.extend(b[-1].tolist())
+                        rest = rest[~hit]
+        return (np.concatenate(a), np.concatenate(b)) if a else (start[:0], start[:0])
+
+    def reached(key: np.ndarray, node: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        a, b = links(key, size, x, y)
+        top = np.arange(len(key))
+        while (top[a] != top[b]).any():
+            m = np.minimum(top[a], top[b])
+            np.minimum.at(top, a, m)
+            np.minimum.at(top, b, m)
+        i = np.unique(np.concatenate((a, b)))
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (key[i], node[top[i]], size[top[i]], node[i], size[i])], names=["key", "top", "top_size", "node", "size"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last key of a batch may go on in the next.
+        kept: list[np.ndarray] | None = None
+        for batch in batches:
+            now = [batch[c].to_numpy(zero_copy_only=False) for c in ("key", "node", "size", "x", "y")]
+            now[3:] = (v.view(np.uint64) for v in now[3:])
+            kept = now if kept is None else [np.concatenate(v) for v in zip(kept, now)]
+            full = int(np.searchsorted(kept[0], kept[0][-1])) if len(kept[0]) else 0
+            if full:
+                yield reached(*(v[:full] for v in kept))
+                kept = [v[full:] for v in kept]
+        if kept is not None and len(kept[0]):
+            yield reached(*kept)
+
+    return run
+
+
+def likely(pairs: DataFrame, fingerprints: DataFrame, least: int = LEAST) -> DataFrame:
+    """The pairs (a, b, size of the lesser) whose fingerprints (node, fp) are alike enough for least hundredths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), dtype=np.uint8).reshape(-1, HASHES) for c in "xy")
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= most))
+            keep = _alike(_words(batch["x"]) ^ _words(batch["y"]), batch["size"].to_numpy(), least)
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep))
 
-    of = lambda node, sig: signatures.select(F.col("node").alias(node), F.col("sig").alias(sig))
-    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    of = lambda node, fp: fingerprints.select(F.col("node").alias(node), F.col("fp").alias(fp))
+    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "size", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: int = LEAST) -> DataFrame:
@@ -129,24 +241,22 @@ _ASKED = "key long, i int, j int, node long, partners array<long>"
 def _compare(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Blocks to the nodes that have a partner in them, one row each: side 0 lists its partners on side 1.
 
-    Partners are in different components, alike in size and in signature, and in no lower band together.
+    Partners are in different components, alike in size and in fingerprint, and have no lower segment in common.
     """
-    most = fewest(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
             band, side, node, size, component, major = (block[c].to_numpy() for c in ("band", "side", "node", "size", "component", "major"))
-            sig = np.frombuffer(b"".join(block["sig"].to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
+            fp = _words(block["fp"])
+            segment = segments(fp)
             v = np.flatnonzero(side == 1)
             found: dict[int, np.ndarray] = {}
             for u in np.flatnonzero(side == 0):
                 # Of two nodes outside the largest component each is on either side: the lesser one asks.
                 w = v[(component[v] != component[u]) & (major[v] | (node[v] > node[u])) & (100 * np.minimum(size[v], size[u]) >= least * np.maximum(size[v], size[u]))]
-                equal = sig[w] == sig[u]
-                keep = equal.sum(axis=1) >= most
-                w, equal = w[keep], equal[keep]
+                w = w[_alike(fp[w] ^ fp[u], np.minimum(size[w], size[u]), least)]
                 if len(w):
-                    found[int(node[u])] = node[w[equal.reshape(len(w), BANDS, ROWS).all(axis=2).argmax(axis=1) == band[0]]]
+                    found[int(node[u])] = node[w[(segment[w] == segment[u]).argmax(axis=1) == band[0]]]
             found = {u: w for u, w in found.items() if len(w)}
             if not found:
                 continue
@@ -158,13 +268,13 @@ def _compare(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
-def compared(apart: DataFrame, signatures: DataFrame, least: int = LEAST, block: int = BLOCK, weight: int = WEIGHT) -> DataFrame:
+def compared(apart: DataFrame, fingerprints: DataFrame, least: int = LEAST, block: int = BLOCK, weight: int = WEIGHT) -> DataFrame:
     """key, i, j, node, partners: in each block of a key, the nodes of likely pairs that are apart; the lesser side lists its partners.
 
-    apart has key, band, node, size, component, most (the key's largest component); signatures node, sig.
+    apart has key, band, node, size, component, most (the key's largest component); fingerprints node, fp.
     A key's nodes outside its largest component meet all its nodes, block by block, so that a key
     with very many nodes is many tasks, and blocks have few nodes where sets are large. A node is one
-    row of a block, however many partners it has there. Signatures join last, so that they are shuffled once.
+    row of a block, however many partners it has there. Fingerprints join last, so that they are shuffled once.
     """
     outside = F.col("component") != F.col("most")
     counts = checkpointed(apart.groupBy("key").agg(*(f(c).alias(name) for name, f, c in (("all", F.count, F.lit(1)), ("outside", F.count_if, outside), ("all_size", F.sum, F.col("size")), ("outside_size", F.sum, F.when(outside, F.col("size")))))))
@@ -174,7 +284,7 @@ def compared(apart: DataFrame, signatures: DataFrame, least: int = LEAST, block:
     kept = ["key", "band", "node", "size", "component", "major"]
     asks = rows.filter(~F.col("major")).select(*kept, own(F.col("rows")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"), F.lit(0).alias("side"))
     asked = rows.select(*kept, F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), own(F.col("cols")).alias("j"), F.lit(1).alias("side"))
-    dealt = asks.unionByName(asked).join(signatures.select("node", "sig"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    dealt = asks.unionByName(asked).join(fingerprints.select("node", "fp"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
     return dealt.mapInArrow(_compare(least), _ASKED)
 
 
@@ -225,19 +335,17 @@ def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
 
     def signed(texts: list[str | None]) -> dict[str, list]:
         found = [shingles(t, words_in_shingle) for t in texts]
-        return {"node": [_node(x) for x in found], "size": [len(x) for x in found], "sig": [signature(x) if len(x) else None for x in found], "text": [None] * len(texts)}
+        return {"node": [_node(x) for x in found], "size": [len(x) for x in found], "fp": [wide(x, BITS // 64) if len(x) else None for x in found], "text": [None] * len(texts)}
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("id", "text"))
-    base = checkpointed(map_rows(rows, ["text"], "node long, size long, sig binary, text string", signed).drop("text"))
-    once = checkpointed(base.filter("sig is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("sig").alias("sig")))
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * ROWS + 1, F.lit(ROWS))))
-    keyed = once.select("node", "size", F.posexplode(bands).alias("band", "key"))
-    # Keys that one node alone has are most of them.
-    shared = checkpointed(keyed.groupBy("key").agg(F.min(F.struct("node", "size")).alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "top"))
-    met = checkpointed(keyed.join(shared, "key").select("key", "band", "node", "size", "top"))
-    alike = 100 * F.least(F.col("size"), F.col("top.size")) >= least * F.greatest(F.col("size"), F.col("top.size"))
-    first = met.filter(F.col("node") > F.col("top.node")).filter(alike).select(F.col("top.node").alias("a"), F.col("node").alias("b")).distinct()
-    first = checkpointed(likely(first, once, least))
+    base = checkpointed(map_rows(rows, ["text"], "node long, size long, fp binary, text string", signed).drop("text"))
+    once = checkpointed(base.filter("fp is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp")))
+    keyed = once.mapInArrow(_keyed, "key int, node long, size int, x long, y long").repartition("key").sortWithinPartitions("key", "node")
+    flooded = keyed.mapInArrow(_flood(least), "key int, top long, top_size int, node long, size int")
+    met = dealt(checkpointed(flooded.select(F.xxhash64("key", "top").alias("key"), F.shiftright("key", SEGMENT_BITS).alias("band"), "node", F.col("size").cast("long").alias("size"), "top", "top_size")))
+    lesser = F.least("size", "top_size")
+    first = met.filter("node <> top").filter(100 * lesser >= least * F.greatest("size", "top_size")).select(F.col("top").alias("a"), F.col("node").alias("b"), lesser.cast("long").alias("size")).distinct()
+    first = dealt(checkpointed(likely(first, once, least)))
 
     def sets(nodes: DataFrame) -> DataFrame:
         needed = broadcast_if_small(nodes.distinct(), F.lit(1), BROADCAST_NODES)
@@ -246,13 +354,13 @@ def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
         made = map_rows(texts.select("node", "text"), ["text"], "words array<long>, text string", lambda t: {"words": lists([shingles(x, words_in_shingle) for x in t], "int64"), "text": [None] * len(t)})
         return checkpointed(made.drop("text").dropDuplicates(["node"]))
 
-    links = checkpointed(verified(first, sets(first.select(F.explode(F.array("a", "b")).alias("node"))), least))
-    label = checkpointed(components(links)).withColumnRenamed("label", "component")
-    placed = checkpointed(met.join(label, "node", "left").select("key", "band", "node", "size", F.coalesce("component", "node").alias("component")))
+    links = dealt(checkpointed(verified(first, sets(first.select(F.explode(F.array("a", "b")).alias("node"))), least)))
+    label = dealt(checkpointed(components(links, small=True))).withColumnRenamed("label", "component")
+    placed = dealt(checkpointed(met.join(label, "node", "left").select("key", "band", "node", "size", F.coalesce("component", "node").alias("component"))))
     most = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts"))
     apart = placed.join(checkpointed(most.filter("parts > 1").select("key", F.col("most.component").alias("most"))), "key")
-    asked = checkpointed(compared(checkpointed(apart), once, least, block))
+    asked = dealt(checkpointed(compared(dealt(checkpointed(apart)), once, least, block)))
     if asked.limit(1).count():
         more = settled(asked, label, sets(asked.select("node")), least)
-        label = checkpointed(components(checkpointed(links.union(more)))).withColumnRenamed("label", "component")
+        label = dealt(checkpointed(components(dealt(checkpointed(links.union(more))), small=True))).withColumnRenamed("label", "component")
     return base.select("id", "h", "node").join(label, "node", "left").select(F.col("id").alias(id_col), "h", F.coalesce("component", "node").alias("component"))

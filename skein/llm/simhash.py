@@ -55,6 +55,19 @@ def fingerprint(text: str | None, words_in_shingle: int = SHINGLE) -> int:
     return int(((2 * ones > n).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64))
 
 
+def wide(shingles: np.ndarray, words: int) -> bytes:
+    """The fingerprint of a set of 64-bit hashes, which isn't empty, in so many 64-bit words: each word has hashes of its own, mixed from the given ones."""
+    ones, offsets = np.zeros(64 * words, dtype=np.int64), np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(shingles), 255):
+        h = shingles[at : at + 255, None] + offsets
+        h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        # At most 255 rows, so their sums are bytes.
+        ones += np.add.reduce(np.unpackbits(h.astype("<u8", copy=False).view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(shingles), bitorder="little").tobytes()
+
+
 def fingerprints(df: DataFrame, text_col: str = "text", out: str = "fp") -> DataFrame:
     """df with out, the whole text's fingerprint as a signed 64-bit number (a null text: 0)."""
     signed = lambda x: x - (1 << 64) if x >> 63 else x
@@ -96,6 +109,16 @@ def chained(x: np.ndarray, m: int, tau: int = TAU, chain: int = CHAIN) -> np.nda
     return found
 
 
+def chained_words(d: np.ndarray, tau: int, chain: int = CHAIN) -> np.ndarray:
+    """chained() for fingerprints of several words, which are the segments: d has a row for each pair with the differing bits of each word."""
+    m = d.shape[1]
+    total, within = np.zeros(d.shape, dtype=np.int32), np.ones(d.shape, dtype=bool)
+    for k in range(1, chain + 1):
+        total += np.roll(d, 1 - k, axis=1)
+        within &= total * m <= k * tau
+    return within.any(axis=1)
+
+
 def near(a: np.ndarray, b: np.ndarray, m: int, tau: int = TAU) -> np.ndarray:
     """Whether two fingerprints differ in at most tau bits: the chains first, then all bits of those that pass."""
     x = a ^ b

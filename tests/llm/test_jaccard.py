@@ -104,3 +104,16 @@ def test_estimates_keep_what_is_alike():
         assert (x == y).sum() >= least if j >= 0.8 else True
         assert abs((x == y).mean() - j) < 0.1
     assert 0.65 < least / jaccard.HASHES < 0.75
+
+
+def test_fingerprints_and_chains_keep_what_is_alike():
+    """near_dedup's candidates are SimHash's: bits differ by the angle between sets, and no pair within the bound lacks a chain."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
+    a, b = (np.frombuffer(jaccard.wide(s, jaccard.BITS // 64), dtype="<u8")[None] for s in (x[:900], x[100:]))
+    differ = int(np.bitwise_count(a ^ b).sum())
+    most, _ = jaccard.farthest(80, jaccard.BITS)
+    assert abs(differ / jaccard.BITS - np.arccos(8 / 9) / np.pi) < 0.06 and differ <= most < 0.25 * jaccard.BITS
+    assert jaccard.segments(a).shape == (1, jaccard.SEGMENTS) and (jaccard.segments(a) == jaccard.segments(b)).any()
+    d = rng.multinomial(most, rng.dirichlet(np.ones(12), 500))
+    assert jaccard.chained_words(d, most).all() and not jaccard.chained_words(d * 0 + 32, most).any()
