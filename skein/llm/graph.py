@@ -27,20 +27,26 @@ def components(links: DataFrame, small: bool = False) -> DataFrame:
     Alternates the large and the small star: each node hands the least of its neighbourhood to its
     greater neighbours, then to its lesser ones, until no link changes. Rounds grow with the
     logarithm of the longest path. Every round's links are written to the checkpoint folder, and
-    only a count and a sum reach the driver. Without links the result is empty. small deals out each
-    round's links by their number (see dealt()).
+    only a count and a sum reach the driver. Without links the result is empty. small keeps
+    each round's links in as few partitions as their number needs (see dealt()).
     """
     both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    dealt_out = dealt if small else lambda e: e
-    current, before = dealt_out(checkpointed(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())), None
+    parts = lambda n: max(1, -(-n // TASK_ROWS))
+    current, before = checkpointed(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
+    if small:
+        current = current.coalesce(n := parts(current.count()))
     for _ in range(MAX_ROUNDS):
-        e = both(current)
+        # What a round puts together of links in one partition stays in one: one task and one file, not as many as there are shuffle partitions.
+        joined = (lambda e: e.coalesce(1)) if small and n == 1 else (lambda e: e)
+        e = joined(both(current))
         large = e.join(_least(e), "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
         least = _least(down)
-        lesser = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
-        current = dealt_out(checkpointed(lesser))
+        lesser = joined(down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))).filter("a <> b").distinct()
+        current = checkpointed(lesser)
         s = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))).alias("h")).first()
+        if small:
+            current = current.coalesce(n := parts(s["n"]))
         if (s["n"], s["h"]) == before:
             break
         before = (s["n"], s["h"])

@@ -268,22 +268,31 @@ def _compare(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
-def compared(apart: DataFrame, least: int = LEAST, block: int = BLOCK, weight: int = WEIGHT) -> DataFrame:
+def parted(placed: DataFrame, block: int = BLOCK, weight: int = WEIGHT) -> DataFrame:
+    """The rows of keys with several components, with major (is it in the key's largest one?) and the number of blocks of its other nodes (rows) and of all (cols).
+
+    placed has key, node, size, component and more. All that a key's rows need to know of it comes by one join, of written tables, whose keys Spark can split.
+    """
+    parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    keys = parts.groupBy("key").agg(F.max(F.struct("n", "component", "s")).alias("most"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    blocks = lambda n, s: F.greatest(F.ceil(n / block), F.ceil(s / weight), F.lit(1)).cast("int")
+    n, s, most = F.col("n"), F.col("s"), F.col("most")
+    cut = checkpointed(keys.filter("parts > 1").select("key", most["component"].alias("largest"), blocks(n - most["n"], s - most["s"]).alias("rows"), blocks(n, s).alias("cols")))
+    return placed.join(cut, "key").withColumn("major", F.col("component") == F.col("largest")).drop("largest")
+
+
+def compared(apart: DataFrame, least: int = LEAST) -> DataFrame:
     """key, i, j, node, partners: in each block of a key, the nodes of likely pairs that are apart; the lesser side lists its partners.
 
-    apart has key, band, node, size, component, fp, most (the key's largest component).
+    apart has key, band, node, size, component, fp, and parted()'s columns.
     A key's nodes outside its largest component meet all its nodes, block by block, so that a key
     with very many nodes is many tasks, and blocks have few nodes where sets are large. A node is one
     row of a block, however many partners it has there.
     """
-    outside = F.col("component") != F.col("most")
-    counts = checkpointed(apart.groupBy("key").agg(*(f(c).alias(name) for name, f, c in (("all", F.count, F.lit(1)), ("outside", F.count_if, outside), ("all_size", F.sum, F.col("size")), ("outside_size", F.sum, F.when(outside, F.col("size")))))))
-    blocks = lambda c: F.greatest(F.ceil(F.col(c) / block), F.ceil(F.coalesce(f"{c}_size", F.lit(0)) / weight), F.lit(1)).cast("int")
     own = lambda of: F.pmod(F.xxhash64("node"), of).cast("int")
-    rows = apart.join(counts, "key").withColumns({"rows": blocks("outside"), "cols": blocks("all"), "major": ~outside})
     kept = ["key", "band", "node", "size", "component", "major", "fp"]
-    asks = rows.filter(~F.col("major")).select(*kept, own(F.col("rows")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"), F.lit(0).alias("side"))
-    asked = rows.select(*kept, F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), own(F.col("cols")).alias("j"), F.lit(1).alias("side"))
+    asks = apart.filter(~F.col("major")).select(*kept, own(F.col("rows")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"), F.lit(0).alias("side"))
+    asked = apart.select(*kept, F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), own(F.col("cols")).alias("j"), F.lit(1).alias("side"))
     dealt = asks.unionByName(asked).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
     return dealt.mapInArrow(_compare(least), _ASKED)
 
@@ -359,9 +368,7 @@ def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     # Fingerprints come with the labels, one row for each node, so that no later join makes a row for each node of a key.
     told = once.select("node", "fp").join(label, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("component"))
     placed = dealt(checkpointed(met.join(told, "node", "left").select("key", "band", "node", "size", "component", "fp")))
-    most = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts"))
-    apart = placed.join(checkpointed(most.filter("parts > 1").select("key", F.col("most.component").alias("most"))), "key")
-    asked = dealt(checkpointed(compared(dealt(checkpointed(apart)), least, block)))
+    asked = dealt(checkpointed(compared(dealt(checkpointed(parted(placed, block))), least)))
     if asked.limit(1).count():
         more = settled(asked, label, sets(asked.select("node")), least)
         label = dealt(checkpointed(components(dealt(checkpointed(links.union(more))), small=True))).withColumnRenamed("label", "component")

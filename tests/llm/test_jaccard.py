@@ -117,3 +117,36 @@ def test_fingerprints_and_chains_keep_what_is_alike():
     assert jaccard.segments(a).shape == (1, jaccard.SEGMENTS) and (jaccard.segments(a) == jaccard.segments(b)).any()
     d = rng.multinomial(most, rng.dirichlet(np.ones(12), 500))
     assert jaccard.chained_words(d, most).all() and not jaccard.chained_words(d * 0 + 32, most).any()
+
+
+def test_a_key_s_rows_meet_its_figures_in_one_join(spark):
+    """compared() joins nothing: on tables with large groups of near copies each join by key is a row for each node of a key."""
+    fp = bytes(jaccard.BITS // 8)
+    rows = [(1, 0, 10, 100, 5, fp), (1, 0, 11, 100, 5, fp), (1, 0, 12, 40, 6, fp), (1, 0, 13, 100, 7, fp), (2, 0, 14, 100, 8, fp), (2, 0, 15, 100, 8, fp)]
+    placed = spark.createDataFrame(rows, "key long, band int, node long, size long, component long, fp binary")
+    apart = jaccard.parted(placed, block=1, weight=200)
+    assert {(r["node"], r["major"], r["rows"], r["cols"]) for r in apart.collect()} == {(10, True, 2, 4), (11, True, 2, 4), (12, False, 2, 4), (13, False, 2, 4)}
+    assert "Join" not in jaccard.compared(apart.localCheckpoint())._jdf.queryExecution().toString()
+    asked = jaccard.compared(apart.localCheckpoint()).collect()
+    assert sorted((r["node"], v) for r in asked for v in r["partners"]) == [(13, 10), (13, 11)]
+
+
+def test_rounds_of_few_links_write_few_files(spark):
+    """Components of links that fit in a task: a round is no file for each shuffle partition."""
+    from pathlib import Path
+
+    from skein.llm.graph import components
+
+    links = spark.createDataFrame([(k, k + 1) for k in range(0, 40) if k % 10 != 9], "a long, b long")
+    before, at = (spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")), spark.sparkContext.getCheckpointDir()
+    spark.conf.set("spark.sql.shuffle.partitions", "30")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files = lambda: sum(1 for _ in Path(at.removeprefix("file:")).rglob("part-*"))
+    had = files()
+    try:
+        got = {r["node"]: r["label"] for r in components(links, small=True).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert got == {k: k // 10 * 10 for k in range(40)}
+    assert files() - had < 2 * 30
