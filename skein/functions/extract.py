@@ -149,10 +149,9 @@ def python_symbols(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([(n, pa.string()) for n in ("file_path", "kind", "name", "qualified_name")] + [("line", pa.int32()), ("visibility", pa.string())] + [(n, pa.list_(pa.string())) for n in ("bases", "calls", "imports")])
         for b in batches:
-            for path, source in zip(b["file_path"].to_pylist(), b["source"].to_pylist()):
-                found = list(_symbols(path or "", source or ""))
-                if found:
-                    yield pa.RecordBatch.from_pylist(found, schema=kinds)
+            found = [s for path, source in zip(b["file_path"].to_pylist(), b["source"].to_pylist()) for s in _symbols(path or "", source or "")]
+            if found:
+                yield pa.RecordBatch.from_pylist(found, schema=kinds)
 
     return files.select("file_path", "source").mapInArrow(run, SYMBOL_SCHEMA)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import confidence, text
+from skein.functions.lineage import shuffled
 from skein.operators import resolve
 from skein.sources.tables import GRAPH_SQL, symbols, table
 
@@ -51,7 +52,7 @@ def name_index(symbol_rows: DataFrame) -> DataFrame:
 def _clamped(rows: DataFrame, symbol_rows: DataFrame, via: Column) -> Column:
     """rows (target, confidence, language) with confidence under the caps of its ends' languages."""
     of = symbol_rows.select(F.col("symbol_id").alias("target"), F.col("language").alias("target_language"))
-    return rows.join(of, "target", "left").withColumn("confidence", confidence.clamped(F.col("confidence"), F.col("language"), F.coalesce("target_language", F.lit("")), via))
+    return rows.join(shuffled(of), "target", "left").withColumn("confidence", confidence.clamped(F.col("confidence"), F.col("language"), F.coalesce("target_language", F.lit("")), via))
 
 
 def polyglot_calls(call_rows: DataFrame, symbol_rows: DataFrame, aliases: DataFrame, builtins: DataFrame) -> DataFrame:
@@ -64,12 +65,12 @@ def polyglot_calls(call_rows: DataFrame, symbol_rows: DataFrame, aliases: DataFr
     code = symbol_rows.filter(~F.col("kind").isin(*NOT_TARGETS))
     same = resolve.calls(call_rows.drop("language"), code, aliases, builtins)
     named = aliases.select("file_path", F.col("alias").alias("ref"), "full_name").dropDuplicates(["file_path", "ref"])
-    left = call_rows.join(same.filter("rung = 9").select("call_id"), "call_id", "left_semi").join(named, ["file_path", "ref"], "left")
+    left = call_rows.join(shuffled(same.filter("rung = 9").select("call_id")), "call_id", "left_semi").join(shuffled(named), ["file_path", "ref"], "left")
     key, whole = normal_key(F.col("ref")), normal_key(F.col("full_name"))
     ways = F.array(_way(10, "n", key), _way(11, "s", last(key)), _way(12, "n", whole), _way(13, "s", last(whole)))
-    tried = left.select("call_id", F.explode(ways).alias("w")).select("call_id", "w.*").filter("key <> ''").join(name_index(symbol_rows), ["kind", "key"])
+    tried = left.select("call_id", F.explode(ways).alias("w")).select("call_id", "w.*").filter("key <> ''").join(shuffled(name_index(symbol_rows)), ["kind", "key"])
     best = tried.groupBy("call_id").agg(F.min(F.struct("rung", "target", "candidates")).alias("b"))
-    rows = same.join(best, "call_id", "left").join(call_rows.select("call_id", "language"), "call_id")
+    rows = same.join(shuffled(best), "call_id", "left").join(shuffled(call_rows.select("call_id", "language")), "call_id")
     found = F.col("b").isNotNull()
     rows = rows.select(
         "call_id", "language", F.coalesce("b.rung", "rung").alias("rung"), F.coalesce("b.target", "target").alias("target"), F.coalesce("b.candidates", "candidates").alias("candidates"),
@@ -97,7 +98,7 @@ def imports(import_rows: DataFrame, symbol_rows: DataFrame, aliases: DataFrame)
     raw = F.regexp_replace(F.trim(F.coalesce("text", F.lit(""))), "^[\"']+|[\"']+$", "")
     rows = import_rows.select("import_id", "language", raw.alias("ref"))
     other = resolve.rewritten(rows.filter("ref <> ''").select("ref").distinct(), aliases, joined="/")
-    rows = rows.join(other, "ref", "left")
+    rows = rows.join(shuffled(other), "ref", "left")
     tries = F.filter(F.array(F.struct(F.lit(0).alias("n"), F.col("ref").alias("t")), F.struct(F.lit(10).alias("n"), F.col("rewritten").alias("t"))), lambda x: x["t"].isNotNull() & (x["t"] != "") & ((x["n"] == 0) | (x["t"] != F.col("ref"))))
     each = rows.select("import_id", F.explode(tries).alias("x")).select("import_id", "x.*")
     part = F.substring_index("t", "/", -1)
@@ -110,13 +111,13 @@ def imports(import_rows: DataFrame, symbol_rows: DataFrame, aliases: DataFrame)
         F.array(_way(n + 1, "q", F.col("t")), _way(n + 2, "n", normal_key(F.col("t")))),
         F.transform(F.array_distinct(F.concat(stems, F.transform(stems, normal_key))), lambda s: _way(n + 3, "f", s)), F.transform(stems, lambda s: _way(n + 4, "s", s)),
     )
-    tried = each.select("import_id", F.explode(ways).alias("w")).select("import_id", "w.*").filter("key <> ''").join(name_index(symbol_rows), ["kind", "key"])
+    tried = each.select("import_id", F.explode(ways).alias("w")).select("import_id", "w.*").filter("key <> ''").join(shuffled(name_index(symbol_rows)), ["kind", "key"])
     by_rung = tried.groupBy("import_id", "rung").agg(F.max("candidates").alias("most"), F.countDistinct("target").alias("targets"), F.min("target").alias("target"))
     best = by_rung.groupBy("import_id").agg(F.min(F.struct("rung", "most", "targets", "target")).alias("b"))
     step = F.col("b.rung") % 10
     sure = F.when(F.col("b").isNull(), "unresolved").when(step == 1, "exact").when((F.col("b.most") == 1) & (F.col("b.targets") == 1), "probable").otherwise("ambiguous")
     via = F.when(step == 3, "file_stem").when(F.col("b.rung") > 10, "package_manifest")
-    out = rows.select("import_id", "language").join(best, "import_id", "left").select("import_id", "language", sure.alias("confidence"), "b.target", F.greatest("b.most", "b.targets").alias("candidates"), via.alias("via"))
+    out = rows.select("import_id", "language").join(shuffled(best), "import_id", "left").select("import_id", "language", sure.alias("confidence"), "b.target", F.greatest("b.most", "b.targets").alias("candidates"), via.alias("via"))
     out = out.withColumn("target", F.when(~F.col("confidence").isin("ambiguous", "unresolved"), F.col("target")))
     out = _clamped(out, symbol_rows, F.coalesce("via", F.lit("")))
     return out.select("import_id", "target", F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"), "confidence", F.when(F.col("target").isNotNull(), F.col("via")).alias("resolved_via"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import confidence, text
+from skein.functions.lineage import shuffled
 from skein.sources.tables import GRAPH_SQL, edges, symbols, table
 
 BLOOM_SLOTS, BLOOM_HASHES = 2048, 3
@@ -30,7 +31,7 @@ def calls(call_rows: DataFrame, symbol_rows: DataFrame, aliases: DataFrame, buil
     by_short = grouped_targets(symbol_rows, short(F.col("qualified_name")))
     module_of = F.regexp_extract("qualified_name", r"^(.*)\.[^.]+$", 1)
     by_module = grouped_targets(symbol_rows, F.concat_ws(" ", module_of, short(F.col("qualified_name"))))
-    named = aliases.select("file_path", F.col("alias"), "full_name").dropDuplicates(["file_path", "alias"])
+    named = shuffled(aliases.select("file_path", F.col("alias"), "full_name").dropDuplicates(["file_path", "alias"]))
     rest = F.regexp_extract("ref", r"^[^.]+(\..*)?$", 1)
     rows = call_rows.join(named.select("file_path", F.col("alias").alias("ref"), F.col("full_name").alias("whole")), ["file_path", "ref"], "left")
     rows = rows.withColumn("head", F.substring_index("ref", ".", 1)).join(named.select("file_path", F.col("alias").alias("head"), F.col("full_name").alias("of_head")), ["file_path", "head"], "left")
@@ -41,11 +42,11 @@ def calls(call_rows: DataFrame, symbol_rows: DataFrame, aliases: DataFrame, buil
         way(4, "q", F.concat(F.col("of_head"), rest)), way(6, "s", short(F.col("ref"))), way(7, "m", F.concat_ws(" ", "module", short(F.col("ref")))),
     )
     index = by_name.withColumn("kind", F.lit("q")).unionByName(by_short.withColumn("kind", F.lit("s"))).unionByName(by_module.withColumn("kind", F.lit("m")))
-    tried = rows.select("call_id", F.explode(ways).alias("w")).select("call_id", "w.*").filter("key is not null").join(index, ["kind", "key"])
+    tried = rows.select("call_id", F.explode(ways).alias("w")).select("call_id", "w.*").filter("key is not null").join(shuffled(index), ["kind", "key"])
     rung = F.when((F.col("kind") == "s") & (F.col("candidates") > 1), 8).otherwise(F.col("rung"))
     usable = tried.withColumn("rung", rung).filter((F.col("rung").isin(6, 8)) | (F.col("candidates") == 1))
     best = usable.groupBy("call_id").agg(F.min(F.struct("rung", "target", "candidates")).alias("b"))
-    out = rows.select("call_id", "builtin").join(best, "call_id", "left")
+    out = rows.select("call_id", "builtin").join(shuffled(best), "call_id", "left")
     external = F.coalesce(F.col("builtin"), F.lit(False)) & (F.coalesce(F.col("b.rung"), F.lit(9)) > 5)
     final = F.when(external, 5).otherwise(F.coalesce(F.col("b.rung"), F.lit(9)))
     out = out.select("call_id", final.alias("rung"), F.when(~external, F.col("b.target")).alias("target"), F.when(external, 0).otherwise(F.coalesce(F.col("b.candidates"), F.lit(0))).cast("long").alias("candidates"))
@@ -61,13 +62,13 @@ def rewritten(refs: DataFrame, prefixes: DataFrame, joined: str | None = None) -
     starts = F.regexp_extract_all("ref", F.lit(r"[/.]?[^/.]+"), F.lit(0))
     begun = F.transform(F.sequence(F.lit(1), F.size(starts)), lambda i: F.array_join(F.slice(starts, i * 0 + 1, i), ""))
     own = refs.select("ref").distinct().filter("ref is not null and ref <> ''")
-    hits = own.select("ref", F.explode(begun).alias("prefix")).join(prefixes.dropDuplicates(["prefix"]), "prefix").filter(F.col("ref").startswith(F.col("prefix")))
+    hits = shuffled(own.select("ref", F.explode(begun).alias("prefix"))).join(prefixes.dropDuplicates(["prefix"]), "prefix").filter(F.col("ref").startswith(F.col("prefix")))
     best = hits.groupBy("ref").agg(F.max_by(F.struct("prefix", "replacement"), F.length("prefix")).alias("b"))
     rest = F.expr("substring(ref, length(b.prefix) + 1)")
     if joined is not None:
         rest = F.regexp_replace(rest, r"^[/.]+", "")
         rest = F.when(rest == "", "").otherwise(F.concat(F.lit(joined), rest))
-    return refs.join(best, "ref", "left").select("ref", F.when(F.col("b").isNull(), F.col("ref")).otherwise(F.concat("b.replacement", rest)).alias("rewritten"))
+    return refs.join(shuffled(best), "ref", "left").select("ref", F.when(F.col("b").isNull(), F.col("ref")).otherwise(F.concat("b.replacement", rest)).alias("rewritten"))
 
 
 def stems(path: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import extract
-from skein.functions.lineage import checkpointed, shared_folder
+from skein.functions.lineage import checkpointed, shared_folder, shuffled
 from skein.operators import docs, linking, resolve
 from skein.sources import files
 from skein.sources.tables import GRAPH_SQL, symbols, table
@@ -36,7 +36,7 @@ def linked(parsed: DataFrame, aliases: DataFrame, builtins: DataFrame, packages:
     parsed = checkpointed(parsed)  # read for every kind of edge
     path = parsed.select(F.col("qualified_name").alias("source"), "file_path").dropDuplicates(["source"])
     own = parsed.select(F.col("qualified_name").alias("symbol_id"), "kind", "name", "qualified_name", "file_path", F.lit("python").alias("language"))
-    written = extract.python_edges(parsed).distinct().join(path, "source", "left").withColumn("edge_id", F.concat_ws("|", "source", "rel_type", "target"))
+    written = extract.python_edges(parsed).distinct().join(shuffled(path), "source", "left").withColumn("edge_id", F.concat_ws("|", "source", "rel_type", "target"))
     written = checkpointed(written)
     contains = written.filter("rel_type = 'CONTAINS'").select("source", "target", "rel_type", F.lit("exact").alias("confidence"))
     named = written.filter("rel_type in ('CALLS', 'INHERITS_FROM')")
@@ -44,7 +44,7 @@ def linked(parsed: DataFrame, aliases: DataFrame, builtins: DataFrame, packages:
     called = linking.polyglot_calls(call_rows, own, aliases, builtins).select(F.col("call_id").alias("edge_id"), F.col("target").alias("to"), "confidence")
     brought = written.filter("rel_type = 'IMPORTS'")
     imported = linking.imports(brought.select(F.col("edge_id").alias("import_id"), F.col("target").alias("text"), F.lit("python").alias("language")), own, packages).select(F.col("import_id").alias("edge_id"), F.col("target").alias("to"), "confidence")
-    ends = named.join(called, "edge_id").unionByName(brought.join(imported, "edge_id"))
+    ends = named.join(shuffled(called), "edge_id").unionByName(brought.join(shuffled(imported), "edge_id"))
     return contains.unionByName(ends.select("source", F.col("to").alias("target"), "rel_type", "confidence"))
 
 
@@ -64,7 +64,8 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = t(
         "import os\nfrom m", k, " import f", k, "\n\nclass C", n, "(Base", n % 3, "):\n    def run(self):\n        return f", k, "(os.path)\n\n\n@app.get(\"/p/", n, "\")\ndef f", n, "(db=Depends(get_", n % 4, ")):\n    requests.get(\"http://h/p/", k, "\")\n    return C", n, "()\n"
     )
-    return table(spark, sf_dir, "part").select(n.alias("n"), t("pkg/m", n, ".py").alias("file_path"), F.lit("python").alias("language"), source.alias("source"))
+    keys = table(spark, sf_dir, "part").select("p_partkey").repartition("p_partkey")  # a small file of keys makes many sources: more tasks than it has blocks
+    return keys.select(n.alias("n"), t("pkg/m", n, ".py").alias("file_path"), F.lit("python").alias("language"), source.alias("source"))
 
 
 def u07_linked(spark: SparkSession, sf_dir: str) -> DataFrame:

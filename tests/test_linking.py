@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skein.functions import extract
+from skein.functions import extract, lineage
 from skein.operators import code, docs, governance, graph, linking, report, resolve, rules, search, traverse
 from skein.plans import explore, ingest, overview
 from skein.sources import files
@@ -280,3 +280,11 @@ def test_tables_are_written_once(spark, tmp_path):
     assert [lineage.stored(spark, "t", [at], build).count() for _ in range(2)] == [3, 3] and len(made) == 1
     spark.range(5).write.mode("overwrite").parquet(at)
     assert lineage.stored(spark, "t", [at], build).count() == 5 and len(made) == 2
+
+
+def test_linking_broadcasts_nothing_that_grows(spark, sf_dir, monkeypatch):
+    plans = []
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ingest, "checkpointed", lambda df: plans.append(plan_of(df)) or lineage.checkpointed(df))
+    plans.append(plan_of(ingest.u07_linked(spark, sf_dir)))
+    assert len(plans) == 3 and not any("Broadcast" in p for p in plans)  # sizes are guessed before a query runs: its parsed texts are larger than the file of their keys
