@@ -173,3 +173,10 @@ def test_injections_and_names(spark, symbol):
 def test_risk_levels(spark):
     f = spark.createDataFrame([(0.5, 0, 9, 0, 99, "login", "a.login", 50), (None, 0, 0, 9, 0, "x", "x", 0)], "flow_criticality double, flow_count int, cross_community int, test_count int, caller_count int, name string, qualified_name string, churn int")
     assert [(r["risk"], r["level"]) for r in graph.change_risk(f).orderBy(F.desc("risk")).collect()] == [(1.0, "critical"), (0.05, "low")]
+
+
+def test_state_of_very_many_links_does_not_overflow(spark):
+    links = spark.range(40_000_000).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    n, h = traverse._state(links)
+    assert n == 40_000_000 and h is not None
+    assert traverse._state(links.filter("a <> 7")) != (n, h)
